@@ -73,7 +73,7 @@ def committed_file(uri: str):
     filesystem, path = open_fs(uri)
     filesystem.create_dir(path.rpartition("/")[0], recursive=True)
     attempt = f"{path}.{uuid.uuid4().hex[:8]}.attempt"
-    with filesystem.open_output_stream(attempt) as out:
+    with filesystem.open_output_stream(attempt, compression=None) as out:
         yield out
     filesystem.move(attempt, path)
 

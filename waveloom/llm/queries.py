@@ -6,12 +6,17 @@ from waveloom.llm.common import table
 from waveloom.llm.exactdedup import exact_dedup
 from waveloom.llm.packing import pack
 from waveloom.llm.sstable import read_shards, write_shards
+from waveloom.llm.warc import read_chunks, records, write_archives
 
 
 def op1_pattern_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_chunks(spark, sf_dir):
+    return records(read_chunks(write_archives(table(spark, sf_dir, "pages")))).withColumnRenamed("record_id", "page_id")
+
+
 def op9_sorted_shards(spark, sf_dir):
     return read_shards(write_shards(table(spark, sf_dir, "documents")))
 
@@ -20,9 +25,17 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pattern_packing, op9_sorted_shards, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_warc_chunks, op9_sorted_shards, op10_exact_dedup)}
 
 ORACLE_SQL = {
+    "op2_warc_chunks": r"""
+        WITH t AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        g AS (SELECT payload, min(page_id) AS first_id FROM t GROUP BY payload)
+        SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest,
+               CASE WHEN octet_length(payload) >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN octet_length(payload) >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM t JOIN g USING (payload)
+    """,
     "op10_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
