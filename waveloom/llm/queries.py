@@ -5,6 +5,7 @@ from __future__ import annotations
 from waveloom.llm.common import table
 from waveloom.llm.exactdedup import exact_dedup
 from waveloom.llm.packing import pack
+from waveloom.llm.sentpiece import encode_spans
 from waveloom.llm.sstable import read_shards, write_shards
 from waveloom.llm.warc import read_chunks, records, write_archives
 
@@ -17,6 +18,10 @@ def op2_warc_chunks(spark, sf_dir):
     return records(read_chunks(write_archives(table(spark, sf_dir, "pages")))).withColumnRenamed("record_id", "page_id")
 
 
+def op3_sentencepiece_spans(spark, sf_dir):
+    return encode_spans(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op9_sorted_shards(spark, sf_dir):
     return read_shards(write_shards(table(spark, sf_dir, "documents")))
 
@@ -25,7 +30,7 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_warc_chunks, op9_sorted_shards, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_warc_chunks, op3_sentencepiece_spans, op9_sorted_shards, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op2_warc_chunks": r"""
