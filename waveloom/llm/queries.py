@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from waveloom.llm.common import table
 from waveloom.llm.exactdedup import exact_dedup
+from waveloom.llm.jpegmedia import payload_media
 from waveloom.llm.packing import pack
 from waveloom.llm.sentpiece import encode_spans
 from waveloom.llm.sstable import read_shards, write_shards
@@ -22,6 +23,10 @@ def op3_sentencepiece_spans(spark, sf_dir):
     return encode_spans(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op7_jpeg_media(spark, sf_dir):
+    return payload_media(table(spark, sf_dir, "documents"))
+
+
 def op9_sorted_shards(spark, sf_dir):
     return read_shards(write_shards(table(spark, sf_dir, "documents")))
 
@@ -30,7 +35,7 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_warc_chunks, op3_sentencepiece_spans, op9_sorted_shards, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_warc_chunks, op3_sentencepiece_spans, op7_jpeg_media, op9_sorted_shards, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op2_warc_chunks": r"""
