@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         .distinct(),
         name,
     )
-    state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum("v"), F.lit(0)), F.expr("bit_xor(xxhash64(u, v))")).first())
+    state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u))")).first())
     seen = state(current)
     while seen[0]:
         following = materialize(_stars(_stars(current, True), False), name)

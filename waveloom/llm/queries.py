@@ -5,6 +5,7 @@ from __future__ import annotations
 from waveloom.llm.common import table
 from waveloom.llm.exactdedup import exact_dedup
 from waveloom.llm.jpegmedia import payload_media
+from waveloom.llm.ngramjoin import jaccard_components
 from waveloom.llm.packing import pack
 from waveloom.llm.sentpiece import encode_spans
 from waveloom.llm.sstable import read_shards, write_shards
@@ -27,6 +28,10 @@ def op7_jpeg_media(spark, sf_dir):
     return payload_media(table(spark, sf_dir, "documents"))
 
 
+def op8_shingle_join(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_sorted_shards(spark, sf_dir):
     return read_shards(write_shards(table(spark, sf_dir, "documents")))
 
@@ -35,7 +40,7 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_warc_chunks, op3_sentencepiece_spans, op7_jpeg_media, op9_sorted_shards, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_warc_chunks, op3_sentencepiece_spans, op7_jpeg_media, op8_shingle_join, op9_sorted_shards, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op2_warc_chunks": r"""
