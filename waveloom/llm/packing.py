@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waveloom.llm.common import byte_slices, materialize, spread
-from waveloom.llm.tokens import BatchEncoder, crc32, vocabulary, with_end
+from waveloom.llm.tokens import crc32, shared_encoder, vocabulary, with_end
 
 #: Texts encoded at a time, in bytes.
 SLICE = 6 << 20
@@ -37,7 +37,7 @@ def length_pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, roo
     id_type = df.schema[id_col].dataType
 
     def encode(batches):
-        encoder, seen, task = BatchEncoder(tokenizer, blanks_dropped=True), np.zeros(room + 1, np.int64), TaskContext.get().partitionId()
+        encoder, seen, task = shared_encoder(tokenizer, True), np.zeros(room + 1, np.int64), TaskContext.get().partitionId()
         for whole in batches:
             for batch in text_slices(whole, "text"):
                 offsets, ids = with_end(*encoder.encode(batch.column("text")))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -29,7 +30,7 @@ class BatchEncoder:
     cache_words: words kept from batch to batch; beyond it the store starts anew, so memory is bounded.
     """
 
-    def __init__(self, path: str, blanks_dropped: bool, cache_words: int = 1_000_000):
+    def __init__(self, path: str, blanks_dropped: bool, cache_words: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -128,6 +129,12 @@ class BatchEncoder:
         return np.concatenate([[0], ends[last - 1]]) if len(last) else np.zeros(1, np.int64), ids
 
 
+@lru_cache(2)
+def shared_encoder(path: str, blanks_dropped: bool) -> BatchEncoder:
+    """One encoder per worker process: the words that a task has met serve the next task."""
+    return BatchEncoder(path, blanks_dropped)
+
+
 def with_end(offsets: np.ndarray, ids: np.ndarray, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The same with the id ``end`` after each text."""
     n = len(offsets) - 1
