@@ -1,7 +1,10 @@
-"""Connected components of an edge table, by alternating large and small stars."""
+"""Connected components of an edge table, by alternating large and small stars, and of nodes that meet in
+buckets without giving all pairs of a bucket."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +45,35 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         if now == seen:
             break
         seen = now
+    # every u points at its component's smallest node, which itself is a u nowhere
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def multiple_buckets(index: DataFrame) -> DataFrame:
+    """(bucket, node, a) of the rows of ``index`` (bucket, node) whose bucket holds several nodes; a is its
+    smallest node. Minima and maxima are taken map-side; hot buckets are split by the skew join."""
+    several = index.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a <> most").drop("most")
+    return materialize(index.join(several, "bucket"), "bucket-rows")
+
+
+def bucket_components(shared: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) of nodes linked in buckets (see :func:`multiple_buckets`); verify keeps of pairs
+    (a, b) those that link.
+
+    Each node is verified against its bucket's smallest node first. Once these links are joined, only
+    buckets that still hold several components give further pairs, and only across components: a pair
+    within a component cannot change it, so none that could is left out.
+    """
+    stars = materialize(shared.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "bucket-stars")
+    found = connected_components(materialize(verify(stars), "bucket-links"))
+    placed = materialize(shared.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "bucket-placed")
+    split = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+    left = placed.join(split, "bucket").distinct()
+    a, b = (left.select("bucket", F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+    across = a.join(b, "bucket").where("a < b and of_a <> of_b").select("a", "b").distinct()
+    rest = materialize(across.join(stars, ["a", "b"], "left_anti"), "bucket-rest")
+    later = materialize(verify(rest), "bucket-links")
+    # the first round's components stand for its links
+    return connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(later))
