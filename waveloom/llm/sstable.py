@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from waveloom.llm.common import committed_file, fresh_path, materialize, open_fs, spread
 from waveloom.llm.packing import text_slices
-from waveloom.llm.tokens import BatchEncoder, crc32, vocabulary, with_end
+from waveloom.llm.tokens import crc32, shared_encoder, vocabulary, with_end
 
 MAGIC = b"WLSST\x00\x00\x01"
 FOOTER = struct.Struct("<QQQQIQQ8s")
@@ -172,7 +172,7 @@ def write_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path, tokenizer = path or fresh_path(spark, "sst"), tokenizer or vocabulary("byte_bpe_50k.json")
 
     def write(batches):
-        encoder, writer, first, file, name, last, nth = BatchEncoder(tokenizer, blanks_dropped=False), None, None, None, None, None, 0
+        encoder, writer, first, file, name, last, nth = shared_encoder(tokenizer, False), None, None, None, None, None, 0
         for whole in batches:
             for batch in text_slices(whole, "text"):
                 keys = batch.column("id").to_pylist()
