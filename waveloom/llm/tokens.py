@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import zlib
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Empty, or a blank of any kind (control separators too) at either end.
+BLANK_EDGE = r"^$|^[\s\pZ\x0b\x1c-\x1f\x85]|[\s\pZ\x0b\x1c-\x1f\x85]$"
+
+
 class BatchEncoder:
     """Ids of many texts at once.
 
@@ -37,15 +41,20 @@ class BatchEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.blanks_dropped, self.cache_words = blanks_dropped, cache_words
+        #: Between words encoded together: a control character, or a line end where a word takes its blank.
+        self.mark = "\x01" if blanks_dropped else "\n"
+        (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.spaced: dict[str, int] = {}
+        self.bare: dict[str, int] = {}
+        self.stored = 0
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _append(self, words: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
-        n, total = len(self.index), len(ids)
+    def _append(self, words: list[str], lengths: np.ndarray, ids: np.ndarray, index: dict[str, int]) -> None:
+        n, total = self.stored, len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(words) > len(self.start):
@@ -54,7 +63,8 @@ class BatchEncoder:
         self.start[n : n + len(words)] = self.used + np.cumsum(lengths) - lengths
         self.length[n : n + len(words)] = lengths
         self.used += total
-        self.index.update(zip(words, range(n, n + len(words)), strict=True))
+        self.stored += len(words)
+        index.update(zip(words, range(n, n + len(words)), strict=True))
 
     def _gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids) of stored words put in a row."""
@@ -62,34 +72,49 @@ class BatchEncoder:
         ends = np.cumsum(lengths)
         return lengths, self.flat[np.repeat(self.start[place] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode words that are not stored. A letter before a last comma or stop is a cut between
-        pretokens, so such a word is its stem and that mark."""
-        marked = [w for w in words if len(w) > 1 and w[-1] in ".," and w[-2].isalpha()]
-        stems = [w[:-1] for w in marked]
-        told = set(marked)
-        plain = [w for w in dict.fromkeys([*(w for w in words if w not in told), *stems, ".", ","]) if w not in self.index]
+    def _learn(self, words: list[str], lead: str, index: dict[str, int]) -> None:
+        """Encode words that are not stored. Many are put in one text with a mark between them that is a
+        pretoken of its own; the ids between marks are the words'. A letter before a last comma or stop
+        is a cut between pretokens, so such a word is its stem and that sign."""
+        signed = [w for w in words if len(w) > 1 and w[-1] in ".," and w[-2].isalpha()]
+        if signed:
+            place = np.empty(2 * len(signed), np.int64)
+            place[::2] = self._places([w[:-1] for w in signed], lead)
+            place[1::2] = self._places([".", ","])[np.fromiter((w[-1] == "," for w in signed), np.int64, len(signed))]
+            lengths, ids = self._gather(place)
+            self._append(signed, lengths[::2] + lengths[1::2], ids, index)
+            words = [w for w in words if w not in index]
+        tidy = [w for w in words if w and not (w[0].isspace() or w[-1].isspace() or self.mark in w)]
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        ids = [x.ids for x in encode(plain, add_special_tokens=False)]
+        between = f" {self.mark} " if self.blanks_dropped else self.mark
+        joined = ["".join(lead + w + between for w in tidy[i : i + 500]) for i in range(0, len(tidy), 500)]
+        ids = np.fromiter(chain.from_iterable(x.ids for x in encode(joined, add_special_tokens=False)), np.int32)
+        marks = np.flatnonzero(ids == self.mark_id)
+        if len(marks) == len(tidy):
+            lengths = np.diff(marks, prepend=-1) - 1
+            self._append(tidy, lengths, np.delete(ids, marks), index)
+        else:
+            tidy = []
+        told = set(tidy)
+        rest = [w for w in words if w not in told]
+        ids = [x.ids for x in encode([lead + w for w in rest], add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self._append(plain, lengths, np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())))
-        if marked:
-            place = np.empty(2 * len(marked), np.int64)
-            place[::2] = np.fromiter(map(self.index.__getitem__, stems), np.int64, len(stems))
-            place[1::2] = np.fromiter((self.index[w[-1]] for w in marked), np.int64, len(marked))
-            lengths, flat = self._gather(place)
-            self._append(marked, lengths[::2] + lengths[1::2], flat)
-
-    def _places(self, words: list[str]) -> np.ndarray:
-        known = self.index
-        if new := [w for w in words if w not in known]:
-            self._learn(list(dict.fromkeys(new)))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        self._append(rest, lengths, np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())), index)
+
+    def _places(self, words: list[str], lead: str = "") -> np.ndarray:
+        index = self.spaced if lead else self.bare
+        place = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            new = [words[i] for i in missing]
+            self._learn(list(dict.fromkeys(new)), lead, index)
+            place[missing] = np.fromiter(map(index.__getitem__, new), np.int64, len(new))
+        return place
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids): the ids of text i are ids[offsets[i]:offsets[i + 1]]; null counts as empty."""
         texts = pc.fill_null(texts, "")
-        if len(self.index) > self.cache_words:
+        if self.stored > self.cache_words:
             self._reset()
         # a line end between two words is a pretoken of its own, and the word after it has no blank
         cut = pc.replace_substring(texts, "\n", " " if self.blanks_dropped else " \n ")
@@ -101,15 +126,19 @@ class BatchEncoder:
         if self.blanks_dropped:
             place = self._places(words)[codes]
         else:
-            line_end = np.fromiter((w == "\n" for w in words), bool, len(words))
-            place = self._places([w if w == "\n" else " " + w for w in words])[codes]
+            line_end = pc.equal(coded.dictionary, "\n").to_numpy(zero_copy_only=False)
+            place = self._places(words, " ")[codes]
+            ends = line_end[codes]
+            if ends.any():
+                place[ends] = self._places(["\n"])[0]
             bare = np.zeros(len(codes), bool)
             bare[1:] = line_end[codes[:-1]]
             bare[first] = True
             at = np.flatnonzero(bare)
             lead, back = np.unique(codes[at], return_inverse=True)
             place[at] = self._places([words[i] for i in lead])[back]
-            odd = np.fromiter((not w or (w[0].isspace() and w != "\n") or (w[-1].isspace() and w != "\n") for w in words), bool, len(words))[codes]
+            blank = pc.match_substring_regex(coded.dictionary, BLANK_EDGE).to_numpy(zero_copy_only=False)
+            odd = (blank & ~line_end)[codes]
             odd |= line_end[codes] & bare  # a line end at a text's start or after another
             odd[last[line_end[codes[last - 1]]] - 1] = True  # or at its end
             odd[first[(last - first == 1)]] = False
