@@ -5,6 +5,7 @@ from __future__ import annotations
 from waveloom.llm.common import table
 from waveloom.llm.exactdedup import exact_dedup
 from waveloom.llm.jpegmedia import payload_media
+from waveloom.llm.langid import identify_held_out
 from waveloom.llm.linededup import dedup_lines
 from waveloom.llm.ngramjoin import jaccard_components
 from waveloom.llm.packing import pack
@@ -29,6 +30,10 @@ def op4_fuzzy_lines(spark, sf_dir):
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "dropped", "text")
 
 
+def op5_language_mixtures(spark, sf_dir):
+    return identify_held_out(table(spark, sf_dir, "documents")).drop("mixture")
+
+
 def op7_jpeg_media(spark, sf_dir):
     return payload_media(table(spark, sf_dir, "documents"))
 
@@ -45,7 +50,7 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_warc_chunks, op3_sentencepiece_spans, op4_fuzzy_lines, op7_jpeg_media, op8_shingle_join, op9_sorted_shards, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_warc_chunks, op3_sentencepiece_spans, op4_fuzzy_lines, op5_language_mixtures, op7_jpeg_media, op8_shingle_join, op9_sorted_shards, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op2_warc_chunks": r"""
