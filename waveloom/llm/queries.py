@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from waveloom.llm.common import table
 from waveloom.llm.exactdedup import exact_dedup
+from waveloom.llm.htmlmain import main_text
 from waveloom.llm.jpegmedia import payload_media
 from waveloom.llm.langid import identify_held_out
 from waveloom.llm.linededup import dedup_lines
@@ -34,6 +35,10 @@ def op5_language_mixtures(spark, sf_dir):
     return identify_held_out(table(spark, sf_dir, "documents")).drop("mixture")
 
 
+def op6_template_main_text(spark, sf_dir):
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_jpeg_media(spark, sf_dir):
     return payload_media(table(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_warc_chunks, op3_sentencepiece_spans, op4_fuzzy_lines, op5_language_mixtures, op7_jpeg_media, op8_shingle_join, op9_sorted_shards, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_warc_chunks, op3_sentencepiece_spans, op4_fuzzy_lines, op5_language_mixtures, op6_template_main_text, op7_jpeg_media, op8_shingle_join, op9_sorted_shards, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op2_warc_chunks": r"""
