@@ -1,7 +1,6 @@
 import zlib
 
 import numpy as np
-import pytest
 from tokenizers import Tokenizer
 
 from waveloom.llm.common import open_fs
@@ -44,5 +43,8 @@ def test_lookup_by_binary_search(docs):
 
 def test_empty_and_null_keys(spark, no_docs):
     assert read_shards(write_shards(no_docs)).collect() == []
-    with pytest.raises(Exception, match="shards are keyed"):
-        write_shards(spark.createDataFrame([(None, "a")], "doc_id long, text string"))
+    rows = [(None, "b"), (-(1 << 63), "c d"), (None, None), ((1 << 63) - 1, "e"), (None, "a")]
+    result = read_shards(write_shards(spark.createDataFrame(rows, "doc_id long, text string")), with_ids=True).orderBy("start").collect()
+    assert [r.doc_id for r in result] == [None, None, None, -(1 << 63), (1 << 63) - 1]
+    assert [r.n_tokens for r in result] == [1, 2, 2, 3, 2] and [r.start for r in result] == [0, 1, 3, 5, 8]
+    assert result[1].ids != result[2].ids

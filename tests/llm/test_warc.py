@@ -61,8 +61,10 @@ def test_cut_file_fails(edge_pages):
         list(chunk_rows(io.BytesIO(whole)))
 
 
-def test_empty_table_and_null_id(spark, edge_pages):
+def test_empty_table_and_null_ids(spark, edge_pages):
     assert records(read_chunks(write_archives(edge_pages.where("false")))).count() == 0
     assert record_types(edge_pages.where("false"), "page_id", "html").count() == 0
-    with pytest.raises(Exception, match="records are named"):
-        write_archives(spark.createDataFrame([(None, "u", "h")], "page_id long, url string, html string"))
+    rows = [(None, "u", "h"), (None, "u", "q" * 200), (None, "u", "r" * 200), (5, "u", "r" * 200), (5, "u", "r" * 200), (None, None, None)]
+    got = records(read_chunks(write_archives(spark.createDataFrame(rows, "page_id long, url string, html string")))).collect()
+    assert sorted((r.record_id, r.payload_bytes, r.record_type, r.refers_to) for r in got if r.record_id) == [(5, 200, "response", None)] * 2
+    assert sorted((r.payload_bytes, r.record_type, r.refers_to) for r in got if not r.record_id) == [(0, "response", None), (1, "response", None), (200, "response", None), (200, "revisit", 5)]

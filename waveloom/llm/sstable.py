@@ -4,13 +4,13 @@ A shard holds a contiguous range of keys in ascending order. File layout, all nu
 
     blocks   zlib(entries); an entry is varint(shared key bytes), varint(other key bytes),
              varint(value bytes), the other key bytes, the value. A block's first entry shares nothing.
-    index    a record per block: first key (16 bytes), u64 place, u32 bytes
+    index    a record per block: first key (17 bytes), u64 place, u32 bytes
     filter   Bloom filter bits
     footer   u64 index place, u64 index records, u64 filter place, u64 filter bits, u32 hashes,
              u64 entries, u64 ids, 8 bytes magic
 
-A key is the document's identifier and its number among rows of that identifier, both big-endian with
-the sign turned, so bytes order as numbers do. A value is ids as unsigned 16- or 32-bit integers behind
+A key is a byte that is 0 for a null identifier, else 1; the identifier, big-endian with its sign turned, so
+that bytes order as numbers do; and the document's number among rows of that identifier. A value is ids as unsigned 16- or 32-bit integers behind
 a byte that tells their width.
 """
 
@@ -33,14 +33,19 @@ MAGIC = b"WLSST\x00\x00\x01"
 FOOTER = struct.Struct("<QQQQIQQ8s")
 BLOCK = 64 << 10
 BITS_PER_KEY, HASHES = 10, 7
+#: Stands for a null identifier in the filter.
+NO_ID = -(1 << 63)
 
 
-def key_of(doc_id: int, nth: int = 0) -> bytes:
-    return struct.pack(">QQ", (doc_id + (1 << 63)) & (1 << 64) - 1, nth)
+KEY, RECORD = 17, 29
 
 
-def id_of(key: bytes) -> int:
-    return struct.unpack(">Q", key[:8])[0] - (1 << 63)
+def key_of(doc_id: int | None, nth: int = 0) -> bytes:
+    return struct.pack(">BQQ", 0, 0, nth) if doc_id is None else struct.pack(">BQQ", 1, (doc_id + (1 << 63)) & (1 << 64) - 1, nth)
+
+
+def id_of(key: bytes) -> int | None:
+    return struct.unpack(">Q", key[1:9])[0] - (1 << 63) if key[0] else None
 
 
 def _varint(n: int) -> bytes:
@@ -83,16 +88,16 @@ class ShardWriter:
         key = key_of(doc_id, nth)
         shared = 0
         if self.held:
-            while shared < 16 and key[shared] == self.last[shared]:
+            while shared < KEY and key[shared] == self.last[shared]:
                 shared += 1
         else:
             self.first = key
         narrow = not len(ids) or ids.max() < 1 << 16
         value = (b"\x02" if narrow else b"\x04") + np.ascontiguousarray(ids, "<u2" if narrow else "<u4").tobytes()
-        self.held += _varint(shared) + _varint(16 - shared) + _varint(len(value)) + key[shared:]
+        self.held += _varint(shared) + _varint(KEY - shared) + _varint(len(value)) + key[shared:]
         self.held += value
         self.last = key
-        self.keys.append(doc_id)
+        self.keys.append(NO_ID if doc_id is None else doc_id)
         self.ids += len(ids)
         if len(self.held) >= self.block:
             self._flush()
@@ -124,9 +129,9 @@ class ShardReader:
         if magic != MAGIC:
             raise ValueError("not a shard")
         file.seek(place)
-        index = file.read(28 * n)
-        self.first = [index[i : i + 16] for i in range(0, 28 * n, 28)]
-        self.blocks = [struct.unpack("<QI", index[i + 16 : i + 28]) for i in range(0, 28 * n, 28)]
+        index = file.read(RECORD * n)
+        self.first = [index[i : i + KEY] for i in range(0, RECORD * n, RECORD)]
+        self.blocks = [struct.unpack("<QI", index[i + KEY : i + RECORD]) for i in range(0, RECORD * n, RECORD)]
         file.seek(bloom_at)
         self.bloom = np.unpackbits(np.frombuffer(file.read(self.bits // 8), np.uint8))
 
@@ -148,9 +153,9 @@ class ShardReader:
             for key, ids in self._block(i):
                 yield id_of(key), ids
 
-    def get(self, doc_id: int) -> np.ndarray | None:
+    def get(self, doc_id: int | None) -> np.ndarray | None:
         """Ids of a document, by the filter, then binary search of the block index."""
-        if not self.bloom[_bloom_places(np.array([doc_id], np.int64), self.bits)[0]].all():
+        if not self.bloom[_bloom_places(np.array([NO_ID if doc_id is None else doc_id], np.int64), self.bits)[0]].all():
             return None
         key = key_of(doc_id)
         if (i := bisect_right(self.first, key) - 1) >= 0:
@@ -165,23 +170,21 @@ def write_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     manifest: path, first_id, entries, ids, start (ids in the shards before).
 
     Rows are dealt to shards by ranges of the id and sorted there. A null text counts as empty. A null
-    id is refused: a table is keyed by it. Rows that repeat an id follow one another, ordered by text.
+    id sorts before all others. Rows that repeat an id follow one another, ordered by text.
     A retried task writes the same file under the same name.
     """
     spark = df.sparkSession
     path, tokenizer = path or fresh_path(spark, "sst"), tokenizer or vocabulary("byte_bpe_50k.json")
 
     def write(batches):
-        encoder, writer, first, file, name, last, nth = shared_encoder(tokenizer, False), None, None, None, None, None, 0
+        encoder, writer, first, file, name, last, nth = shared_encoder(tokenizer, False), None, None, None, None, (), 0
         for whole in batches:
             for batch in text_slices(whole, "text"):
                 keys = batch.column("id").to_pylist()
-                if None in keys:
-                    raise ValueError(f"{id_col} is null; shards are keyed by it")
                 offsets, ids = with_end(*encoder.encode(batch.column("text")))
                 for i, key in enumerate(keys):
                     if writer is None:
-                        first, name = key, f"{path}/{(key + (1 << 63)):020d}.sst"
+                        first, name = key, f"{path}/{key_of(key)[:9].hex()}.sst"
                         file = committed_file(name)
                         writer = ShardWriter(file.__enter__())
                     nth = nth + 1 if key == last else 0

@@ -30,13 +30,22 @@ def record_types(df: DataFrame, id_col: str, payload_col: str, least: int = LEAS
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     keys = df.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(payload, 256)).alias("digest"), F.octet_length(payload).alias("n"))
     first = keys.where(F.col("n") >= least).groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return keys.join(first, "digest", "inner").where("id <> first_id").select("id", "digest", F.col("first_id").alias("refers_to")).distinct()
+    return keys.join(first, "digest", "inner").where("first_id is not null and not id <=> first_id").select("id", "digest", F.col("first_id").alias("refers_to")).distinct()
 
 
 def _head(fields: list[tuple[str, str]]) -> bytes:
     return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in fields) + b"\r\n"
 
 
+def name_of(page: int | None) -> str:
+    return "none" if page is None else str(page)
+
+
+def number_of(name: str) -> int | None:
+    name = name.removeprefix("<urn:page:").removesuffix(">")
+    return None if name == "none" else int(name)
+
+
 class _Members:
     """Gzip members in a row, one per record, as archives of this kind are read from any record on."""
 
@@ -63,13 +72,15 @@ def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """Write a record per row into ``.warc.gz`` files in the shared folder; the manifest: path, records.
 
     Of equal payloads of at least ``least`` bytes the smallest id is a response, the others are revisits
-    of it without payload. A null payload counts as empty, a null url as an empty target. A null id is
-    refused. Rows that repeat an id are records that repeat it.
+    of it without payload. A null payload counts as empty, a null url as an empty target. A null id
+    is read back as one; it is a response only if no row with an id has the payload. Rows that repeat an id
+    are records that repeat it.
     """
     path = path or fresh_path(df.sparkSession, "warc")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload"))
     keyed = spread(rows).withColumn("digest", F.unhex(F.sha2("payload", 256)))
-    typed = keyed.join(record_types(df, id_col, payload_col, least), ["id", "digest"], "left")
+    again = record_types(df, id_col, payload_col, least).withColumnsRenamed({"id": "again_id", "digest": "again_digest"})
+    typed = keyed.join(again, F.col("id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left")
 
     def write(batches):
         file = members = name = None
@@ -78,8 +89,6 @@ def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
             ids, urls, refers = (batch.column(c).to_pylist() for c in ("id", "url", "refers_to"))
             payloads = batch.column("payload")
             for i, (page, url, target) in enumerate(zip(ids, urls, refers, strict=True)):
-                if page is None:
-                    raise ValueError(f"{id_col} is null; records are named by it")
                 if file is None:
                     name = f"{path}/part-{TaskContext.get().partitionId():06d}.warc.gz"
                     file = committed_file(name)
@@ -89,7 +98,7 @@ def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 for chunk in chunks_of(value):
                     digest.update(chunk)
                 kind = "response" if target is None else "revisit"
-                fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{page}>"), ("WARC-Date", DATE), ("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")), ("WARC-Payload-Digest", f"sha256:{digest.hexdigest()}")]
+                fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{name_of(page)}>"), ("WARC-Date", DATE), ("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")), ("WARC-Payload-Digest", f"sha256:{digest.hexdigest()}")]
                 if target is None:
                     fields += [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(value.size))]
                 else:
@@ -158,7 +167,6 @@ def chunk_rows(file, size: int = CHUNK):
             k, _, v = line.partition(b":")
             fields[k.strip().lower()] = v.strip().decode()
         left, number, digest = int(fields[b"content-length"]), 0, hashlib.sha256()
-        number_of = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">"))
         refers = fields.get(b"warc-refers-to")
         while True:
             data = stream.take(min(size, left))
