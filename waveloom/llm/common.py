@@ -13,15 +13,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, or one of
     our own where that is unset, as in tests on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if "local" not in spark.sparkContext.master.split("-")[0]:
+        app = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="waveloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="waveloom-")
+        base = _own[app]
     return base.rstrip("/")
 
 
@@ -48,10 +53,17 @@ def discard(df: DataFrame) -> None:
         hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+#: Rows that go to Python at a time. Whole texts are wide: a batch should hold a few MB.
+ARROW_ROWS = 500
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out when the input has fewer partitions than the cluster has cores (small or
-    unsplittable files); larger inputs keep the partitions of their scan."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    """Rows on their way to Python: dealt out when the input has fewer partitions than the cluster has
+    cores (small or unsplittable files), while larger inputs keep the partitions of their scan; and in
+    Arrow batches of few rows."""
+    conf, cores = df.sparkSession.conf, df.sparkSession.sparkContext.defaultParallelism
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ARROW_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waveloom.llm.bitmaps import flagged
 from waveloom.llm.common import discard, materialize
 
 
@@ -53,27 +54,42 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
 
 def multiple_buckets(index: DataFrame) -> DataFrame:
     """(bucket, node, a) of the rows of ``index`` (bucket, node) whose bucket holds several nodes; a is its
-    smallest node. Minima and maxima are taken map-side; hot buckets are split by the skew join."""
-    several = index.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a <> most").drop("most")
-    return materialize(index.join(several, "bucket"), "bucket-rows")
+    smallest node. Most buckets hold one: keys alone are counted first, and only rows behind a bitmap of the
+    keys that count twice are joined. Counts and minima are taken map-side; hot buckets are split by the
+    skew join."""
+    twice = materialize(index.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "bucket-keys")
+    rows = flagged(index, F.col("bucket"), twice.select(F.col("bucket").alias("key"))).where("may").select("bucket", "node")
+    rows = materialize(rows.join(twice, "bucket").distinct(), "bucket-members")
+    several = rows.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a <> most").drop("most")
+    shared = materialize(rows.join(several, "bucket"), "bucket-rows")
+    discard(twice)
+    discard(rows)
+    return shared
 
 
-def bucket_components(shared: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) of nodes linked in buckets (see :func:`multiple_buckets`); verify keeps of pairs
-    (a, b) those that link.
+def bucket_components(shared: DataFrame, features: DataFrame, open_: str, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) of nodes linked in buckets (see :func:`multiple_buckets`). features: (node, ...) of
+    these nodes; open_: a condition on columns named like x_a and x_b, which every pair that links meets;
+    verify keeps of such pairs (a, b) those that link.
 
     Each node is verified against its bucket's smallest node first. Once these links are joined, only
-    buckets that still hold several components give further pairs, and only across components: a pair
-    within a component cannot change it, so none that could is left out.
+    buckets that still hold several components give further pairs, only across components, and only open
+    ones: the condition is part of the join. A pair within a component cannot change it, so none that
+    could is left out.
     """
+    named = [c for c in features.columns if c != "node"]
+    side = lambda c: [F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in named)]
     stars = materialize(shared.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "bucket-stars")
-    found = connected_components(materialize(verify(stars), "bucket-links"))
+    first = materialize(stars.join(features.select(side("a")), "a").join(features.select(side("b")), "b").where(open_).select("a", "b"), "bucket-pairs")
+    found = connected_components(materialize(verify(first), "bucket-links"))
     placed = materialize(shared.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "bucket-placed")
     split = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    left = placed.join(split, "bucket").distinct()
-    a, b = (left.select("bucket", F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
-    across = a.join(b, "bucket").where("a < b and of_a <> of_b").select("a", "b").distinct()
-    rest = materialize(across.join(stars, ["a", "b"], "left_anti"), "bucket-rest")
+    left = placed.join(split, "bucket").join(features, "node")
+    a, b = (left.select("bucket", F.col("component").alias(f"of_{c}"), *side(c)) for c in "ab")
+    across = a.join(b, (a["bucket"] == b["bucket"]) & F.expr(f"a < b and of_a <> of_b and {open_}")).select("a", "b").distinct()
+    rest = materialize(across.join(first, ["a", "b"], "left_anti"), "bucket-rest")
     later = materialize(verify(rest), "bucket-links")
+    for used in (stars, first, placed):
+        discard(used)
     # the first round's components stand for its links
     return connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(later))

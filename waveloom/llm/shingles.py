@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 ODD = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Texts hashed at a time, in bytes.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:
