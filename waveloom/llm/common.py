@@ -54,7 +54,7 @@ def discard(df: DataFrame) -> None:
 
 
 #: Rows that go to Python at a time. Whole texts are wide: a batch should hold a few MB.
-ARROW_ROWS = 500
+ARROW_ROWS = 2000
 
 
 def spread(df: DataFrame) -> DataFrame:
