@@ -54,16 +54,16 @@ def discard(df: DataFrame) -> None:
 
 
 #: Rows that go to Python at a time. Whole texts are wide: a batch should hold a few MB.
-ARROW_ROWS = 2000
+ARROW_ROWS = 500
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, rows: int = ARROW_ROWS) -> DataFrame:
     """Rows on their way to Python: dealt out when the input has fewer partitions than the cluster has
     cores (small or unsplittable files), while larger inputs keep the partitions of their scan; and in
     Arrow batches of few rows."""
     conf, cores = df.sparkSession.conf, df.sparkSession.sparkContext.defaultParallelism
-    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ARROW_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 

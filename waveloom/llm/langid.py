@@ -130,7 +130,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Lang
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for whole in batches:
-            for batch in text_slices(whole, "text", 1 << 20):
+            for batch in text_slices(whole, "text", 1 << 19):
                 langs = batch.column("lang").to_pylist()
                 counts = gram_counts(batch.column("text").to_pylist())
                 for lang in set(langs):
@@ -171,7 +171,7 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
         m = shared.value
         for whole in batches:
             sized = whole.rename_columns([*names, "__text"])
-            for batch in text_slices(sized, "__text", 1 << 20):
+            for batch in text_slices(sized, "__text", 1 << 19):
                 texts = [t or "" for t in batch.column("__text").to_pylist()]
                 pred, score, mixture = [], [], []
                 weights, any_ = m.mixtures(gram_counts(texts)) if m.languages and texts else (np.zeros((len(texts), 1)), np.zeros(len(texts), bool))

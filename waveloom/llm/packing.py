@@ -68,7 +68,7 @@ def length_pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, roo
 
     schema = T.StructType([T.StructField("id", id_type), *(T.StructField(c, T.IntegerType() if c in ("piece", "task") else T.LongType()) for c in ("piece", "start", "length", "ids_crc32", "task", "nth"))])
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return spread(source).mapInArrow(encode, schema)
+    return spread(source, 2000).mapInArrow(encode, schema)  # more texts share more words
 
 
 def patterns_of(lengths: np.ndarray, room: int) -> np.ndarray:
