@@ -39,3 +39,22 @@ def test_query(spark, tables, name):
     assert got == want
     kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
     assert {c: kinds[t] for c, t in df.dtypes} == dict(zip(relation.columns, map(str, relation.types), strict=True))
+
+
+def test_contrastive_loss_of_the_whole_table(spark, tables):
+    """The loss in numpy, over every token of the table and not its first 256."""
+    np = pytest.importorskip("numpy")
+    from waveloom.plans.queries import DIM, tokens
+
+    rows = sorted((r.tok, r.z) for r in tokens(spark, SF).select("tok", "z").collect())
+    assert len(rows) == 4 * tables.sql("select count(*) from embeddings").fetchall()[0][0] > 256
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    losses = []
+    for b in sorted({t // 32 for t, _ in rows}):
+        z = np.array([z for t, z in rows if t // 32 == b])
+        v = np.concatenate([unit(z), unit(z + 0.01 * np.arange(DIM))])
+        s, n = v @ v.T / 0.1, len(z)
+        np.fill_diagonal(s, -np.inf)
+        mate = s[np.arange(2 * n), (np.arange(2 * n) + n) % (2 * n)]
+        losses.extend(np.log(np.exp(s).sum(1)) - mate)
+    assert QUERIES["contrastive_loss_all"](spark, SF).first().loss == pytest.approx(np.mean(losses), abs=2e-6)

@@ -213,3 +213,5 @@ ORACLE_SQL = {
     "upsample_nearest": frame_cells(f"list_transform(range({2 * FRAME}), lambda i: samples[i // 2 + 1])", 2 * FRAME),
     "separable_conv": frame_cells("flatten(list_transform(" + conv(DEEP, 1, 2) + ", lambda v: [" + ", ".join(f"v * {p}::DOUBLE" for p in POINT) + "]))", 3 * FRAME),
 }
+#: The same loss over the whole table.
+ORACLE_SQL["contrastive_loss_all"] = ORACLE_SQL["contrastive_loss"].replace(" WHERE tok < 256", "")

@@ -319,7 +319,15 @@ def rate_report(spark, d):
 
 
 def contrastive_loss(spark, d):
-    t = tokens(spark, d).where("tok < 256")
+    """The loss of the first 256 tokens alone; contrastive_loss_all has the table's."""
+    return contrastive(tokens(spark, d).where("tok < 256"))
+
+
+def contrastive_loss_all(spark, d):
+    return contrastive(tokens(spark, d))
+
+
+def contrastive(t):
     unit = lambda c: F.transform(c, lambda v: v / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)))
     views = t.select(F.expr("tok div 32").alias("batch_id"), F.col("tok").alias("item"), unit(F.col("z")).alias("a"), unit(F.transform("z", lambda v, i: v + 0.01 * i)).alias("b"))
     return quality.contrastive_loss(views).select(r6("loss").alias("loss"))
@@ -439,7 +447,7 @@ QUERIES = {
         codebook_uniform_init, vq_distance, vq_assign, vq_dequantize, vq_loss, vq_histogram, vq_stats_batch_mean, vq_stats_global,
         rvq_encode, rvq_mixed_k, rvq_decode, rvq_level_loss, rvq_level_stats, rvq_summary_stats,
         gs_weights, gs_logits, gs_logits_passthrough, gs_softmax, gs_gumbel_noise, gs_gumbel_softmax, gs_index, gs_expected_embedding, gs_hard_embedding, gs_token_entropy, gs_kl_bits, gs_stats,
-        recon_weighted_mse, total_loss, train_metrics, rate_report, contrastive_loss,
+        recon_weighted_mse, total_loss, train_metrics, rate_report, contrastive_loss, contrastive_loss_all,
         lr_cosine_decay, early_stopping, checkpoint_epochs, best_checkpoint,
         codebook_grad, codebook_sgd_step, codebook_adam_step, codebook_neighbours,
         conv1d_same_stride2, channel_layernorm, upsample_nearest, separable_conv, gelu, encoder_16x, decoder_16x, codec_roundtrip,
