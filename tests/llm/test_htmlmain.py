@@ -80,3 +80,16 @@ def test_classes_must_keep_order_and_nest(spark):
     held = {x ^ 2 for r in found for x in r.template}
     sign = lambda h: h - (1 << 64) if h >> 63 else h
     assert not {sign(s) for s in strings} & held
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "layout-with-sidebar", "no-sidebar", "comments-open", "social-share-enabled", "sidebar-right"])
+def test_wrappers_named_after_a_layout_keep_their_article(name):
+    for inner in ("article", "main"):
+        assert text_of(f"<div class='{name}'><{inner}><h1>T</h1><p>a</p></{inner}><div class='sidebar'>s</div></div>") == "T\n\na"
+    if name != "sidebar-right":
+        assert text_of(f"<div class='{name}'><p>a</p><aside>s</aside></div>") == "a"
+
+
+@pytest.mark.parametrize("page", ["<div class='comment-list'><article>c</article></div>", "<div class='related-posts'><article>c</article></div>", "<div class='post-sidebar'><p>s</p></div>", "<aside class='no-sidebar'><main>s</main></aside>", "<div hidden><main>s</main></div>", "<div class='cookie-notice-wrapper'>ok?</div>"])
+def test_other_matter_stays_out(page):
+    assert text_of(page + "<p>a</p>") == "a"

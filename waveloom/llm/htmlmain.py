@@ -44,24 +44,41 @@ OTHER_WORDS = frozenset(
     "ad ads adv advert advertisement adverts advertising banner sponsor sponsored promo promotion popup modal overlay cookie cookies consent gdpr notice alert disclaimer warning newsletter subscribe subscription signup signin login register menu menubar nav navbar navigation navlist breadcrumb breadcrumbs crumbs pagination pager sidebar side aside rail widget widgets related recommended recommendations more-stories trending popular footer foot colophon copyright legal masthead topbar toolbar header site-header page-header comment comments commentlist reply replies respond disqus discussion responses share sharing social follow buttons tags taglist search searchbox skip skiplink complementary contentinfo".split()
 )
 ARTICLE_WORDS = frozenset("article articlebody article-body story storybody story-body post postbody post-body post-content entry entry-content main maincontent main-content content-main bodytext".split())
+#: Parts of compounds that tell of the page's state or layout: what such a compound names is not what it holds.
+STATE_WORDS = frozenset("with has no without open closed enabled disabled layout".split())
+SIDE_WORDS = frozenset("sidebar side aside rail".split())
+CONTENT_WORDS = frozenset("content main article".split())
+WRAP_WORDS = frozenset("wrap wrapper container outer inner".split())
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus discussion responses".split())
 TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<bogus>[!?][^>]*>?)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|\Z)|(?P<junk>/[^a-zA-Z>][^>]*>?|/>))", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop|aria-label|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An open element: name, path hash, and whether it holds article or other matter."""
+    """An open element: name, path hash, whether it holds article or other matter, and which elements in it end
+    the latter: 0 none, 1 main, 2 main and article."""
 
-    __slots__ = ("name", "path", "other", "article", "comments")
+    __slots__ = ("name", "path", "other", "article", "ends")
 
-    def __init__(self, name, path, other, article):
-        self.name, self.path, self.other, self.article = name, path, other, article
+    def __init__(self, name, path, other, article, ends=2):
+        self.name, self.path, self.other, self.article, self.ends = name, path, other, article, ends
 
 
-def _named(words: list[str]) -> tuple[bool, bool]:
-    """(other, article) by words of class, id and role; a compound counts by its parts."""
-    parts = {p for w in words for p in (w, *re.split(r"[-_]+", w)) if p != "header" or w == p}
-    return bool(parts & OTHER_WORDS), bool(set(words) & ARTICLE_WORDS)
+def _named(words: list[str]) -> tuple[bool, bool, int]:
+    """(other, article, ends) by words of class, id and role; a compound counts by its parts, unless they tell of
+    a layout. A comment list is ended by no element in it, a compound with a side only by main and article."""
+    parts, ends = set(), 2
+    for w in words:
+        split = set(re.split(r"[-_]+", w)) - {"header" if w != "header" else ""}
+        found = (split | {w}) & OTHER_WORDS
+        compound = w not in OTHER_WORDS
+        if compound and (split & STATE_WORDS or found <= SIDE_WORDS and split & CONTENT_WORDS and split & WRAP_WORDS):
+            continue
+        if found:
+            parts |= found
+            ends = min(ends, 0 if found & COMMENT_WORDS else 2 if compound and found <= SIDE_WORDS else 1)
+    return bool(parts), bool(set(words) & ARTICLE_WORDS), ends
 
 
 def tokens(page: str):
@@ -125,13 +142,17 @@ def tokens(page: str):
                 else:
                     words += html.unescape(value).lower().split()
         top = stack[-1]
-        other, article = _named(words)
+        other, article, ends = _named(words)
         article = article or name in ("article", "main")
         # a header inside an article holds its title; page headers stand outside
         whole = name in ("html", "body", "main", "article")
         other = hidden or name in OTHER or (other and not whole) or (name == "header" and not top.article)
-        # an article among comments is a comment
-        node = Node(name, hashed(top.path, name + " " + " ".join(words)), top.other or other, top.article or (article and not (top.other or other)))
+        if hidden or name in OTHER or name == "header":
+            ends = 0
+        # an article among comments is a comment; one in a wrapper that names a side is not of that side
+        above = top.other and not (name in ("main", "article") and top.ends >= (1 if name == "main" else 2))
+        ends = min(ends if other else 2, top.ends if above else 2)
+        node = Node(name, hashed(top.path, name + " " + " ".join(words)), above or other, top.article or (article and not (above or other)), ends)
         block += name in BLOCKS
         out.append((0, node.path, block, " " if name == "br" else "", node.article, node.other))
         if name in VOID or m["attrs"].rstrip().endswith("/") and name not in BLOCKS:
