@@ -59,12 +59,13 @@ ARROW_ROWS = 500
 
 def spread(df: DataFrame, rows: int = ARROW_ROWS) -> DataFrame:
     """Rows on their way to Python: dealt out when the input has fewer partitions than the cluster has
-    cores (small or unsplittable files), while larger inputs keep the partitions of their scan; and in
-    Arrow batches of few rows."""
+    cores (small or unsplittable files), and taken together, without a shuffle, where it has many times as many,
+    so that a task's counts span more than a handful of rows; and in Arrow batches of few rows."""
     conf, cores = df.sparkSession.conf, df.sparkSession.sparkContext.defaultParallelism
     if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    n = df.rdd.getNumPartitions()
+    return df.repartition(cores) if n < cores else df.coalesce(max(4 * cores, n // 8)) if n > 8 * cores else df
 
 
 def open_fs(uri: str):

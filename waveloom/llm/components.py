@@ -54,42 +54,66 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
 
 def multiple_buckets(index: DataFrame) -> DataFrame:
     """(bucket, node, a) of the rows of ``index`` (bucket, node) whose bucket holds several nodes; a is its
-    smallest node. Most buckets hold one: keys alone are counted first, and only rows behind a bitmap of the
-    keys that count twice are joined. Counts and minima are taken map-side; hot buckets are split by the
-    skew join."""
-    twice = materialize(index.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "bucket-keys")
-    rows = flagged(index, F.col("bucket"), twice.select(F.col("bucket").alias("key"))).where("may").select("bucket", "node")
-    rows = materialize(rows.join(twice, "bucket").distinct(), "bucket-members")
-    several = rows.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a <> most").drop("most")
-    shared = materialize(rows.join(several, "bucket"), "bucket-rows")
-    discard(twice)
-    discard(rows)
+    smallest node. Most buckets hold one node, however often: keys are reduced to their smallest and largest node
+    map-side, and only rows behind a bitmap of the keys in which these differ are joined. Hot buckets are split
+    by the skew join."""
+    ends = index.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("most"))
+    several = materialize(ends.where("a <> most").select("bucket", "a"), "bucket-keys")
+    rows = flagged(index, F.col("bucket"), several.select(F.col("bucket").alias("key"))).where("may").select("bucket", "node")
+    shared = materialize(rows.join(several, "bucket").distinct(), "bucket-rows")
+    discard(several)
     return shared
 
 
-def bucket_components(shared: DataFrame, features: DataFrame, open_: str, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+#: Buckets of more nodes that fall into several components are taken together by their smallest node.
+SMALL = 32
+#: Nodes of a group that one task compares with the whole group.
+PROBES = 1024
+
+
+def bucket_components(shared: DataFrame, features: DataFrame, open_: str, verify: Callable[[DataFrame], DataFrame], closer: Callable[[DataFrame], DataFrame] | None = None, closer_open: str = "true") -> DataFrame:
     """(node, component) of nodes linked in buckets (see :func:`multiple_buckets`). features: (node, ...) of
     these nodes; open_: a condition on columns named like x_a and x_b, which every pair that links meets;
     verify keeps of such pairs (a, b) those that link.
 
-    Each node is verified against its bucket's smallest node first. Once these links are joined, only
+    Each node is verified against its bucket's smallest node, the pivot, first. Once these links are joined, only
     buckets that still hold several components give further pairs, only across components, and only open
     ones: the condition is part of the join. A pair within a component cannot change it, so none that
-    could is left out.
+    could is left out. Buckets of up to ``SMALL`` nodes give at most that many pairs a row. Larger ones with one
+    pivot are a group, so nodes that meet in many of them meet once; in a group only nodes outside the
+    pivot's component are compared with the others, ``PROBES`` of them to a task. closer adds columns to a group's
+    rows (pivot, node), and closer_open is a further condition on these.
     """
     named = [c for c in features.columns if c != "node"]
-    side = lambda c: [F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in named)]
+    side = lambda c, more=(): [F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in (*named, *more))]
     stars = materialize(shared.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "bucket-stars")
     first = materialize(stars.join(features.select(side("a")), "a").join(features.select(side("b")), "b").where(open_).select("a", "b"), "bucket-pairs")
+    discard(stars)
     found = connected_components(materialize(verify(first), "bucket-links"))
-    placed = materialize(shared.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "bucket-placed")
-    split = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    left = placed.join(split, "bucket").join(features, "node")
-    a, b = (left.select("bucket", F.col("component").alias(f"of_{c}"), *side(c)) for c in "ab")
+    placed = materialize(shared.join(found, "node", "left").select("bucket", "node", "a", F.coalesce("component", "node").alias("component")), "bucket-placed")
+    split = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("bucket", (F.col("n") > SMALL).alias("large"))
+    rows = materialize(placed.join(split, "bucket"), "bucket-split")
+    discard(placed)
+
+    small = rows.where("not large").join(features, "node")
+    a, b = (small.select("bucket", F.col("component").alias(f"of_{c}"), *side(c)) for c in "ab")
     across = a.join(b, (a["bucket"] == b["bucket"]) & F.expr(f"a < b and of_a <> of_b and {open_}")).select("a", "b").distinct()
-    rest = materialize(across.join(first, ["a", "b"], "left_anti"), "bucket-rest")
+
+    groups = rows.where("large").select(F.col("a").alias("pivot"), "node", "component").distinct()
+    groups = materialize(groups, "bucket-groups")
+    pivots = groups.groupBy("pivot").agg(F.max(F.when(F.col("node") == F.col("pivot"), F.col("component"))).alias("settled"), F.expr(f"cast(count(1) div {PROBES} as int)").alias("more"))
+    if closer:
+        groups = materialize(closer(groups), "bucket-closer")
+    more = [c for c in groups.columns if c not in ("pivot", "node", "component")]
+    whole = groups.join(pivots, "pivot").join(features, "node")
+    probes = whole.where("component <> settled").select("pivot", F.expr("cast(pmod(xxhash64(node), more + 1) as int)").alias("part"), F.col("component").alias("of_a"), *side("a", more))
+    others = whole.select("pivot", F.explode(F.sequence(F.lit(0), "more")).alias("part"), F.col("component").alias("of_b"), (F.col("component") == F.col("settled")).alias("calm"), *side("b", more))
+    beside = probes.join(others, (probes["pivot"] == others["pivot"]) & (probes["part"] == others["part"]) & F.expr(f"of_a <> of_b and (calm or a < b) and {open_} and {closer_open}"))
+    beside = beside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    rest = materialize(across.unionByName(beside).distinct().join(first, ["a", "b"], "left_anti"), "bucket-rest")
     later = materialize(verify(rest), "bucket-links")
-    for used in (stars, first, placed):
+    for used in (first, rows):
         discard(used)
     # the first round's components stand for its links
     return connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(later))

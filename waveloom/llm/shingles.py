@@ -79,7 +79,7 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
             held = np.sort(rolled[a : a + n - width + 1])
             out.append(held[np.concatenate([[True], held[1:] != held[:-1]])])
         elif n:
-            h = np.zeros(1, np.uint64)
+            h = np.zeros(1, np.uint64)  # an array: its products wrap
             for w in words[a : a + n]:
                 h = h * ODD + w
             out.append(mix(mix(h) + np.uint64(n)))
