@@ -15,7 +15,7 @@ from waveloom.llm.common import discard, materialize
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over edges (u, v) with u > v: every node points its neighbours (the larger ones, or
     the smaller ones and itself) at the smallest node it knows. Minima are joined back on the node; rows
-    are pairs of longs, and a hot node's rows are split by the engine's skew join."""
+    are pairs of longs, and a hot node's rows are split by the engine's skew join. Rows may repeat."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     near = both.join(least, "u")
@@ -23,7 +23,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         new = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         new = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return new.where("u <> v").distinct()
+    return new.where("u <> v")
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -39,7 +39,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u))")).first())
     seen = state(current)
     while seen[0]:
-        following = materialize(_stars(_stars(current, True), False), name)
+        following = materialize(_stars(_stars(current, True), False).distinct(), name)
         now = state(following)
         discard(current)
         current = following
@@ -86,9 +86,8 @@ def bucket_components(shared: DataFrame, features: DataFrame, open_: str, verify
     """
     named = [c for c in features.columns if c != "node"]
     side = lambda c, more=(): [F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in (*named, *more))]
-    stars = materialize(shared.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "bucket-stars")
+    stars = shared.where("node <> a").select("a", F.col("node").alias("b")).distinct()
     first = materialize(stars.join(features.select(side("a")), "a").join(features.select(side("b")), "b").where(open_).select("a", "b"), "bucket-pairs")
-    discard(stars)
     found = connected_components(materialize(verify(first), "bucket-links"))
     placed = materialize(shared.join(found, "node", "left").select("bucket", "node", "a", F.coalesce("component", "node").alias("component")), "bucket-placed")
     split = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("bucket", (F.col("n") > SMALL).alias("large"))
@@ -108,7 +107,7 @@ def bucket_components(shared: DataFrame, features: DataFrame, open_: str, verify
     whole = groups.join(pivots, "pivot").join(features, "node")
     probes = whole.where("component <> settled").select("pivot", F.expr("cast(pmod(xxhash64(node), more + 1) as int)").alias("part"), F.col("component").alias("of_a"), *side("a", more))
     others = whole.select("pivot", F.explode(F.sequence(F.lit(0), "more")).alias("part"), F.col("component").alias("of_b"), (F.col("component") == F.col("settled")).alias("calm"), *side("b", more))
-    beside = probes.join(others, (probes["pivot"] == others["pivot"]) & (probes["part"] == others["part"]) & F.expr(f"of_a <> of_b and (calm or a < b) and {open_} and {closer_open}"))
+    beside = probes.join(others, (probes["pivot"] == others["pivot"]) & (probes["part"] == others["part"]) & F.expr(f"of_a <> of_b and (calm or a < b) and {closer_open} and {open_}"))
     beside = beside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     rest = materialize(across.unionByName(beside).distinct().join(first, ["a", "b"], "left_anti"), "bucket-rest")
