@@ -13,7 +13,6 @@ from waveloom.llm.tokens import vocabulary
 
 def pieces(rows, room):
     t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     out = []
     for i, text in rows:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")

@@ -10,7 +10,6 @@ from waveloom.llm.tokens import vocabulary
 
 def brute(rows):
     t = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     out, at = [], 0
     for i, text in sorted(rows, key=lambda r: (r[0], r[1] is not None, (r[1] or "").encode())):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
