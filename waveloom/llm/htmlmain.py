@@ -2,15 +2,18 @@
 
 Pages of a host are sequences of tokens: tags under the path of tags that they stand in, and strings
 between tags. Tokens with the same occurrence vector (how often on which pages of the host) form a class.
-A class is valid if its tokens stand in one order on every page and its occurrences do not cross those of
+A class is valid if its tokens stand in one order on its pages and its occurrences do not cross those of
 the class around it; valid classes nest into the host's template. What stands between template tokens is
-a slot. Slots around which the template has a container for something else (menu, footer, advert, comment,
-form, ...) are dropped, as are template strings outside articles; the rest is the main text.
-
-Occurrence vectors are never built as rows: a token's vector is the sum of hashes of (page, count), summed
-map-side per (host, token), so a host with a third of all pages is a few rows per task. Pages stay where
-their scan read them; only sums move. The template comes back to the pages of a host through a join on the
-page's narrow token rows.
+a slot. The main text is the slots of the innermost template element, of those that stand once on a page, that holds
+two thirds of what fills slots outside links and nine in ten of the headings that change from page to page; template
+strings in it are dropped. Element names and words of class names do not choose it: in it they tell what is
+something else (menu, form, script, comments, ...), and they decide alone only on pages without
+such an element, as those of hosts with few pages.
+
+Pages are read twice. The first reading writes a narrow table of token hashes, from which classes are judged. Occurrence
+vectors are never built as rows: a token's vector is the sum of hashes of (page, count), summed map-side per (host,
+token), so a host with a third of all pages is a few rows per task. Templates are broadcast if they are small
+by their measured size; beyond it they are joined by host, where the engine splits hot hosts.
 """
 
 from __future__ import annotations
@@ -20,15 +23,17 @@ import re
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waveloom.llm.common import materialize, spread
+from waveloom.llm.common import discard, materialize, spread
 
 # Fixed values of HTML: elements by their role.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp".split())
 BLOCKS = frozenset(
@@ -56,13 +61,13 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An open element: name, path hash, whether it holds article or other matter, and which elements in it end
-    the latter: 0 none, 1 main, 2 main and article."""
+    """An open element: name, path hash, whether it holds article or other matter (and the token that began the
+    latter), which elements in it end that: 0 none, 1 main, 2 main and article; and whether it is in a link or heading."""
 
-    __slots__ = ("name", "path", "other", "article", "ends")
+    __slots__ = ("name", "path", "other", "article", "ends", "mark", "flags")
 
-    def __init__(self, name, path, other, article, ends=2):
-        self.name, self.path, self.other, self.article, self.ends = name, path, other, article, ends
+    def __init__(self, name, path, other, article, ends=2, mark=-1, flags=0):
+        self.name, self.path, self.other, self.article, self.ends, self.mark, self.flags = name, path, other, article, ends, mark, flags
 
 
 def _named(words: list[str]) -> tuple[bool, bool, int]:
@@ -82,8 +87,9 @@ def _named(words: list[str]) -> tuple[bool, bool, int]:
 
 
 def tokens(page: str):
-    """Tokens of a page in order: (kind, token hash, block number, text, in an article, in other matter).
-    kind: 0 tag start, 1 tag end, 2 string. Block numbers grow at every block's start and end."""
+    """Tokens of a page in order: (kind, token hash, block number, text, in an article, in other matter, the token
+    that began that, flags). kind: 0 tag start, 1 tag end, 2 string; flags: 1 in a link, 2 in a heading. Block numbers
+    grow at every block's start and end."""
     stack = [Node("", 0, False, False)]
     block, at, size, out = 0, 0, len(page), []
 
@@ -91,16 +97,15 @@ def tokens(page: str):
         text = html.unescape(raw)
         if text:
             top = stack[-1]
-            # strings of articles and of other matter are decided by where they stand
-            plain = not (top.article or top.other) and SPACE.sub(" ", text).strip()
-            out.append((2, hashed(top.path, plain) if plain else 0, block, text, top.article, top.other))
+            plain = SPACE.sub(" ", text).strip()
+            out.append((2, hashed(top.path, plain) if plain else 0, block, text, top.article, top.other, top.mark, top.flags))
 
     def end(n: int):
         nonlocal block
         while len(stack) > n:
             node = stack.pop()
             block += node.name in BLOCKS
-            out.append((1, hashed(node.path, "/"), block, "", stack[-1].article, stack[-1].other))
+            out.append((1, hashed(node.path, "/"), block, "", stack[-1].article, stack[-1].other, stack[-1].mark, 0))
 
     while at < size:
         m = TAG.search(page, at)
@@ -152,15 +157,16 @@ def tokens(page: str):
         # an article among comments is a comment; one in a wrapper that names a side is not of that side
         above = top.other and not (name in ("main", "article") and top.ends >= (1 if name == "main" else 2))
         ends = min(ends if other else 2, top.ends if above else 2)
-        node = Node(name, hashed(top.path, name + " " + " ".join(words)), above or other, top.article or (article and not (above or other)), ends)
+        flags = top.flags | (name == "a") | 2 * (name in HEADINGS)
+        node = Node(name, hashed(top.path, name + " " + " ".join(words)), above or other, top.article or (article and not (above or other)), ends, len(out) if other else top.mark if above else -1, flags)
         block += name in BLOCKS
-        out.append((0, node.path, block, " " if name == "br" else "", node.article, node.other))
+        out.append((0, node.path, block, " " if name == "br" else "", node.article, node.other, node.mark, flags))
         if name in VOID or m["attrs"].rstrip().endswith("/") and name not in BLOCKS:
             continue
         if name in RAW:  # its content is not markup
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
             at = stop.end() if stop else size
-            out.append((1, hashed(node.path, "/"), block, "", top.article, top.other))
+            out.append((1, hashed(node.path, "/"), block, "", top.article, top.other, top.mark, 0))
             continue
         stack.append(node)
     end(1)
@@ -175,76 +181,103 @@ def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def blocks_text(parsed, drop=frozenset()) -> str:
-    """Main text of parsed tokens: strings outside other matter, of articles if they hold any text, else
-    without the template strings ``drop``."""
-    inside = any(kind == 2 and article and not other and text.strip() for kind, _, _, text, article, other in parsed)
+def blocks_text(parsed, containers=frozenset(), strings=frozenset()) -> str:
+    """Main text of parsed tokens: that of the innermost of the template's ``containers`` that stands once on
+    the page; else that of articles if they hold any; else all but other matter. Template ``strings`` are dropped."""
+    found = Counter(t[1] for t in parsed if t[0] == 0 and signed(t[1]) in containers)
+    first = max((i for i, t in enumerate(parsed) if t[0] == 0 and found.get(t[1]) == 1), default=None)
+    keep = lambda t: not (t[0] == 2 and signed(t[1]) in strings)
+    if first is not None:
+        stop = hashed(parsed[first][1], "/")
+        last = next((i for i in range(first + 1, len(parsed)) if parsed[i][1] == stop and parsed[i][0] == 1), len(parsed))
+        chosen = [t for t in parsed[first:last] if t[3] and t[6] <= first and keep(t)]
+    elif any(kind == 2 and article and not other and text.strip() for kind, _, _, text, article, other, _, _ in parsed):
+        chosen = [t for t in parsed if t[3] and t[4] and not t[5]]
+    else:
+        chosen = [t for t in parsed if t[3] and not t[5] and keep(t)]
     held: dict[int, list[str]] = {}
-    for kind, token, block, text, article, other in parsed:
-        if text and not other and (article if inside else not (kind == 2 and token in drop)):
-            held.setdefault(block, []).append(text)
+    for t in chosen:
+        held.setdefault(t[2], []).append(t[3])
     blocks = (SPACE.sub(" ", "".join(x)).strip() for x in held.values())
     return "\n\n".join(b for b in blocks if b)
 
 
-#: Pages of a host that must share a class's tokens, and the share of the host's pages.
-LEAST_PAGES, LEAST_SHARE = 4, 0.6
+#: Pages of a host that must hold a class's tokens, and their share of the host's pages.
+LEAST_PAGES, LEAST_SHARE = 4, 0.1
+#: Pages of a class that may break its order or nesting, in hundredths.
+UNSTEADY = 5
+#: Templates of all hosts that are broadcast, in bytes.
+MOST_BROADCAST = 32 << 20
+
+
+def scan_pages(rows: DataFrame) -> DataFrame:
+    """Rows of two kinds from one reading of ``rows`` (page, host, html): a page's tokens (host, hashes, kinds, chars:
+    packed arrays) and, per task, (host, token, kind, pages, vector, occurrences): the sum of hashes of (page, count)."""
+    names = ["host", "hashes", "kinds", "chars", "token", "kind", "pages", "vector", "occurrences"]
+    types = [pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), *[pa.int64()] * 3]
 
+    def out(columns):
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, types, strict=True)], names)
 
-def token_vectors(rows: DataFrame) -> DataFrame:
-    """(host, token, kind, pages, vector): per task and host the sum of hashes of (page, count)."""
+    def flush(sums):
+        keys, values = list(sums), list(sums.values())
+        return out({"host": [k[0] for k in keys], "token": [k[1] for k in keys], "kind": [k[2] for k in keys]} | {c: [v[i] for v in values] for i, c in enumerate(("pages", "vector", "occurrences"))})
 
     def scan(batches):
         sums: dict = {}
         for batch in batches:
+            packed: dict = {c: [] for c in ("host", "hashes", "kinds", "chars")}
             for page, host, text in zip(*(batch.column(c).to_pylist() for c in ("page", "host", "html")), strict=True):
-                parsed = tokens(text or "")
-                counts = Counter((t[1], t[0]) for t in parsed if t[1])
-                for (token, kind), n in counts.items():
-                    h = xxhash.xxh64_intdigest(f"{page}:{n}")
-                    held = sums.get((host, token, kind))
-                    if held is None:
-                        sums[host, token, kind] = [1, h & 0xFFFFFFFFFFFF, n]
+                held = [(signed(t[1]), t[0], t[7] | 4 * t[5], len(t[3]) if t[0] == 2 else 0) for t in tokens(text or "") if t[1]]
+                columns = list(zip(*held, strict=True)) or [()] * 4
+                packed["host"].append(host)
+                packed["hashes"].append(np.array(columns[0], np.int64).tobytes())
+                packed["kinds"].append((np.array(columns[1], np.uint8) | np.array(columns[2], np.uint8) << 2).tobytes())
+                packed["chars"].append(np.array(columns[3], np.uint32).tobytes())
+                for (token, kind), n in Counter(t[:2] for t in held).items():
+                    h = xxhash.xxh64_intdigest(f"{page}:{n}") >> 24
+                    seen = sums.get((host, token, kind))
+                    if seen is None:
+                        sums[host, token, kind] = [1, h, n]
                     else:
-                        held[0] += 1
-                        held[1] = held[1] + h & 0xFFFFFFFFFFFFFF
-                        held[2] += n
+                        seen[0] += 1
+                        seen[1] += h
+                        seen[2] += n
+            yield out(packed)
             if len(sums) > 200_000:
-                yield out(sums)
+                yield flush(sums)
                 sums = {}
         if sums:
-            yield out(sums)
-
-    def out(sums):
-        keys, values = list(sums), list(sums.values())
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys]), pa.array([signed(k[1]) for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.int32()), *(pa.array([v[i] for v in values], pa.int64()) for i in range(3))],
-            ["host", "token", "kind", "pages", "vector", "occurrences"],
-        )
+            yield flush(sums)
 
-    partial = rows.mapInArrow(scan, "host string, token long, kind int, pages long, vector long, occurrences long")
-    return partial.groupBy("host", "token", "kind").agg(F.sum("pages").alias("pages"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.sum("occurrences").alias("occurrences"))
+    return rows.mapInArrow(scan, "host string, hashes binary, kinds binary, chars binary, token long, kind int, pages long, vector long, occurrences long")
 
 
-def equivalence_classes(vectors: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(host, tokens, kinds, classes) of hosts with enough pages: tokens that enough of them share, numbered
-    by class. A host's row is as long as its template."""
+def equivalence_classes(sums: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(host, template) of hosts with enough pages: tokens that enough of them share, each with its class and kind,
+    packed. A class has a start tag at least, so strings alone are none. A host's row is as long as its template."""
+    vectors = sums.groupBy("host", "token", "kind").agg(F.sum("pages").alias("pages"), F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.sum("occurrences").alias("occurrences"))
     shared = vectors.join(hosts, "host").where(f"pages >= {LEAST_PAGES} and pages >= {LEAST_SHARE} * host_pages")
     numbered = shared.withColumn("class", F.xxhash64("pages", "vector", "occurrences"))
-    return numbered.groupBy("host").agg(F.collect_list(F.struct("token", "kind", "class")).alias("template"))
+    long = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    packed = F.concat(long(F.col("token")), long(F.col("class")), long(F.col("kind")))
+    # a class with strings only is left out by its least kind
+    classes = numbered.groupBy("host", "class").agg(F.min("kind").alias("least"), F.sort_array(F.collect_list(packed)).alias("held")).where("least = 0")
+    return classes.groupBy("host").agg(F.array_join(F.transform(F.sort_array(F.flatten(F.collect_list("held"))), lambda x: F.hex(x)), "").alias("template")).select("host", F.unhex("template").alias("template"))
 
 
 def judge(events: list[tuple[int, int]], sizes: dict[int, int]) -> tuple[set, dict]:
-    """On one page, for (class, token) in order: classes that cross another, and per (class, token) the
-    least and largest place among its class's tokens, around and around."""
+    """On one page, for (class, token) in order: classes that cross another, and per (class, token) its place among
+    its class's tokens, around and around; -1 if that changes."""
     places: dict[int, list[int]] = {}
-    turns: dict[tuple[int, int], list[int]] = {}
+    turns: dict[tuple[int, int], int] = {}
     for at, (kind, token) in enumerate(events):
         held = places.setdefault(kind, [])
         turn = len(held) % sizes[kind]
         held.append(at)
-        seen = turns.setdefault((kind, token), [turn, turn])
-        seen[0], seen[1] = min(seen[0], turn), max(seen[1], turn)
+        if turns.setdefault((kind, token), turn) != turn:
+            turns[kind, token] = -1
 
     def nests(inner: int, outer: int) -> bool:
         a, b, n = places[inner], places[outer], sizes[inner]
@@ -255,20 +288,64 @@ def judge(events: list[tuple[int, int]], sizes: dict[int, int]) -> tuple[set, di
     return crossing, turns
 
 
-def valid_tokens(rows: DataFrame) -> DataFrame:
-    """(host, class, token) that keep their order and nest on every page of ``rows`` (host, html, template)."""
+class Template:
+    """A host's candidate tokens, unpacked: class of (token, kind), size of each class, start of each end tag."""
+
+    def __init__(self, packed: bytes):
+        table = np.frombuffer(packed, ">i8").reshape(-1, 3).tolist()
+        self.of = {(token, kind): name for token, name, kind in table}
+        self.sizes = Counter(self.of.values())
+        self.starts = {signed(hashed(token, "/")): token for token, _, kind in table if kind == 0}
+
+
+def slots(page: list[tuple[int, int, int]], template: Template) -> tuple[dict, tuple[int, int]]:
+    """Of one page's (token, kind and flags, characters): per start tag of the template that stands on it once, the
+    characters and headings in it that are no template strings, not in links nor in other matter; and the same of
+    the whole page."""
+    total = heads = 0
+    began, out, twice = {}, {}, set()
+    for token, k, n in page:
+        kind, flags = k & 3, k >> 2
+        if kind == 2:
+            if not flags & 5 and (token, 2) not in template.of:
+                total += n
+                heads += flags >> 1 & 1
+        elif kind == 0:
+            if (token, 0) in template.of:
+                if token in began:
+                    twice.add(token)
+                began[token] = total, heads
+        elif (start := template.starts.get(token)) in began:
+            out[start] = total - began[start][0], heads - began[start][1]
+    return {t: v for t, v in out.items() if t not in twice}, (total, heads)
+
+
+def judged_tokens(rows: DataFrame) -> DataFrame:
+    """Per task and (host, class, token, kind, turn): pages, pages on which the class crosses another, and of start
+    tags what fills slots in them and on their pages. rows: (host, hashes, kinds, chars, template)."""
+    sums = ["pages", "crossing", "chars", "heads", "all_chars", "all_heads"]
 
     def scan(batches):
+        known: dict = {}
         held: dict = {}
         for batch in batches:
-            for host, text, template in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "template")), strict=True):
-                of = {(t["token"], t["kind"]): t["class"] for t in template}
-                sizes = Counter(of.values())
-                events = [(of[k], signed(t[1]) ^ t[0]) for t in tokens(text or "") if (k := (signed(t[1]), t[0])) in of]
-                crossing, turns = judge(events, sizes)
-                for (kind, token), (low, high) in turns.items():
-                    seen = held.setdefault((host, kind, token), [low, high, 0])
-                    seen[0], seen[1], seen[2] = min(seen[0], low), max(seen[1], high), max(seen[2], int(kind in crossing))
+            for host, hashes, kinds, chars, packed in zip(*(batch.column(c).to_pylist() for c in ("host", "hashes", "kinds", "chars", "template")), strict=True):
+                template = known.get(host)
+                if template is None:
+                    if len(known) > 1000:
+                        known = {}
+                    template = known[host] = Template(packed)
+                page = list(zip(np.frombuffer(hashes, np.int64).tolist(), np.frombuffer(kinds, np.uint8).tolist(), np.frombuffer(chars, np.uint32).tolist(), strict=True))
+                events = [(name, (token, k & 3)) for token, k, _ in page if (name := template.of.get((token, k & 3))) is not None]
+                crossing, turns = judge(events, template.sizes)
+                inside, whole = slots(page, template)
+                for (name, (token, kind)), turn in turns.items():
+                    seen = held.setdefault((host, name, token, kind, turn), [0] * 6)
+                    seen[0] += 1
+                    seen[1] += name in crossing
+                    if kind == 0 and token in inside:
+                        for i, n in enumerate((*inside[token], *whole)):
+                            seen[2 + i] += n
             if len(held) > 100_000:
                 yield out(held)
                 held = {}
@@ -277,22 +354,36 @@ def valid_tokens(rows: DataFrame) -> DataFrame:
 
     def out(held):
         keys, values = list(held), list(held.values())
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), *(pa.array([k[i] for k in keys], pa.int64()) for i in (1, 2)), *(pa.array([v[i] for v in values], pa.int64()) for i in range(3))], ["host", "class", "token", "low", "high", "crossing"])
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[i] for k in keys], pa.int64()) for i in range(1, 5)), *(pa.array([v[i] for v in values], pa.int64()) for i in range(6))], ["host", "class", "token", "kind", "turn", *sums])
 
-    partial = rows.mapInArrow(scan, "host string, class long, token long, low long, high long, crossing long")
-    judged = partial.groupBy("host", "class", "token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("crossing").alias("crossing"))
-    classes = judged.groupBy("host", "class").agg(F.max(F.col("high") - F.col("low")).alias("turns"), F.max("crossing").alias("crossing"))
-    bad = classes.where("turns > 0 or crossing > 0").select("host", "class")
-    return judged.join(bad, ["host", "class"], "left_anti").select("host", "class", "token")
+    partial = rows.mapInArrow(scan, "host string, class long, token long, kind long, turn long, " + ", ".join(f"{c} long" for c in sums))
+    return partial.groupBy("host", "class", "token", "kind", "turn").agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """(host, template): the valid string tokens of each host's template, of pages (page, host, html)."""
+    """(host, containers, strings): of each host's template the elements that may hold the main text and the strings,
+    packed, of pages (page, host, html)."""
     hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages")).where(f"host_pages >= {LEAST_PAGES}")
-    # string tokens differ from tag tokens by the kind mixed in, as in valid_tokens
-    found = materialize(equivalence_classes(token_vectors(pages), hosts), "page-classes")
-    valid = valid_tokens(pages.join(found, "host"))
-    return materialize(valid.groupBy("host").agg(F.collect_set("token").alias("template")), "page-templates")
+    scanned = materialize(scan_pages(pages), "page-tokens")
+    found = materialize(equivalence_classes(scanned.where("token is not null"), hosts), "page-classes")
+    narrow = scanned.where("hashes is not null").select("host", "hashes", "kinds", "chars")
+    judged = materialize(judged_tokens(beside(narrow, found, "template")), "page-judged")
+    discard(scanned)
+    steady = judged.groupBy("host", "class", "token", "kind").agg(
+        F.max(F.when(F.col("turn") >= 0, F.col("pages")).otherwise(0)).alias("most"), *[F.sum(c).alias(c) for c in ("pages", "crossing", "chars", "heads", "all_chars", "all_heads")]
+    )
+    odd = steady.where(f"most * 100 < pages * {100 - UNSTEADY} or crossing * 100 > pages * {UNSTEADY}").select("host", "class").distinct()
+    valid = steady.join(odd, ["host", "class"], "left_anti")
+    holds = (F.col("kind") == 0) & (F.col("all_chars") > 0) & (F.col("chars") * 3 >= F.col("all_chars") * 2) & (F.col("heads") * 10 >= F.col("all_heads") * 9)
+    long = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    packed = lambda rows: F.unhex(F.array_join(F.transform(F.sort_array(F.collect_set(F.when(rows, long(F.col("token"))))), lambda x: F.hex(x)), ""))
+    return materialize(valid.groupBy("host").agg(packed(holds).alias("containers"), packed(F.col("kind") == 2).alias("strings")), "page-templates")
+
+
+def beside(rows: DataFrame, found: DataFrame, *columns: str, how: str = "inner") -> DataFrame:
+    """``rows`` with a host's columns of ``found``: broadcast only if these are small in bytes, as measured."""
+    held = found.agg(F.sum(sum((F.octet_length(c) for c in columns), F.octet_length("host")) + 40)).first()[0] or 0
+    return rows.join(F.broadcast(found) if held <= MOST_BROADCAST else found, "host", how)
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -305,20 +396,21 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", 1), F.lit("")))
     rows = spread(df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html")))
-    pages = rows.select(F.col("id").cast("string").alias("page"), "host", "html")
-    templates = deduce_templates(pages)
+    templates = deduce_templates(rows.select(F.col("id").cast("string").alias("page"), "host", "html"))
     id_field, url_field = df.schema[id_col], df.schema[url_col]
 
     def extract(batches):
+        known: dict = {}
         for batch in batches:
             texts = []
-            for text, template in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True):
-                own = set(template or ())
-                parsed = tokens(text or "")
-                drop = {t[1] for t in parsed if t[0] == 2 and t[1] and signed(t[1]) ^ 2 in own} if own else ()
-                texts.append(blocks_text(parsed, drop))
+            for host, text, *packed in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "containers", "strings")), strict=True):
+                template = known.get(host)
+                if template is None:
+                    if len(known) > 1000:
+                        known = {}
+                    template = known[host] = [frozenset(np.frombuffer(x or b"", ">i8").tolist()) for x in packed]
+                texts.append(blocks_text(tokens(text or ""), *template))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [id_col, url_col, "text", "n_chars"])
 
     schema = T.StructType([T.StructField(id_col, id_field.dataType), T.StructField(url_col, url_field.dataType), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    # templates are written files of known size: a small table is broadcast, a large one shuffled
-    return rows.join(templates, "host", "left").select("id", "url", "html", "template").mapInArrow(extract, schema)
+    return beside(rows, templates, "containers", "strings", how="left").select("id", "url", "host", "html", "containers", "strings").mapInArrow(extract, schema)
