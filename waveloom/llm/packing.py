@@ -71,19 +71,24 @@ def length_pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, roo
     return spread(source, 2000).mapInArrow(encode, schema)  # more texts share more words
 
 
+#: Patterns of three lengths that the fit sees at most; beyond, every n-th of them is taken.
+MOST_TRIPLES = 1 << 15
+
+
 def patterns_of(lengths: np.ndarray, room: int) -> np.ndarray:
-    """Patterns of one, two or three of the lengths (0: none) that fill a sequence exactly, and each
-    length alone. Rows of three, descending."""
+    """Patterns of one, two or three of the lengths (0: none) that fill a sequence exactly. Rows of three,
+    descending."""
     there = np.zeros(room + 1, bool)
     there[lengths] = True
-    alone = np.stack([lengths, lengths * 0, lengths * 0], 1)
+    alone = np.array([[room, 0, 0]])[there[room : room + 1]]
     small = lengths[lengths <= room // 2]
     pairs = np.stack([room - small, small, small * 0], 1)[there[room - small]]
-    a, b = np.meshgrid(lengths[lengths <= room // 2], lengths[lengths <= room // 3], indexing="ij")
+    a, b = np.meshgrid(small, lengths[lengths <= room // 3], indexing="ij")
     a, b = a.ravel(), b.ravel()
     c = room - a - b
     ok = (a >= b) & (c >= a) & there[np.clip(c, 0, room)]
-    return np.unique(np.concatenate([alone, pairs, np.stack([c[ok], a[ok], b[ok]], 1)]), axis=0)[:, ::1]
+    triples = np.unique(np.stack([c[ok], a[ok], b[ok]], 1), axis=0)
+    return np.concatenate([alone, pairs, triples[:: -(-len(triples) // MOST_TRIPLES) or 1]]).astype(np.int64)
 
 
 def fit_repeats(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 300) -> np.ndarray:
@@ -160,26 +165,60 @@ def best_fit_rest(left: np.ndarray, room: int) -> list[tuple[int, list[tuple[int
     return [(n, contents) for groups in open_.values() for n, contents in groups]
 
 
+def rounded(patterns: np.ndarray, repeats: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Whole repeats of each pattern within the lengths that are left, which are taken off: the whole part first,
+    then one more in the order of the remainders."""
+    out, held, kinds = np.zeros(len(patterns), np.int64), left.tolist(), patterns.tolist()
+
+    def take(j: int, most: int) -> None:
+        a, b, c = kinds[j]
+        n = min([most, *(held[x] // kinds[j].count(x) for x in (a, b, c) if x)])
+        if n > 0:
+            out[j] += n
+            for x in (a, b, c):
+                held[x] -= n * (x > 0)
+
+    whole = np.floor(repeats + 1e-6)
+    for j in np.argsort(-whole, kind="stable")[: int((whole > 0).sum())].tolist():
+        take(j, int(whole[j]))
+    rest = repeats - whole
+    for j in np.argsort(-rest, kind="stable")[: int((rest > 1e-6).sum())].tolist():
+        take(j, 1)
+    left[:] = held
+    return out
+
+
+#: Shares of the fitted repeats that are tried.
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.25)
+
+
 def plan(histogram: np.ndarray, room: int) -> dict[str, np.ndarray]:
-    """Places for all pieces of a length histogram. For each length the ranks are cut into runs; a run
+    """Places for all pieces of a length histogram. Of plans that keep a share of the fitted repeats, the largest share
+    that needs the fewest sequences. For each length the ranks are cut into runs; a run
     gives each rank the next sequence (or several places of one sequence): arrays length, rank (first of
-    the run), sequence (first), offset, times (places of a sequence that the run fills)."""
+    the run), sequence (first), offset, times (places of a sequence that the run fills); and sequences, patterned (pieces
+    that patterns place)."""
     histogram = histogram.astype(np.int64)
-    left = histogram.copy()
-    groups: list[tuple[int, list[tuple[int, int]]]] = []
     lengths = np.flatnonzero(histogram)
+    groups: list[tuple[int, list[tuple[int, int]]]] = []
+    patterned = 0
     if len(lengths):
         patterns = patterns_of(lengths, room)
-        repeats = np.floor(fit_repeats(patterns, histogram) + 1e-6).astype(np.int64)
-        full = patterns.sum(1) == room  # a length alone is left to the best fit, unless it fills the sequence
-        for j in np.argsort(-repeats, kind="stable"):
-            if repeats[j] and full[j]:
+        repeats = fit_repeats(patterns, histogram)
+        least, fewest = -(-int((np.arange(len(histogram)) * histogram).sum()) // room), None
+        for share in SHARES:
+            left = histogram.copy()
+            whole = rounded(patterns, repeats * share, left)
+            held = []
+            for j in np.flatnonzero(whole):
                 kinds, times = np.unique(patterns[j][patterns[j] > 0], return_counts=True)
-                n = int(min(repeats[j], (left[kinds] // times).min()))
-                if n:
-                    left[kinds] -= n * times
-                    groups.append((n, list(zip(kinds[::-1].tolist(), times[::-1].tolist(), strict=True))))
-        groups += best_fit_rest(left, room)
+                held.append((int(whole[j]), list(zip(kinds[::-1].tolist(), times[::-1].tolist(), strict=True))))
+            held += best_fit_rest(left, room)
+            n = sum(k for k, _ in held)
+            if fewest is None or n < fewest:
+                groups, fewest, patterned = held, n, int((whole * (patterns > 0).sum(1)).sum())
+            if n == least:
+                break
     rank, base, rows = np.zeros(room + 1, np.int64), 0, []
     for n, contents in groups:
         offset = 0
@@ -190,7 +229,7 @@ def plan(histogram: np.ndarray, room: int) -> dict[str, np.ndarray]:
         base += n
     assert (rank == histogram).all()
     table = np.array(sorted(rows), np.int64).reshape(-1, 5)
-    return dict(zip(("length", "rank", "sequence", "offset", "times"), table.T, strict=True)) | {"sequences": base}
+    return dict(zip(("length", "rank", "sequence", "offset", "times"), table.T, strict=True)) | {"sequences": base, "patterned": patterned}
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, room: int = 2048) -> DataFrame:
