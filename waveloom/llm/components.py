@@ -53,15 +53,21 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
 
 
 def multiple_buckets(index: DataFrame) -> DataFrame:
-    """(bucket, node, a) of the rows of ``index`` (bucket, node) whose bucket holds several nodes; a is its
-    smallest node. Most buckets hold one node, however often: keys are reduced to their smallest and largest node
-    map-side, and only rows behind a bitmap of the keys in which these differ are joined. Hot buckets are split
-    by the skew join."""
-    ends = index.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("most"))
-    several = materialize(ends.where("a <> most").select("bucket", "a"), "bucket-keys")
+    """(bucket, node, a) of the rows of ``index`` (bucket, node) whose bucket holds several nodes; a is its pivot: the
+    node that meets most others over all its buckets, the smallest of equals. A copy that is changed least shares
+    most buckets, so most others link with it. Most buckets hold one node, however often: keys are reduced to their
+    smallest and largest node map-side, and only rows behind a bitmap of the keys in which these differ are joined. Hot
+    buckets are split by the skew join."""
+    ends = index.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    several = materialize(ends.where("least <> most").select("bucket"), "bucket-keys")
     rows = flagged(index, F.col("bucket"), several.select(F.col("bucket").alias("key"))).where("may").select("bucket", "node")
-    shared = materialize(rows.join(several, "bucket").distinct(), "bucket-rows")
+    rows = materialize(rows.join(several, "bucket").distinct(), "bucket-rows")
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    meets = rows.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("meets"))
+    pivots = rows.join(meets, "node").groupBy("bucket").agg(F.max_by("node", F.struct("meets", -F.col("node"))).alias("a"))
+    shared = materialize(rows.join(pivots, "bucket"), "bucket-shared")
     discard(several)
+    discard(rows)
     return shared
 
 
@@ -76,7 +82,7 @@ def bucket_components(shared: DataFrame, features: DataFrame, open_: str, verify
     these nodes; open_: a condition on columns named like x_a and x_b, which every pair that links meets;
     verify keeps of such pairs (a, b) those that link.
 
-    Each node is verified against its bucket's smallest node, the pivot, first. Once these links are joined, only
+    Each node is verified against its bucket's pivot first. Once these links are joined, only
     buckets that still hold several components give further pairs, only across components, and only open
     ones: the condition is part of the join. A pair within a component cannot change it, so none that
     could is left out. Buckets of up to ``SMALL`` nodes give at most that many pairs a row. Larger ones with one
