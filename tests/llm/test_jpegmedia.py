@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
+from waveloom.llm import jpegmedia
 from waveloom.llm.jpegmedia import ROW, Image, average_hash, canonical, encode_rows, payload_media, thumbnails
 
 
@@ -26,6 +27,15 @@ def test_payloads_against_brute_force(edge_docs, docs):
             assert by.setdefault(r.payload_sha256, r[5:]) == r[5:]
 
 
+def test_long_texts_are_several_images(spark, monkeypatch):
+    monkeypatch.setattr(jpegmedia, "TOGETHER", 1 << 20)
+    text = "".join(chr(32 + i * i % 95) for i in range(2_100_000)) + "é漢🙂"
+    rows = [(1, text), (2, "short")]
+    got = payload_media(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted(tuple(r)[:5] for r in got) == brute(rows)
+    assert {r.doc_id: r.feature.count(";") for r in got} == {1: 1, 2: 0}
+
+
 def test_empty(no_docs):
     assert payload_media(no_docs).collect() == []
 
@@ -39,7 +49,7 @@ def test_every_byte_and_many_rows():
     files = encode_rows(samples, images)
     read = thumbnails([files[0] + files[1], files[2]])
     assert [len(r) for r in read] == [2, 1]
-    assert (np.concatenate([t for r in read for _, _, t in r]) == samples).all()
+    assert (np.concatenate([t for r in read for _, _, t, _ in r]) == samples).all()
     assert read[1][0][:2] == (ROW * 8, 480)
 
 
@@ -104,9 +114,9 @@ def test_files_of_other_writers(components, restart, size):
     high = lambda v: down * v if len(components) > 1 else -(-height // 8)
     coefficients = [[[(int(rng.integers(-1000, 1000)), pick[rng.integers(len(pick))]) for _ in range(wide(h))] for _ in range(high(v))] for h, v in components]
     file = slow_encode(width, height, components, coefficients, restart, 3)
-    ((w, h, thumb),) = thumbnails([file])[0]
+    ((w, h, thumb, ranked),) = thumbnails([file])[0]
     want = np.array([[b[0] for b in row] for row in coefficients[0]])[: thumb.shape[0], : thumb.shape[1]]
-    assert (w, h) == size
+    assert (w, h) == size and not ranked
     assert (thumb == np.clip((want * 3 + 4 >> 3) + 128, 0, 255)).all()
     assert Image(file).end == len(file)
 

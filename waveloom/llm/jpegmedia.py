@@ -2,7 +2,8 @@
 markers, decoding the Huffman scan and keeping the luminance DC of each block, the image's thumbnail.
 
 With a DC quantiser of 8 a block's mean is its DC value + 128 exactly, so a thumbnail holds one byte per
-block without loss. The decoder takes any baseline file: several components, sampling factors, AC
+block without loss. Bytes are stored as their places in a fixed order in which those that follow one another in
+text are near, as a scan codes differences; a file of ours says so in a comment. The decoder takes any baseline file: several components, sampling factors, AC
 coefficients, with or without restart markers. Restart intervals are decoded in lockstep, one numpy lane
 each, across all files of a batch that share tables.
 """
@@ -21,16 +22,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waveloom.llm.common import spread
+from waveloom.llm.common import materialize, spread
 from waveloom.llm.packing import text_slices
 
 #: Samples of a row, the unit that payloads are filled up to.
 ROW = 192
 #: Rows of an image at most: 8 x 8191 lines. A longer payload is several images in a row.
 MOST_ROWS = 8191
-#: Code lengths of our DC table by category (bits of the difference of neighbours); text has most of its
-#: differences in categories 3, 4 and 7. The AC table has one code: end of block, one bit.
-DC_LENGTHS = {3: 2, 4: 2, 7: 2, 2: 4, 5: 4, 0: 5, 1: 5, 6: 5, 8: 6}
+#: Code lengths of our DC table by category (bits of the difference of neighbours). The AC table has one code: end
+#: of block, one bit.
+DC_LENGTHS = {3: 2, 2: 2, 1: 3, 4: 3, 0: 4, 7: 4, 6: 5, 5: 5, 8: 6}
+#: Bytes that are frequent in text, in the order of their distance from the middle of the samples' range; all others
+#: follow in their own order.
+FREQUENT = b" etnaioshrdlu\xc3cm,.gpfbwvyq\nkzjx"
+#: The comment of a file whose samples are places in that order.
+RANKED = b"places of bytes"
 
 
 def canonical(counts: list[int], symbols: list[int]) -> dict[int, tuple[int, int]]:
@@ -50,6 +56,16 @@ def _own_tables() -> tuple[list[int], list[int]]:
     return [sum(n == k for n in DC_LENGTHS.values()) for k in range(1, 17)], symbols
 
 
+@lru_cache(1)
+def byte_places() -> tuple[np.ndarray, np.ndarray]:
+    """The sample of a byte, and the byte of a sample: 128, 129, 127, 130, 126, ... in the order of bytes."""
+    order = [*FREQUENT, *(b for b in range(256) if b not in FREQUENT)]
+    near = sorted(range(256), key=lambda x: (abs(2 * x - 257), -x))
+    place, byte = np.zeros(256, np.uint8), np.zeros(256, np.uint8)
+    place[order], byte[near] = near, order
+    return place, byte
+
+
 def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
@@ -59,6 +75,7 @@ def _header(rows: int) -> bytes:
     return (
         b"\xff\xd8"
         + _segment(0xE0, b"JFIF\0\x01\x01\0\0\x01\0\x01\0\0")
+        + _segment(0xFE, RANKED)
         + _segment(0xDB, b"\0" + bytes([8] + [1] * 63))
         + _segment(0xC0, struct.pack(">BHHB3B", 8, rows * 8, ROW * 8, 1, 1, 0x11, 0))
         + _segment(0xC4, b"\0" + bytes(counts) + bytes(symbols))
@@ -133,7 +150,7 @@ class Image:
     """What the markers of one file say, and its scan's intervals (without stuffed zeros)."""
 
     def __init__(self, data: bytes, at: int = 0):
-        self.quant, self.tables, self.restart = {}, {}, 0
+        self.quant, self.tables, self.restart, self.ranked = {}, {}, 0, False
         if data[at : at + 2] != b"\xff\xd8":
             raise ValueError("not a JPEG file")
         at += 2
@@ -167,6 +184,8 @@ class Image:
                     n = sum(counts)
                     self.tables[body[i]] = bytes(counts) + body[i + 17 : i + 17 + n]
                     i += 17 + n
+            elif marker == 0xFE:
+                self.ranked = body == RANKED
             elif marker == 0xDD:
                 self.restart = struct.unpack(">H", body)[0]
             elif marker == 0xDA:
@@ -295,16 +314,35 @@ def _luminance(coding: tuple, scan: np.ndarray, start: np.ndarray, units: np.nda
     return result
 
 
-def thumbnails(files: list[bytes]) -> list[list[np.ndarray]]:
-    """For each value, the luminance thumbnails (blocks down x across, uint8) of the files in a row in it."""
-    images, owner = [], []
+#: Bytes of scans that are decoded together.
+TOGETHER = 4 << 20
+
+
+def thumbnails(files: list[bytes]) -> list[list[tuple[int, int, np.ndarray, bool]]]:
+    """For each value, of the files in a row in it: width, height, luminance thumbnail (blocks down x across, uint8) and
+    whether its samples are places of bytes. Values of any length are decoded some images at a time."""
+    out: list[list] = [[] for _ in files]
+    images, owner, held = [], [], 0
+
+    def flush():
+        for i, image, thumb in zip(owner, images, _thumbnails(images), strict=True):
+            out[i].append((image.width, image.height, thumb, image.ranked))
+
     for i, data in enumerate(files):
         at = 0
         while at < len(data):
             images.append(Image(data, at))
             owner.append(i)
             at = images[-1].end
-    out: list[list] = [[] for _ in files]
+            held += len(images[-1].scan)
+            if held > TOGETHER:
+                flush()
+                images, owner, held = [], [], 0
+    flush()
+    return out
+
+
+def _thumbnails(images: list[Image]) -> list[np.ndarray]:
     alike = defaultdict(list)
     for j, image in enumerate(images):
         alike[image.coding].append(j)
@@ -325,9 +363,7 @@ def thumbnails(files: list[bytes]) -> list[list[np.ndarray]]:
             grid = flat.reshape(image.mcus_down, image.mcus_across, v, h).transpose(0, 2, 1, 3).reshape(image.mcus_down * v, image.mcus_across * h)
             level = grid[: image.blocks_down, : image.blocks_across].astype(np.int64) * image.quant[image.components[0][3]]
             found[j] = np.clip((level + 4 >> 3) + 128, 0, 255).astype(np.uint8)
-    for j, i in enumerate(owner):
-        out[i].append((images[j].width, images[j].height, found[j]))
-    return out
+    return found
 
 
 def average_hash(thumb: np.ndarray) -> str:
@@ -354,10 +390,13 @@ def to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             for batch in text_slices(whole, "text", 1 << 20):
                 texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
                 rows = [max(1, -(-len(t) // ROW)) for t in texts]
-                samples = np.frombuffer(b"".join(t.ljust(n * ROW) for t, n in zip(texts, rows, strict=True)), np.uint8).reshape(-1, ROW)
-                parts = [[min(MOST_ROWS, n - a) for a in range(0, n, MOST_ROWS)] for n in rows]
-                files = iter(encode_rows(samples, np.array([p for held in parts for p in held])))
-                media = [b"".join(next(files) for _ in held) for held in parts]
+                samples = byte_places()[0][np.frombuffer(b"".join(t.ljust(n * ROW) for t, n in zip(texts, rows, strict=True)), np.uint8)].reshape(-1, ROW)
+                if len(rows) == 1:  # a long text: image by image
+                    media = [b"".join(encode_rows(part, np.array([len(part)]))[0] for part in (samples[a : a + MOST_ROWS] for a in range(0, rows[0], MOST_ROWS)))]
+                else:
+                    parts = [[min(MOST_ROWS, n - a) for a in range(0, n, MOST_ROWS)] for n in rows]
+                    files = iter(encode_rows(samples, np.array([p for held in parts for p in held])))
+                    media = [b"".join(next(files) for _ in held) for held in parts]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())], [id_col, "n_bytes", "media"])
 
     schema = T.StructType([id_field, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
@@ -380,8 +419,8 @@ def media_features(df: DataFrame, id_col: str = "doc_id", media_col: str = "medi
                     raise ValueError("a media value is null")
                 rows = []
                 for data, images in zip(files, thumbnails(files), strict=True):
-                    payload = b"".join(t.tobytes() for _, _, t in images)
-                    feature = ";".join(f"{w}x{h}:{t.shape[1]}x{t.shape[0]}:{average_hash(t)}" for w, h, t in images)
+                    payload = b"".join((byte_places()[1][t] if ranked else t).tobytes() for _, _, t, ranked in images)
+                    feature = ";".join(f"{w}x{h}:{t.shape[1]}x{t.shape[0]}:{average_hash(t)}" for w, h, t, _ in images)
                     rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature))
                 columns = list(zip(*rows, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(fields))), *(pa.array(c, pa.string() if isinstance(t, T.StringType) else pa.int64()) for c, (_, t) in zip(columns, new, strict=True))], [*(f.name for f in fields), *(n for n, _ in new)])
@@ -390,6 +429,6 @@ def media_features(df: DataFrame, id_col: str = "doc_id", media_col: str = "medi
 
 
 def payload_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store the texts as media and read the features back from the stored bytes. Equal texts give equal
-    values; repeated rows repeated ones; an empty table an empty one; other columns are ignored."""
-    return media_features(to_media(df, id_col, text_col), id_col, "media", ("n_bytes",))
+    """Store the texts as a table of media in the shared folder and read the features back from the stored bytes. Equal
+    texts give equal values; repeated rows repeated ones; an empty table an empty one; other columns are ignored."""
+    return media_features(materialize(to_media(df, id_col, text_col), "media"), id_col, "media", ("n_bytes",))
