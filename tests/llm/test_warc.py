@@ -68,3 +68,13 @@ def test_empty_table_and_null_ids(spark, edge_pages):
     got = records(read_chunks(write_archives(spark.createDataFrame(rows, "page_id long, url string, html string")))).collect()
     assert sorted((r.record_id, r.payload_bytes, r.record_type, r.refers_to) for r in got if r.record_id) == [(5, 200, "response", None)] * 2
     assert sorted((r.payload_bytes, r.record_type, r.refers_to) for r in got if not r.record_id) == [(0, "response", None), (1, "response", None), (200, "response", None), (200, "revisit", 5)]
+
+
+def test_an_id_with_several_payloads(spark):
+    """Revisits refer to an id under which several responses stand; each has its own payload's digest."""
+    a, b = "a" * 300, "b" * 400
+    rows = [(1, "u", a), (1, "u", b), (2, "u", b), (3, "u", a), (3, "u", a)]
+    got = records(read_chunks(write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)))).collect()
+    want = [(1, 300, "response", None), (1, 400, "response", None), (2, 400, "revisit", 1), (3, 300, "revisit", 1), (3, 300, "revisit", 1)]
+    assert sorted((r.record_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == want
+    assert {(r.payload_bytes, r.payload_digest) for r in got} == {(len(x), hashlib.sha256(x.encode()).hexdigest()) for x in (a, b)}

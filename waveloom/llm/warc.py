@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waveloom.llm.bitmaps import flagged
 from waveloom.llm.common import committed_file, fresh_path, materialize, open_fs, spread
 
 CHUNK = 64 << 10
@@ -79,8 +80,11 @@ def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     path = path or fresh_path(df.sparkSession, "warc")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload"))
     keyed = spread(rows).withColumn("digest", F.unhex(F.sha2("payload", 256)))
-    again = record_types(df, id_col, payload_col, least).withColumnsRenamed({"id": "again_id", "digest": "again_digest"})
-    typed = keyed.join(again, F.col("id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left")
+    again = materialize(record_types(df, id_col, payload_col, least).withColumnsRenamed({"id": "again_id", "digest": "again_digest"}), "warc-revisits")
+    # only payloads that may be revisits are moved
+    marked = flagged(keyed, F.xxhash64("id", "digest"), again.select(F.xxhash64("again_id", "again_digest").alias("key")))
+    moved = marked.where("may").join(again, F.col("id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left")
+    typed = moved.select("id", "url", "payload", "refers_to").unionByName(marked.where("not may").select("id", "url", "payload", F.lit(None).cast("long").alias("refers_to")))
 
     def write(batches):
         file = members = name = None
@@ -209,7 +213,8 @@ def read_chunks(manifest: DataFrame, size: int = CHUNK) -> DataFrame:
 
 def records(chunks: DataFrame) -> DataFrame:
     """A row per record: record_id, payload_bytes, payload_digest, record_type, refers_to. Chunks are summed
-    map-side. A revisit's bytes are those of the response that it refers to, and its digest must agree."""
+    map-side. A revisit's bytes are those of the response that it refers to, by id and digest, as several records may
+    share an id."""
     whole = chunks.groupBy("archive", "record").agg(
         F.first("record_id").alias("record_id"),
         F.sum("n_bytes").alias("n_bytes"),
@@ -219,8 +224,8 @@ def records(chunks: DataFrame) -> DataFrame:
         F.first("header_digest").alias("header_digest"),
     )
     whole = materialize(whole.drop("archive", "record"), "warc-records")
-    responses = whole.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("digest").alias("there_digest"), F.col("n_bytes").alias("there_bytes")).dropDuplicates(["refers_to"])
-    revisits = whole.where("record_type = 'revisit'").join(responses, "refers_to", "left")
+    responses = whole.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to"), F.col("digest").alias("header_digest")).agg(F.max("n_bytes").alias("there_bytes"))
+    revisits = whole.where("record_type = 'revisit'").join(responses.withColumn("there_digest", F.col("header_digest")), ["refers_to", "header_digest"], "left")
     agree = lambda digest: F.when(F.col("header_digest") == digest, digest).otherwise(F.raise_error(F.lit("a payload differs from its digest")))
     return (
         whole.where("record_type = 'response'")
