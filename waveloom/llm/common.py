@@ -68,6 +68,48 @@ def spread(df: DataFrame, rows: int = ARROW_ROWS) -> DataFrame:
     return df.repartition(cores) if n < cores else df.coalesce(max(4 * cores, n // 8)) if n > 8 * cores else df
 
 
+#: What this worker process ran last, and functions that drop what it keeps from task to task.
+_running: list[str] = [""]
+kept_in_process: list = []
+
+
+def begin(name: str) -> None:
+    """A task of another kind begins in this worker process: what the last kind kept goes."""
+    if _running[0] != name:
+        _running[0] = name
+        for drop in kept_in_process:
+            drop()
+
+
+def end() -> None:
+    """Hand memory that is free back to the system: workers live on from task to task and stage to stage."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def worker(run):
+    """For functions over Arrow batches: a worker process holds what its present kind of task needs, and no more."""
+    name = f"{run.__module__}.{run.__qualname__}"
+
+    def wrapped(batches):
+        from waveloom.llm import common
+
+        common.begin(name)
+        try:
+            yield from run(batches)
+        finally:
+            common.end()
+
+    return wrapped
+
+
 def open_fs(uri: str):
     """(filesystem, path) for a URI of any store that pyarrow reaches: file, hdfs, s3, gs."""
     from pyarrow import fs

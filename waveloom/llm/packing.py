@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waveloom.llm.common import byte_slices, materialize, spread
+from waveloom.llm.common import byte_slices, materialize, spread, worker
 from waveloom.llm.tokens import crc32, shared_encoder, vocabulary, with_end
 
 #: Texts encoded at a time, in bytes.
-SLICE = 6 << 20
+SLICE = 2 << 20
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE):
@@ -36,6 +36,7 @@ def length_pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, roo
     number among that task's pieces of its length."""
     id_type = df.schema[id_col].dataType
 
+    @worker
     def encode(batches):
         encoder, seen, task = shared_encoder(tokenizer, True), np.zeros(room + 1, np.int64), TaskContext.get().partitionId()
         for whole in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waveloom.llm.common import committed_file, fresh_path, materialize, open_fs, spread
+from waveloom.llm.common import committed_file, fresh_path, materialize, open_fs, spread, worker
 from waveloom.llm.packing import text_slices
 from waveloom.llm.tokens import crc32, shared_encoder, vocabulary, with_end
 
@@ -176,6 +176,7 @@ def write_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = df.sparkSession
     path, tokenizer = path or fresh_path(spark, "sst"), tokenizer or vocabulary("byte_bpe_50k.json")
 
+    @worker
     def write(batches):
         encoder, writer, first, file, name, last, nth = shared_encoder(tokenizer, False), None, None, None, None, (), 0
         for whole in batches:

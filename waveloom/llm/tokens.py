@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from waveloom.llm.common import kept_in_process
+
 
 def vocabulary(name: str) -> str:
     import public_tokenizers
@@ -261,12 +263,15 @@ class BatchEncoder:
         return np.concatenate([[0], ends[last - 1]]) if len(last) else np.zeros(1, np.int64), ids
 
 
-@lru_cache(2)
+@lru_cache(1)
 def shared_encoder(path: str, blanks_dropped: bool) -> BatchEncoder:
-    """One encoder per worker process: the words that a task has met serve the next task."""
+    """One encoder per worker process: the words that a task has met serve the next task of its kind."""
     return BatchEncoder(path, blanks_dropped)
 
 
+kept_in_process.append(shared_encoder.cache_clear)
+
+
 def with_end(offsets: np.ndarray, ids: np.ndarray, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The same with the id ``end`` after each text."""
     n = len(offsets) - 1
