@@ -3,7 +3,8 @@ import zlib
 import numpy as np
 import pytest
 
-from waveloom.llm.langid import BINS, ORDERS, gram_counts, identify, identify_held_out, train
+from waveloom.llm import langid
+from waveloom.llm.langid import BINS, ORDERS, counts_of, gram_counts, identify, identify_held_out, train
 from waveloom.llm.shingles import mix
 
 
@@ -58,3 +59,22 @@ def test_edges(spark, edge_docs, no_docs):
     assert identify_held_out(no_docs).collect() == []
     none = spark.createDataFrame([(1, "text", None), (None, None, "en")], "doc_id long, text string, lang string")
     assert [(r.doc_id, r.held_out, r.lang_pred) for r in identify_held_out(none).collect()] == [(1, False, "und"), (None, False, "und")]
+
+
+def test_long_texts_are_counted_in_parts(monkeypatch):
+    text = "the naïve fox été " * 700
+    whole = gram_counts([text])
+    monkeypatch.setattr(langid, "PART", 97)
+    assert (counts_of([text]) == whole).all()
+    assert counts_of(["x" * 1000]).sum() > 2900
+
+
+def test_numerals_are_no_letters_and_many_labels(spark, monkeypatch):
+    rows = [(i, f"word{chr(97 + i % 26)} number text", f"l{i:03}") for i in range(300)] + [(1000, "½ ² ① ٣", None), (1001, "漢字", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(df)
+    assert len(model.languages) == 300
+    got = {r.doc_id: r for r in identify(df, model).collect()}
+    assert (got[1000].lang_pred, got[1000].score) == ("und", 0.0) and got[1001].lang_pred in model.languages
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 7)
+    assert len(train(df).languages) == 7

@@ -12,7 +12,6 @@ counts. Training counts are sums over all labelled rows, made map-side.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -22,21 +21,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waveloom.llm.common import spread
+from waveloom.llm.common import spread, worker
 from waveloom.llm.packing import text_slices
 from waveloom.llm.shingles import mix
 
 BINS = 1024
 ORDERS = (2, 3, 4)
-#: Most languages a model may hold: the training table is languages x bins on the driver.
-MOST_LANGUAGES = 200
+#: Languages that a model holds: the training table is languages x bins on the driver, of 8 KB a language. Of more
+#: labels than that those with the most n-grams are learned.
+MOST_LANGUAGES = 4096
+#: Bytes of text that are counted together. A longer text is counted in parts, cut at blanks.
+PART = 1 << 19
 #: A language joins the set if it wins so much log-likelihood for each doubling of the n-grams.
 PRICE = 3.0
 ROUNDS = 10
 #: Share of the probability that each language leaves to n-grams that it has not shown.
 SMOOTHING = 0.5
-LETTER = re.compile(r"[^\W\d_]")
-
 
 @lru_cache(1)
 def _byte_codes() -> np.ndarray:
@@ -70,6 +70,20 @@ def gram_counts(texts: list[str]) -> np.ndarray:
     return np.bincount(np.concatenate(places), minlength=BINS * len(texts)).reshape(len(texts), BINS).astype(np.float32)
 
 
+def counts_of(texts: list[str]) -> np.ndarray:
+    """:func:`gram_counts` of texts of any length. A blank between parts stands at the ends of both, as in the
+    whole; a run of letters longer than a part is cut in it."""
+    if len(texts) > 1 or not texts or len(texts[0]) <= PART:
+        return gram_counts(texts)
+    text, at, total = texts[0], 0, np.zeros((1, BINS), np.float32)
+    while at < len(text):
+        cut = text.rfind(" ", at, at + PART) if at + PART < len(text) else len(text)
+        cut = cut if cut > at else min(at + PART, len(text))
+        total += gram_counts([text[at:cut]])
+        at = cut
+    return total
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     """Probabilities, bins x languages, the last column the background; and the languages' shares."""
@@ -125,14 +139,15 @@ class LanguageModel:
 
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """A model of all labelled rows of ``df``. Rows without text or language teach nothing. Each task sends
-    a row of counts per language."""
+    a row of counts per language. The most frequent MOST_LANGUAGES labels are learned."""
 
+    @worker
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for whole in batches:
-            for batch in text_slices(whole, "text", 1 << 19):
+            for batch in text_slices(whole, "text", PART):
                 langs = batch.column("lang").to_pylist()
-                counts = gram_counts(batch.column("text").to_pylist())
+                counts = counts_of(batch.column("text").to_pylist())
                 for lang in set(langs):
                     held = counts[[i for i, x in enumerate(langs) if x == lang]].sum(0, dtype=np.float64)
                     sums[lang] = sums[lang] + held if lang in sums else held
@@ -142,10 +157,9 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Lang
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     sums = spread(rows).mapInArrow(count, "lang string, counts array<double>")
     long = sums.select("lang", F.posexplode("counts").alias("bin", "n")).groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    per = long.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("held")).limit(MOST_LANGUAGES + 1).collect()
-    if len(per) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    table = {r.lang: np.array([x.n for x in r.held]) for r in per}
+    per = long.groupBy("lang").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("held"))
+    per = per.orderBy(F.desc("total"), "lang").limit(MOST_LANGUAGES).select("lang", F.transform("held", lambda x: x.n).alias("held")).toArrow()
+    table = {lang: np.array(held.values) for lang, held in zip(per.column("lang").to_pylist(), per.column("held"), strict=True)}
     languages = tuple(sorted(lang for lang, c in table.items() if c.sum() > 0))
     everything = sum((table[x] for x in languages), np.zeros(BINS)) + 1
     common = everything / everything.sum()
@@ -167,16 +181,17 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
     fields = [df.schema[c] for c in dict.fromkeys((id_col, *keep))]
     names = [f.name for f in fields]
 
+    @worker
     def predict(batches):
         m = shared.value
         for whole in batches:
             sized = whole.rename_columns([*names, "__text"])
-            for batch in text_slices(sized, "__text", 1 << 19):
+            for batch in text_slices(sized, "__text", PART):
                 texts = [t or "" for t in batch.column("__text").to_pylist()]
                 pred, score, mixture = [], [], []
-                weights, any_ = m.mixtures(gram_counts(texts)) if m.languages and texts else (np.zeros((len(texts), 1)), np.zeros(len(texts), bool))
+                weights, any_ = m.mixtures(counts_of(texts)) if m.languages and texts else (np.zeros((len(texts), 1)), np.zeros(len(texts), bool))
                 for text, w, ok in zip(texts, weights, any_, strict=True):
-                    if not ok or not LETTER.search(text):
+                    if not ok or not any(map(str.isalpha, text)):
                         pred.append("und")
                         score.append(0.0)
                         mixture.append([])
