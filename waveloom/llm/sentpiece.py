@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waveloom.llm.common import spread
+from waveloom.llm.common import spread, worker
 from waveloom.llm.packing import text_slices
 from waveloom.llm.tokens import vocabulary
 
@@ -35,6 +35,15 @@ class CharacterMap:
         self.strings = blob[4 + size :]
         self.single: dict[bytes, bytes] = {}
 
+    def first_bytes(self) -> np.ndarray:
+        """Which bytes an entry begins with."""
+        out = np.zeros(256, bool)
+        if self.units:
+            root = (self.units[0] >> 10) << ((self.units[0] & 512) >> 6)
+            for b in range(1, 256):
+                out[b] = (root ^ b) < len(self.units) and self.units[root ^ b] & 0x800000FF == b
+        return out
+
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """(bytes matched, replacement) of the longest entry that starts at ``at``."""
         units = self.units
@@ -63,57 +72,57 @@ class Normaliser:
     def __init__(self, spec):
         self.map = CharacterMap(spec.precompiled_charsmap)
         self.prefix, self.squeeze, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
+        #: Bytes at which the walk stops: those with which an entry begins, and blanks if runs of them shrink.
+        self.stops = self.map.first_bytes()
+        self.stops[32] |= self.squeeze
 
     def __call__(self, data: bytes) -> tuple[bytes, np.ndarray]:
+        """The walk: at each byte with which an entry may begin the longest one is looked up; what lies between such
+        bytes is itself, a stretch at a time. An empty map has no such byte."""
         if not data:
             return b"", np.zeros(1, np.int64)
         space = MARK if self.escape else b" "
-        if not self.map.units and not self.squeeze:  # the identity map: only blanks grow
-            head = space if self.prefix else b""
-            raw = np.frombuffer(data, np.uint8)
-            width = np.where(raw == 32, len(space), 1)
-            align = np.concatenate([np.zeros(len(head), np.int64), np.repeat(np.arange(len(raw)), width), [len(raw)]])
-            return head + data.replace(b" ", space), align
-        return self._walk(data, space)
-
-    def _pieces(self, data: bytes):
-        at = 0
-        while at < len(data):
-            hit = self.map.longest(data, at)
-            if hit:
-                size, out = hit
-            else:
-                b = data[at]
-                size = 1 if b < 0xC0 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
-                out = data[at : at + size]
-            yield at, size, out
-            at += size
-
-    def _walk(self, data: bytes, space: bytes) -> tuple[bytes, np.ndarray]:
+        raw = np.frombuffer(data, np.uint8)
         out, align = bytearray(), []
         blank = self.squeeze  # whether the last thing written counts as a blank
-        first, consumed = True, 0
-        for at, size, piece in self._pieces(data):
-            consumed = at + size
+        at, first = 0, True
+
+        def stretch(begin: int, stop: int) -> None:
+            nonlocal blank, first
+            if begin < stop:
+                if first and self.prefix:
+                    out.extend(space)
+                    align.append(np.full(len(space), begin))
+                first = blank = False
+                out.extend(data[begin:stop].replace(b" ", space))
+                width = np.where(raw[begin:stop] == 32, len(space), 1)
+                align.append(np.repeat(np.arange(begin, stop), width))
+
+        for stop in np.flatnonzero(self.stops[raw]).tolist():
+            if stop < at:  # within the entry before
+                continue
+            stretch(at, stop)
+            hit = self.map.longest(data, stop)
+            b = data[stop]
+            size, piece = hit or (n := 1 if b < 0xC0 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4, data[stop : stop + n])
+            at = stop + size
             while blank and piece[:1] == b" ":
                 piece = piece[1:]
             if not piece:
                 continue
-            if first and self.prefix:
-                out += space
-                align += [at] * len(space)
+            new = (space if first and self.prefix else b"") + piece.replace(b" ", space)
             first = False
-            for b in piece:
-                new = space if b == 32 else bytes((b,))
-                out += new
-                align += [at] * len(new)
+            out.extend(new)
+            align.append(np.full(len(new), stop))
             blank = self.squeeze and piece[-1:] == b" "
-        end = consumed
+        stretch(at, len(data))
+        places = np.concatenate(align) if align else np.zeros(0, np.int64)
+        end = len(data)
         if self.squeeze:
             while out.endswith(space):
-                end = align[len(out) - len(space)]
-                del out[-len(space) :], align[-len(space) :]
-        return bytes(out), np.array([*align, end], np.int64)
+                end = int(places[len(out) - len(space)])
+                del out[-len(space) :]
+        return bytes(out), np.append(places[: len(out)], end)
 
 
 class SpanEncoder:
@@ -130,7 +139,8 @@ class SpanEncoder:
             model.ParseFromString(f.read())
         self.normalise = Normaliser(model.normalizer_spec)
         piece = model.SentencePiece
-        self.width = np.array([1 if p.type == piece.BYTE else len(p.piece.encode()) for p in model.pieces], np.int64)
+        self.own = [bytes((int(p.piece[1:-1], 16),)) if p.type == piece.BYTE else p.piece.encode() for p in model.pieces]
+        self.width = np.array([len(x) for x in self.own], np.int64)
         self.unknown = np.array([p.type == piece.UNKNOWN for p in model.pieces])
         self.decimal = [str(i) for i in range(len(model.pieces))]
 
@@ -138,12 +148,15 @@ class SpanEncoder:
         return self.processor.encode(texts, num_threads=1, add_bos=False, add_eos=False, enable_sampling=False) if texts else []
 
     def spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """(start, end) bytes in the text of every id. Bytes of one character share its span's start."""
+        """(start, end) bytes in the text of every id. Bytes of one character share its span's start. The pieces' own
+        bytes, put in a row, must be the normalised text, so each span is that of its piece."""
         normal, align = self.normalise(text.encode())
         ids = np.asarray(ids, np.int64)
         width = self.width[ids]
         if (odd := self.unknown[ids]).any():
             width = self._fit_unknown(normal, ids, width, odd)
+        elif b"".join(map(self.own.__getitem__, ids.tolist())) != normal:
+            raise ValueError("pieces are not the normalised text")
         ends = np.cumsum(width)
         if len(ends) and ends[-1] != len(normal):
             raise ValueError("pieces do not cover the normalised text")
@@ -178,6 +191,7 @@ def encode_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ints = T.ArrayType(T.IntegerType())
     more = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()), ("spans_crc32", T.LongType())] if digests else [("ids", ints), ("starts", ints), ("ends", ints)]
 
+    @worker
     def encode(batches):
         encoder = SpanEncoder(model)
         for whole in batches:
