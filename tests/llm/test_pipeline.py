@@ -53,3 +53,23 @@ def test_empty_and_run(spark):
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_stages_with_null_ids_and_repeated_rows(spark):
+    """Rows are judged one by one: null ids come last, equal rows are one document to the line dedup, and one row of
+    each group of near copies stays."""
+    text = "the house and the garden of my friend are large and green and the river runs by them " * 2
+    other = "another text of some words in the same language that is like no other text in here"
+    rows = [(None, text), (None, text), (1, text), (1, other), (2, None), (3, ""), (4, "12 34"), (5, other + " x"), (5, other + " x"), (None, "a last one that stands alone under no id at all")]
+    docs = spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        got[name] = sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr) if name != "packing" else docs.collect()
+    first = sorted([r for r in rows if r[1] and r[1] != "12 34"], key=repr)
+    assert got["language_id"] == first
+    assert got["line_dedup"] == sorted([(1, text), (1, other), (None, rows[-1][1])], key=repr)
+    assert got["ngram_join"] == got["line_dedup"] and len(got["packing"]) == 3
+    near = spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.ngram_join(spark, near, SF).collect()), key=repr)
+    assert kept == sorted([(1, text), (1, other), (2, None), (3, ""), (4, "12 34"), rows[-1]], key=repr)

@@ -75,6 +75,8 @@ def multiple_buckets(index: DataFrame) -> DataFrame:
 SMALL = 32
 #: Nodes of a group that one task compares with the whole group.
 PROBES = 1024
+#: Further pivots of a group, each of the largest component that no pivot of it is in.
+ROUNDS = 3
 
 
 def bucket_components(shared: DataFrame, features: DataFrame, open_: str, verify: Callable[[DataFrame], DataFrame], closer: Callable[[DataFrame], DataFrame] | None = None, closer_open: str = "true") -> DataFrame:
@@ -86,8 +88,9 @@ def bucket_components(shared: DataFrame, features: DataFrame, open_: str, verify
     buckets that still hold several components give further pairs, only across components, and only open
     ones: the condition is part of the join. A pair within a component cannot change it, so none that
     could is left out. Buckets of up to ``SMALL`` nodes give at most that many pairs a row. Larger ones with one
-    pivot are a group, so nodes that meet in many of them meet once; in a group only nodes outside the
-    pivot's component are compared with the others, ``PROBES`` of them to a task. closer adds columns to a group's
+    pivot are a group, so nodes that meet in many of them meet once. A group is held against a few further pivots, which
+    join what belongs together in as many pairs as it has nodes; then nodes outside its
+    largest component are compared with the others, ``PROBES`` of them to a task. closer adds columns to a group's
     rows (pivot, node), and closer_open is a further condition on these.
     """
     named = [c for c in features.columns if c != "node"]
@@ -106,7 +109,22 @@ def bucket_components(shared: DataFrame, features: DataFrame, open_: str, verify
 
     groups = rows.where("large").select(F.col("a").alias("pivot"), "node", "component").distinct()
     groups = materialize(groups, "bucket-groups")
-    pivots = groups.groupBy("pivot").agg(F.max(F.when(F.col("node") == F.col("pivot"), F.col("component"))).alias("settled"), F.expr(f"cast(count(1) div {PROBES} as int)").alias("more"))
+    tested, used = first, groups.select("pivot", F.col("pivot").alias("node")).distinct()
+    for _ in range(ROUNDS):
+        met = used.join(found, "node", "left").select("pivot", F.coalesce("component", "node").alias("component")).distinct()
+        sizes = groups.join(met, ["pivot", "component"], "left_anti").groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n > 1")
+        chosen = materialize(sizes.groupBy("pivot").agg(F.max_by(F.struct("node", "component"), F.struct("n", -F.col("node"))).alias("p")).select("pivot", F.col("p.node").alias("chosen"), F.col("p.component").alias("own")), "bucket-pivots")
+        if chosen.isEmpty():
+            break
+        against = groups.join(chosen, "pivot").where("component <> own").select(F.least("node", "chosen").alias("a"), F.greatest("node", "chosen").alias("b")).distinct()
+        against = against.join(features.select(side("a")), "a").join(features.select(side("b")), "b").where(open_).select("a", "b")
+        against = materialize(against.join(tested, ["a", "b"], "left_anti"), "bucket-pairs")
+        links = materialize(verify(against), "bucket-links")
+        found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+        tested, used = tested.unionByName(against), used.unionByName(chosen.select("pivot", F.col("chosen").alias("node")))
+        groups = materialize(groups.drop("component").join(found, "node", "left").select("pivot", "node", F.coalesce("component", "node").alias("component")), "bucket-groups")
+    largest = groups.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("pivot")
+    pivots = largest.agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("settled"), F.expr(f"cast(sum(n) div {PROBES} as int)").alias("more"))
     if closer:
         groups = materialize(closer(groups), "bucket-closer")
     more = [c for c in groups.columns if c not in ("pivot", "node", "component")]
@@ -116,9 +134,9 @@ def bucket_components(shared: DataFrame, features: DataFrame, open_: str, verify
     beside = probes.join(others, (probes["pivot"] == others["pivot"]) & (probes["part"] == others["part"]) & F.expr(f"of_a <> of_b and (calm or a < b) and {closer_open} and {open_}"))
     beside = beside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    rest = materialize(across.unionByName(beside).distinct().join(first, ["a", "b"], "left_anti"), "bucket-rest")
+    rest = materialize(across.unionByName(beside).distinct().join(tested, ["a", "b"], "left_anti"), "bucket-rest")
     later = materialize(verify(rest), "bucket-links")
-    for used in (first, rows):
-        discard(used)
+    for held in (first, rows):
+        discard(held)
     # the first round's components stand for its links
     return connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(later))
