@@ -8,6 +8,7 @@ from waveloom.functions.columns import anneal, checked, entropy, softmax
 from waveloom.operators import codebook as cb
 from waveloom.operators import nn, quality, quantize, schedule, signals, stats
 from waveloom.plans.codec import GumbelCodec, RVQCodec, Training, fit_codebook, vq_codec
+from waveloom.plans.training import FitConfig, fit
 from waveloom.sources import tables
 from waveloom.streaming.codec import encode_stream, frame_stream
 
@@ -161,6 +162,67 @@ def test_codecs(spark, frame_table, tmp_path):
     assert {r.metric for r in Training(extra_metrics={"prd": quality.prd_percent}).evaluate(recon).collect()} == {"mse", "cosine", "prd"}
 
 
+def test_weights_round_trip_and_frames_of_one_length(spark, frame_table, tmp_path):
+    w = nn.Weights.draw(2, 4, out=6)
+    tables.save_weights(spark, w, str(tmp_path / "model"))
+    again = tables.load_weights(spark, str(tmp_path / "model"))
+    assert w.values.keys() == again.values.keys() and all((w[k] == again[k]).all() for k in w.values)
+    odd = frame_table.unionByName(spark.createDataFrame([(9, [0.0] * 32)], frame_table.schema)).coalesce(1)
+    with pytest.raises(Exception, match="one length"):
+        nn.latents(odd, nn.Weights.draw(2, 4), ["frame"]).collect()
+
+
+def test_rate_term(spark):
+    p = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0]), (0, [0.25] * 4), (1, [0.25] * 4)], "b int, p array<double>")
+    got = {r.b: r.total for r in quantize.kl_loss(p, quantize.GSConfig(4, 2, kl_weight=0.5), "b").collect()}
+    assert abs(got[0] - 0.5) < 1e-6 and abs(got[1]) < 1e-6
+    assert quantize.kl_loss(p, quantize.GSConfig(4, 2, kl_weight=0.0)).first().total == 0
+
+
+def test_frames_by_spans_are_those_of_whole_sources(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(s), int(t), float(v)) for s, t, v in zip(rng.integers(0, 3, 400), rng.permutation(400), rng.normal(size=400), strict=True)] + [(None, 1, 2.0), (None, 900, 3.0)]
+    df = spark.createDataFrame(rows, "s int, t int, v double")
+    whole, cut = (sorted(map(tuple, signals.frames(df, "s", ["t"], "v", 16, span).collect()), key=repr) for span in (None, F.expr("t div 50")))
+    assert whole == cut and len(whole) > 20
+
+
+def test_histories_longer_than_a_stretch(spark, monkeypatch):
+    monkeypatch.setattr(schedule, "STRETCH", 3)
+    rng = np.random.default_rng(2)
+    losses = {r: rng.integers(0, 30, 25) - np.arange(25) // 2 for r in range(4)}
+    df = spark.createDataFrame([(r, e, float(v)) for r, x in losses.items() for e, v in enumerate(x)], "run int, epoch int, val_loss double")
+    stops = {r.run: r for r in schedule.early_stopping(df, 4).collect()}
+    points = sorted((r.run, r.epoch) for r in schedule.checkpoints(df).collect())
+    want = []
+    for r, x in losses.items():
+        best = at = None
+        stop = None
+        for e, v in enumerate(x):
+            if best is None or v < best:
+                best, at = v, e
+                want.append((r, e))
+            if e - at >= 4 and stop is None:
+                stop = e
+        assert stops[r].stop_epoch == stop
+    assert points == want
+
+
+def test_fit_in_batches(spark):
+    rng = np.random.default_rng(5)
+    t = toks(spark, *rng.normal(size=(50, 2)))
+    start = cb.from_tokens(t, 0, 4)
+    seen = []
+    done = fit(t, start, 2, FitConfig(3, 16, 0.2, annealing=(1.0, 0.1, 2, "cosine")), t, lambda e, row: seen.append(row))
+    assert [r["epoch"] for r in seen] == [0, 1, 2] and [round(r["temperature"], 6) for r in seen] == [1.0, 0.55, 0.1]
+    loss = lambda b: quantize.losses(quantize.assign(t, b, 2), 2, 0.25).first().total
+    assert abs(loss(done.codebook) - min(h[2] for h in done.history)) < 1e-9 < loss(start) - loss(done.codebook)
+    stopped = fit(t, start, 2, FitConfig(5, 50, 1e-12, patience=1), t)
+    assert len(stopped.history) < 5 or stopped.best_epoch == 4
+    with pytest.raises(ValueError):
+        fit(t, start, 2, FitConfig(1, 51))
+
+
 def test_codebook_learns(spark):
     rng = np.random.default_rng(5)
     t = toks(spark, *rng.normal(size=(60, 2)))

@@ -58,7 +58,9 @@ class Weights:
     values: dict[str, np.ndarray]
 
     @staticmethod
-    def draw(base: int = 32, dim: int = 16, seed: int = 42) -> Weights:
+    def draw(base: int = 32, dim: int = 16, seed: int = 42, out: int | None = None) -> Weights:
+        """dim: channels of a latent; out: of what the decoder takes, the same if not given."""
+        taken = out or dim
         rng, out = np.random.default_rng(seed), {}
 
         def dense(name, *shape):
@@ -74,7 +76,7 @@ class Weights:
             norm(f"down{i}.n", base * i)
             before = base * i
         dense("latent", 1, before, dim)
-        before = dim
+        before = taken
         for i in range(4, 0, -1):
             dense(f"up{i}", 7, before, base * i)
             out[f"up{i}.d"] = rng.uniform(-0.5, 0.5, (5, base * i))
@@ -111,39 +113,71 @@ def decode(z: np.ndarray, w: Weights) -> np.ndarray:
     return conv(channel_norm(z, w["out.n.g"], w["out.n.s"]), w["out"], w["out.b"])[:, :, 0]
 
 
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    return [np.asarray(v, np.float64) for v in column.to_pylist()]
+def _in_parts(run, x: np.ndarray, w: Weights, numbers: int = 1 << 16) -> np.ndarray:
+    """``run`` on some frames at a time: convolutions hold their windows."""
+    n = max(1, numbers // max(1, math.prod(x.shape[1:])))
+    return np.concatenate([run(x[i : i + n], w) for i in range(0, len(x), n)])
 
 
-def encode_frames(frames: DataFrame, weights: Weights, keys: list[str], samples: str = "samples") -> DataFrame:
-    """(keys, pos, z): a row per latent token. Frames are of one length, a multiple of 16."""
+def _stacked(column: pa.Array, depth: int = 1) -> np.ndarray:
+    """A column of lists (of lists, by depth) as one array over its values; lists of one level are of one length."""
+    shape = [len(column)]
+    for _ in range(depth):
+        sizes = np.diff(np.asarray(column.offsets))
+        if column.null_count or len(sizes) and (sizes != sizes[0]).any():
+            raise ValueError("frames of one length, without nulls, are asked for")
+        shape.append(int(sizes[0]) if len(sizes) else 0)
+        column = column.flatten()
+    return np.asarray(column.cast(pa.float64()).to_numpy(zero_copy_only=False)).reshape(shape)
+
+
+def _nested(x: np.ndarray) -> pa.Array:
+    """The reverse."""
+    out = pa.array(np.ascontiguousarray(x, np.float64).ravel())
+    for n in x.shape[:0:-1]:
+        out = pa.ListArray.from_arrays(pa.array(np.arange(0, len(out) + 1, n, dtype=np.int32)), out)
+    return out
+
+
+def _fields(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in names)
+
+
+def latents(frames: DataFrame, weights: Weights, keys: list[str], samples: str = "samples") -> DataFrame:
+    """(keys, latent): a row per frame, the latent as an array of tokens. Frames are of one length, a multiple of 16."""
     shared = frames.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                z = encode(np.stack(_lists(batch.column("samples"))), shared.value)
-                held = pa.array([list(map(np.ndarray.tolist, f)) for f in z], pa.list_(pa.list_(pa.float64())))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), held], [*keys, "latent"])
+                z = _in_parts(encode, _stacked(batch.column("_samples")), shared.value)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), _nested(z)], [*keys, "latent"])
 
-    schema = ", ".join(f"`{k}` {dict(frames.dtypes)[k]}" for k in keys) + ", latent array<array<double>>"
-    out = frames.select(*keys, F.col(samples).alias("samples")).mapInArrow(run, schema)
-    return out.select(*keys, F.posexplode("latent").alias("pos", "z"))
+    return frames.select(*keys, F.col(samples).alias("_samples")).mapInArrow(run, _fields(frames, keys) + ", latent array<array<double>>")
 
 
-def decode_frames(tokens: DataFrame, weights: Weights, keys: list[str]) -> DataFrame:
-    """(keys, samples) of tokens (keys, pos, y): a frame's tokens are gathered, as many as it has."""
-    shared = tokens.sparkSession.sparkContext.broadcast(weights)
-    held = tokens.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "y"))), lambda h: h["y"]).alias("latent"))
+def reconstructions(held: DataFrame, weights: Weights, keys: list[str], latent: str = "latent") -> DataFrame:
+    """(keys, samples) of a row per frame (keys, latent)."""
+    shared = held.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x = decode(np.array(batch.column("latent").to_pylist(), np.float64), shared.value)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(list(map(np.ndarray.tolist, x)), pa.list_(pa.float64()))], [*keys, "samples"])
+                x = _in_parts(decode, _stacked(batch.column("_latent"), 2), shared.value)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), _nested(x)], [*keys, "samples"])
+
+    return held.select(*keys, F.col(latent).alias("_latent")).mapInArrow(run, _fields(held, keys) + ", samples array<double>")
+
+
+def encode_frames(frames: DataFrame, weights: Weights, keys: list[str], samples: str = "samples") -> DataFrame:
+    """(keys, pos, z): a row per latent token. Frames are of one length, a multiple of 16."""
+    return latents(frames, weights, keys, samples).select(*keys, F.posexplode("latent").alias("pos", "z"))
+
 
-    schema = ", ".join(f"`{k}` {dict(tokens.dtypes)[k]}" for k in keys) + ", samples array<double>"
-    return held.mapInArrow(run, schema)
+def decode_frames(tokens: DataFrame, weights: Weights, keys: list[str]) -> DataFrame:
+    """(keys, samples) of tokens (keys, pos, y): a frame's tokens are gathered, as many as it has."""
+    held = tokens.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "y"))), lambda h: h["y"]).alias("latent"))
+    return reconstructions(held, weights, keys)
 
 
 def gelu_column(x: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waveloom.functions.columns import checked, dot, hash_uniform, minus, nearest, plus, softmax, squared_distance, total
+from waveloom.operators import stats
 from waveloom.operators.codebook import attach
 
 
@@ -106,6 +107,21 @@ def rvq_encode(tokens: DataFrame, codebooks: list[DataFrame], dim: int) -> DataF
     )
 
 
+def rvq_arrays(held: DataFrame, codebooks: list[DataFrame], dim: int, latent: str = "latent") -> DataFrame:
+    """``held`` with codes and y of every token of a row's latent (arrays of as many): level by level over the whole
+    array, so a frame is encoded where it stands."""
+    names = {f"_cb{i}": c for i, c in enumerate(codebooks, 1)}
+    df = attach(held.withColumn("_rest", F.transform(latent, lambda z: checked(z, dim))), **names)
+    for i, book in enumerate(map(F.col, names), 1):
+        df = df.withColumn(f"_near{i}", F.transform("_rest", lambda z: nearest(z, book)))  # noqa: B023
+        df = df.withColumn("_rest", F.zip_with("_rest", f"_near{i}", lambda z, n: minus(z, n["vec"])))
+    y = F.col("_near1.vec")
+    for i in range(2, len(codebooks) + 1):
+        y = F.zip_with(y, F.col(f"_near{i}.vec"), lambda a, b: plus(a, b))
+    codes = F.arrays_zip(*[F.col(f"_near{i}.code").alias(f"level{i}") for i in range(1, len(codebooks) + 1)])
+    return df.select(*held.columns, codes.alias("codes"), y.alias("y"))
+
+
 def rvq_decode(codes: DataFrame, codebooks: list[DataFrame], levels: int | None = None) -> DataFrame:
     """codes (tok, codes) with y, from the first ``levels`` levels."""
     levels = len(codebooks) if levels is None else min(levels, len(codebooks))
@@ -152,6 +168,13 @@ def posteriors(scored: DataFrame, temperature: float = 1.0, noise_seed: int | No
     return scored.withColumn("p", softmax(noisy, temperature))
 
 
+def kl_loss(posteriors: DataFrame, config: GSConfig, *by: str) -> DataFrame:
+    """(by, total): the bottleneck's rate term, its weight times the bits that a mean token's posterior is from
+    uniform. A weight of 0 adds nothing."""
+    bits = stats.kl_bits(posteriors, config.num_embeddings, *by)
+    return bits.select(*by, (F.lit(float(config.kl_weight)) * F.col("kl_bits")).alias("total"))
+
+
 def hard_index(p: Column) -> Column:
     """The likeliest code; of equals the first."""
     return (F.array_position(p, F.array_max(p)) - 1).cast("int")

@@ -24,11 +24,21 @@ def shuffle_order(df: DataFrame, *keys: str, seed: int = 42, epoch: int = 0) ->
     return hash_rank(df, F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), *[F.col(k).cast("string") for k in keys]), *keys, name="place")
 
 
-def frames(series: DataFrame, source: str, order: list[str], value: str, length: int) -> DataFrame:
+def frames(series: DataFrame, source: str, order: list[str], value: str, length: int, span: Column | None = None) -> DataFrame:
     """(source, frame, samples): each source's samples in order, cut every ``length``; the last may be
-    short. Samples are numbered by a window within their source."""
-    place = F.row_number().over(Window.partitionBy(source).orderBy(*order)) - 1
-    placed = series.select(source, F.col(value).cast("double").alias("x"), place.alias("at"))
+    short. span: a coarser column that never falls along the order, such as the day of a time. Samples are then numbered
+    within their source and span and moved on by the counts of the spans before, so that no task holds a whole source;
+    without it they are numbered by a window within their source."""
+    if span is None:
+        place = F.row_number().over(Window.partitionBy(source).orderBy(*order)) - 1
+        placed = series.select(source, F.col(value).cast("double").alias("x"), place.alias("at"))
+    else:
+        spans = series.withColumn("_span", span)
+        counts = spans.groupBy(source, "_span").agg(F.count(F.lit(1)).alias("_n"))
+        first = counts.select(F.col(source).alias("_source"), F.col("_span").alias("_of"), (F.sum("_n").over(Window.partitionBy(source).orderBy("_span")) - F.col("_n")).alias("_first"))
+        within = spans.withColumn("_within", F.row_number().over(Window.partitionBy(source, "_span").orderBy(*order)) - 1)
+        joined = within.join(first, F.col(source).eqNullSafe(F.col("_source")) & F.col("_span").eqNullSafe(F.col("_of")))
+        placed = joined.select(source, F.col(value).cast("double").alias("x"), (F.col("_first") + F.col("_within")).alias("at"))
     cut = placed.withColumn("frame", F.expr(f"cast(at div {length} as int)"))
     held = cut.groupBy(source, "frame").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("held"))
     return held.select(source, "frame", F.transform("held", lambda h: h["x"]).alias("samples"))

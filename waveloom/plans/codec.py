@@ -29,9 +29,10 @@ class RVQCodec:
         return nn.decode_frames(quantize.rvq_decode(codes.select(*keys, "pos", "codes"), self.codebooks, levels), self.weights, keys)
 
     def round_trip(self, frames: DataFrame, keys: list[str]) -> DataFrame:
-        """(keys, x, y): frames and their reconstructions."""
-        back = self.decode(self.encode(frames, keys), keys).withColumnRenamed("samples", "y")
-        return frames.withColumnRenamed("samples", "x").join(back, keys)
+        """(keys, x, y): frames and their reconstructions. A frame stays one row all the way: no shuffle."""
+        held = nn.latents(frames.withColumnRenamed("samples", "x"), self.weights, [*keys, "x"], "x")
+        coded = quantize.rvq_arrays(held, self.codebooks, self.config.embedding_dim)
+        return nn.reconstructions(coded, self.weights, [*keys, "x"], "y").withColumnRenamed("samples", "y")
 
 
 def vq_codec(config: quantize.VQConfig, weights: nn.Weights, codebook: DataFrame) -> RVQCodec:

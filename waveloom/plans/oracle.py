@@ -181,6 +181,7 @@ ORACLE_SQL = {
     "gs_hard_embedding": f"{SOFT}, {TOP}, w AS (SELECT tok, vec FROM top JOIN emb USING (code)) " + cells("w", "vec", "tok"),
     "gs_token_entropy": f"{SOFT}, {NATS} SELECT tok, round(nats, 6) AS nats FROM nats",
     "gs_kl_bits": f"{SOFT}, {NATS}, {full_batches('nats', 'bn')}, {KL} SELECT batch_id, round(kl_bits, 6) AS kl_bits FROM kl",
+    "gs_kl_loss": f"{SOFT}, {NATS}, {full_batches('nats', 'bn')}, {KL} SELECT batch_id, round(0.25::DOUBLE * kl_bits, 6) AS kl_loss FROM kl",
     "gs_stats": f"{SOFT}, {NATS}, {TOP}, {full_batches('nats', 'bn')}, {KL}, {full_batches('top', 'bt')}, {code_stats('bt', 'batch_id', str(GK))} SELECT (SELECT round(avg(kl_bits), 6) FROM kl) AS bits, round(avg(perplexity), 6) AS perplexity, round(avg(usage), 6) AS usage, {TAU}::DOUBLE AS temperature FROM per",
     "recon_mse": recon(MSE),
     "recon_cosine": recon(COSINE),
@@ -188,10 +189,10 @@ ORACLE_SQL = {
     "recon_prd_percent": recon(f"100 * sqrt({MSE})"),
     "recon_prd_normalised": recon(f"100 * sqrt(sum({sq('x', 'y')}) / sum({DOT('x', 'x')}))"),
     "recon_weighted_mse": recon(f"sum((tok % 5 + 1)::DOUBLE * {sq('x', 'y')} / {DIM}) / sum((tok % 5 + 1)::DOUBLE)"),
-    "total_loss": f"{encoded()}, t AS (SELECT {MSE} AS recon, {D_LOSS} AS extra, sum(d1) / (count(*) * {DIM}) * 1.25::DOUBLE AS layer FROM enc) SELECT round(recon, 6) AS recon, round(extra, 6) AS extra, round(layer, 6) AS layer, round(recon + extra + layer, 6) AS loss FROM t",
+    "total_loss": f"{encoded()}, t AS (SELECT {MSE} AS recon, {D_LOSS} AS extra, (sum(d1) + sum(d2)) / (count(*) * {DIM}) * 1.25::DOUBLE AS layer FROM enc) SELECT round(recon, 6) AS recon, round(extra, 6) AS extra, round(layer, 6) AS layer, round(recon + extra + layer, 6) AS loss FROM t",
     "train_metrics": f"{encoded()}, t AS (SELECT {MSE} AS mse, {COSINE} AS cosine, 100 * sqrt({MSE}) AS prd FROM enc) SELECT 'mse' AS metric, round(mse, 6) AS value FROM t UNION ALL SELECT 'cosine', round(cosine, 6) FROM t UNION ALL SELECT 'prd', round(prd, 6) FROM t",
     "rate_report": f"{encoded()}, {code_stats('lev', 'level', str(K))} SELECT level, round(entropy_bits, 6) AS entropy_bits, 32::DOUBLE AS bits_per_frame, 250::DOUBLE AS bits_per_second, 32::DOUBLE AS ratio FROM per",
-    "contrastive_loss": f"""WITH {TOK}, q AS (SELECT tok, z, list_transform(range(1, {DIM + 1}), lambda i: z[i] + 0.01::DOUBLE * (i - 1)) AS w FROM tok WHERE tok < 256),
+    "contrastive_loss": f"""WITH {TOK}, q AS (SELECT tok, z, list_transform(range(1, {DIM + 1}), lambda i: z[i] + 0.01::DOUBLE * (i - 1)) AS w FROM tok),
         v AS (SELECT tok // 32 AS b, tok, 0 AS side, z AS v FROM q UNION ALL SELECT tok // 32, tok, 1, w FROM q),
         o AS (SELECT l.tok, l.side, l.tok = r.tok AS mate, {DOT('l.v', 'r.v')} / (sqrt({DOT('l.v', 'l.v')}) * sqrt({DOT('r.v', 'r.v')})) / 0.1::DOUBLE AS s FROM v l JOIN v r ON l.b = r.b AND NOT (l.tok = r.tok AND l.side = r.side)),
         e AS (SELECT tok, side, ln(sum(exp(s))) - max(CASE WHEN mate THEN s END) AS loss FROM o GROUP BY tok, side) SELECT round(avg(loss), 6) AS loss FROM e""",
@@ -213,5 +214,4 @@ ORACLE_SQL = {
     "upsample_nearest": frame_cells(f"list_transform(range({2 * FRAME}), lambda i: samples[i // 2 + 1])", 2 * FRAME),
     "separable_conv": frame_cells("flatten(list_transform(" + conv(DEEP, 1, 2) + ", lambda v: [" + ", ".join(f"v * {p}::DOUBLE" for p in POINT) + "]))", 3 * FRAME),
 }
-#: The same loss over the whole table.
-ORACLE_SQL["contrastive_loss_all"] = ORACLE_SQL["contrastive_loss"].replace(" WHERE tok < 256", "")
+ORACLE_SQL["contrastive_loss_all"] = ORACLE_SQL["contrastive_loss"]

@@ -8,10 +8,10 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waveloom.functions.columns import entropy, hash_uniform
+from waveloom.functions.columns import dot, entropy, hash_uniform, squared_distance
 from waveloom.operators import codebook as cb
 from waveloom.operators import nn, quality, quantize, schedule, signals, stats
-from waveloom.plans.codec import RVQCodec, Training, level_metrics
+from waveloom.plans.codec import GumbelCodec, RVQCodec, Training, level_metrics
 from waveloom.sources.tables import load
 
 DIM, K, BATCH, FRAME, SEED = 16, 16, 256, 16, 42
@@ -53,7 +53,7 @@ def in_batches(df: DataFrame) -> DataFrame:
 
 
 def event_frames(spark, d):
-    return signals.frames(load(spark, d, "events"), "user_id", ["ts", "event_id"], "value", FRAME)
+    return signals.frames(load(spark, d, "events"), "user_id", ["ts", "event_id"], "value", FRAME, F.to_date("ts"))
 
 
 def full_frames(spark, d):
@@ -280,6 +280,11 @@ def gs_kl_bits(spark, d):
     return stats.kl_bits(in_batches(soft(spark, d)), GK, "batch_id").select("batch_id", r6("kl_bits").alias("kl_bits"))
 
 
+def gs_kl_loss(spark, d):
+    config = quantize.GSConfig(GK, DIM, kl_weight=0.25)
+    return quantize.kl_loss(in_batches(soft(spark, d)), config, "batch_id").select("batch_id", r6("total").alias("kl_loss"))
+
+
 def gs_stats(spark, d):
     rows = in_batches(soft(spark, d)).withColumn("code", quantize.hard_index(F.col("p")))
     bits = stats.kl_bits(rows, GK, "batch_id").agg(F.avg("kl_bits").alias("bits"))
@@ -302,9 +307,10 @@ def recon_weighted_mse(spark, d):
 
 
 def total_loss(spark, d):
-    df = recon(spark, d)
-    a = assigned(spark, d)
-    out = Training([quality.derivative_loss]).loss(df, quantize.losses(a, DIM, 0.25))
+    """Reconstruction, extra and layer losses of one model: those of the levels that made the reconstruction."""
+    df = encoded(spark, d)
+    layers = [quantize.losses(df.select(F.element_at("dists", level).alias("dist")), DIM, 0.25) for level in (1, 2)]
+    out = Training([quality.derivative_loss]).loss(recon(spark, d), *layers)
     return out.select(*[r6(c).alias(c) for c in ("recon", "extra", "layer", "loss")])
 
 
@@ -319,15 +325,7 @@ def rate_report(spark, d):
 
 
 def contrastive_loss(spark, d):
-    """The loss of the first 256 tokens alone; contrastive_loss_all has the table's."""
-    return contrastive(tokens(spark, d).where("tok < 256"))
-
-
-def contrastive_loss_all(spark, d):
-    return contrastive(tokens(spark, d))
-
-
-def contrastive(t):
+    t = tokens(spark, d)
     unit = lambda c: F.transform(c, lambda v: v / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)))
     views = t.select(F.expr("tok div 32").alias("batch_id"), F.col("tok").alias("item"), unit(F.col("z")).alias("a"), unit(F.transform("z", lambda v, i: v + 0.01 * i)).alias("b"))
     return quality.contrastive_loss(views).select(r6("loss").alias("loss"))
@@ -436,7 +434,36 @@ def _codec(spark, d):
 
 def codec_roundtrip(spark, d):
     out = _codec(spark, d).round_trip(norm_frames(spark, d), ["user_id", "frame"])
-    return out.groupBy("user_id", "frame").agg(r6(quality.mse()).alias("mse"), r6(quality.cosine()).alias("cosine"))
+    return _by_frame(out)
+
+
+def _by_frame(out, source="user_id"):
+    error = squared_distance(F.col("x"), F.col("y")) / F.size("x")
+    norm = F.sqrt(dot(F.col("x"), F.col("x"))) * F.sqrt(dot(F.col("y"), F.col("y")))
+    return out.select(source, "frame", r6(error).alias("mse"), r6(F.when(norm > 0, dot(F.col("x"), F.col("y")) / norm).otherwise(0.0)).alias("cosine"))
+
+
+def codec_full_size(spark, d):
+    """The model at its full size on long frames: 4096 samples, two levels of 256 codes, 16 numbers a token, base 32.
+    Series are prices by line number."""
+    keys = ["l_orderkey", "l_partkey", "l_suppkey"]
+    series = load(spark, d, "lineitem").select(F.col("l_linenumber").alias("source"), *keys, "l_extendedprice")
+    f = signals.frames(series, "source", keys, "l_extendedprice", 4096, F.expr("l_orderkey div 100000")).where(F.size("samples") == 4096)
+    f = f.withColumn("samples", signals.normalise(F.col("samples")))
+    codec = RVQCodec(quantize.RVQConfig(2, 256, DIM), nn.Weights.draw(base=32, dim=DIM, seed=SEED), [cb.uniform_init(spark, 256, DIM, SEED, i, 1.0) for i in (1, 2)])
+    return _by_frame(codec.round_trip(f, ["source", "frame"]), "source")
+
+
+def gs_codec_roundtrip(spark, d):
+    """As in training: with noise, and a projection of the latents."""
+    codec = GumbelCodec(quantize.GSConfig(GK, DIM, TAU), _weights(), *gs_tables(spark), gs_bias)
+    return _by_frame(codec.round_trip(norm_frames(spark, d), ["user_id", "frame"], 7))
+
+
+def gs_codec_logits(spark, d):
+    """Without a projection: the encoder's output are the logits, the likeliest as they are."""
+    codec = GumbelCodec(quantize.GSConfig(GK, DIM, TAU, input_is_logits=True), nn.Weights.draw(base=4, dim=GK, out=DIM, seed=SEED), None, gs_tables(spark)[1])
+    return _by_frame(codec.round_trip(norm_frames(spark, d), ["user_id", "frame"]))
 
 
 QUERIES = {
@@ -446,14 +473,15 @@ QUERIES = {
         frame_noise, frame_sine, frame_amplitude, frame_cutout,
         codebook_uniform_init, vq_distance, vq_assign, vq_dequantize, vq_loss, vq_histogram, vq_stats_batch_mean, vq_stats_global,
         rvq_encode, rvq_mixed_k, rvq_decode, rvq_level_loss, rvq_level_stats, rvq_summary_stats,
-        gs_weights, gs_logits, gs_logits_passthrough, gs_softmax, gs_gumbel_noise, gs_gumbel_softmax, gs_index, gs_expected_embedding, gs_hard_embedding, gs_token_entropy, gs_kl_bits, gs_stats,
-        recon_weighted_mse, total_loss, train_metrics, rate_report, contrastive_loss, contrastive_loss_all,
+        gs_weights, gs_logits, gs_logits_passthrough, gs_softmax, gs_gumbel_noise, gs_gumbel_softmax, gs_index, gs_expected_embedding, gs_hard_embedding, gs_token_entropy, gs_kl_bits, gs_kl_loss, gs_stats,
+        recon_weighted_mse, total_loss, train_metrics, rate_report, contrastive_loss,
         lr_cosine_decay, early_stopping, checkpoint_epochs, best_checkpoint,
         codebook_grad, codebook_sgd_step, codebook_adam_step, codebook_neighbours,
-        conv1d_same_stride2, channel_layernorm, upsample_nearest, separable_conv, gelu, encoder_16x, decoder_16x, codec_roundtrip,
+        conv1d_same_stride2, channel_layernorm, upsample_nearest, separable_conv, gelu, encoder_16x, decoder_16x, codec_roundtrip, codec_full_size, gs_codec_roundtrip, gs_codec_logits,
     )
 }
 QUERIES |= {
+    "contrastive_loss_all": contrastive_loss,  # an earlier name
     "rvq_decode_prefix": partial(rvq_decode, levels=1),
     "recon_mse": partial(_recon, quality.mse),
     "recon_cosine": partial(_recon, quality.cosine),

@@ -68,3 +68,18 @@ def load_parameters(spark: SparkSession, path: str, kind: type):
     table = spark.read.parquet(f"{path}/codebooks")
     levels = sorted(r.level for r in table.select("level").distinct().collect())  # a row per level
     return [table.where(F.col("level") == n).select("code", "vec") for n in levels], kind(**values)
+
+
+def save_weights(spark: SparkSession, weights, path: str) -> None:
+    """Encoder and decoder: a row per parameter (name, shape, numbers)."""
+    rows = [(name, [int(n) for n in v.shape], [float(x) for x in v.ravel()]) for name, v in sorted(weights.values.items())]
+    spark.createDataFrame(rows, "name string, shape array<int>, numbers array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
+
+
+def load_weights(spark: SparkSession, path: str):
+    """The reverse; parameters are as many as the model has, whatever the data."""
+    import numpy as np
+
+    from waveloom.operators.nn import Weights
+
+    return Weights({r.name: np.array(r.numbers).reshape(r.shape) for r in spark.read.parquet(f"{path}/weights").collect()})
