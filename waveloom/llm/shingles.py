@@ -38,7 +38,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([one, np.cumprod(np.full(n, ODD))]), np.concatenate([one, np.cumprod(np.full(n, INVERSE))])
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, cut_long: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(bounds, hashes): the words of text i are hashes[bounds[i]:bounds[i + 1]]."""
     texts = texts if pa.types.is_large_binary(texts.type) else pc.fill_null(texts, "").cast(pa.large_string())
     if isinstance(texts, pa.ChunkedArray):
@@ -48,12 +48,12 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     size = int(offsets[-1] - offsets[0])
     if not size:
         return np.zeros(n + 1, np.int64), np.zeros(0, np.uint64)
-    if n == 1 and size > LONG:  # a long text: in parts, cut at blanks
+    if cut_long and n == 1 and size > LONG:  # a long text: in parts, cut at blanks
         data, parts, at = texts.buffers()[2].to_pybytes()[int(offsets[0]) : int(offsets[-1])], [], 0
         while at < size:
             cut = max(data.rfind(b" ", at, at + LONG), data.rfind(b"\n", at, at + LONG)) if at + LONG < size else size
             cut = cut if cut > at else next((i for i in (data.find(b" ", at + 1), data.find(b"\n", at + 1)) if i > 0), size)
-            parts.append(word_hashes(pa.array([data[at:cut]], pa.large_binary()))[1])
+            parts.append(word_hashes(pa.array([data[at:cut]], pa.large_binary()), False)[1])
             at = cut
         words = np.concatenate(parts)
         return np.array([0, len(words)]), words
