@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from waveloom.llm.common import table
 from waveloom.llm.exactdedup import exact_dedup
+from waveloom.llm.filteraudit import audit_filters
 from waveloom.llm.htmlmain import main_text
 from waveloom.llm.jpegmedia import payload_media
 from waveloom.llm.langid import identify_held_out
@@ -55,7 +56,11 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_warc_chunks, op3_sentencepiece_spans, op4_fuzzy_lines, op5_language_mixtures, op6_template_main_text, op7_jpeg_media, op8_shingle_join, op9_sorted_shards, op10_exact_dedup)}
+def op11_filter_bitmaps(spark, sf_dir):
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_warc_chunks, op3_sentencepiece_spans, op4_fuzzy_lines, op5_language_mixtures, op6_template_main_text, op7_jpeg_media, op8_shingle_join, op9_sorted_shards, op10_exact_dedup, op11_filter_bitmaps)}
 
 ORACLE_SQL = {
     "op2_warc_chunks": r"""
@@ -72,4 +77,32 @@ ORACLE_SQL = {
         ), g AS (SELECT norm, min(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM t GROUP BY norm)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM t JOIN g USING (norm)
     """,
+    "op11_filter_bitmaps": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+        l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+        m AS (SELECT t, min(doc_id) AS first_id FROM d GROUP BY t),
+        f AS (SELECT part, [(len(ws) < 100)::INT, (100 * len(list_distinct(ws)) < 80 * len(ws))::INT,
+                (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT,
+                regexp_matches(t, '[#$%&*|]')::INT, coalesce(doc_id > first_id, false)::INT] AS fails,
+                coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+            FROM w JOIN m USING (t) LEFT JOIN l USING (doc_id)),
+        n AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+        i AS (SELECT unnest(range(1, 6)) AS i),
+        o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS p FROM i a, i b, i c, i d, i e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+        s AS (SELECT p, i.i AS step, p[i.i] AS own, p[1:i.i - 1] AS before FROM o, i),
+        r AS (SELECT part, p, step, own, n, good, toxic, fails[own] AS bad, list_sum(fails) AS bad_all,
+                coalesce(list_sum(list_transform(before, lambda x: fails[x])), 0) AS bad_before FROM n, s),
+        t AS (SELECT part, p, step, own,
+                coalesce(sum(n) FILTER (bad_before = 0 AND bad = 0), 0) AS kept,
+                coalesce(sum(n) FILTER (bad_before = 0 AND bad = 1), 0) AS removed,
+                coalesce(sum(n) FILTER (bad_before > 0 AND bad = 1), 0) AS redundant,
+                coalesce(sum(n) FILTER (bad_all = 1 AND bad = 1), 0) AS unique_fails,
+                coalesce(sum(good) FILTER (bad_before = 0 AND bad = 1), 0) AS good_lost,
+                coalesce(sum(toxic) FILTER (bad_before = 0 AND bad = 1), 0) AS toxic_lost
+            FROM r GROUP BY ALL)
+        SELECT part, array_to_string(list_transform(p, lambda x: substr('ABCDE', x, 1)), '') AS filter_order, step::INT AS step,
+            kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+            good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM t
+    """,
 }
