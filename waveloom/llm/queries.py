@@ -9,6 +9,7 @@ from waveloom.llm.htmlmain import main_text
 from waveloom.llm.jpegmedia import payload_media
 from waveloom.llm.langid import identify_held_out
 from waveloom.llm.linededup import dedup_lines
+from waveloom.llm.lmscore import score_held_out
 from waveloom.llm.ngramjoin import jaccard_components
 from waveloom.llm.packing import pack
 from waveloom.llm.sentpiece import encode_spans
@@ -65,7 +66,11 @@ def op12_turn_repair(spark, sf_dir):
     return repair_damaged(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_warc_chunks, op3_sentencepiece_spans, op4_fuzzy_lines, op5_language_mixtures, op6_template_main_text, op7_jpeg_media, op8_shingle_join, op9_sorted_shards, op10_exact_dedup, op11_filter_bitmaps, op12_turn_repair)}
+def op13_maxent_scores(spark, sf_dir):
+    return score_held_out(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_warc_chunks, op3_sentencepiece_spans, op4_fuzzy_lines, op5_language_mixtures, op6_template_main_text, op7_jpeg_media, op8_shingle_join, op9_sorted_shards, op10_exact_dedup, op11_filter_bitmaps, op12_turn_repair, op13_maxent_scores)}
 
 #: One bit of a CRC-32, and of a byte's eight.
 _BIT = "xor({0} >> 1, 3988292384::UBIGINT * ({0} & 1))"
