@@ -18,6 +18,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ LEAST_BUCKETS, MOST_BUCKETS = 1 << 8, 1 << 17
 #: Smoothing of the base score, discount within a class, weight of the prior in log ratios, their damping, step size.
 BASE, DISCOUNT, PRIOR, DAMPING, RATE = 0.1, 0.5, 2.0, 0.5, 0.5
 #: Bytes of text that are taken together, and tokens whose classes are predicted together.
-SLICE, TOKENS = 1 << 19, 4096
+SLICE, TOKENS = 1 << 16, 4096
 #: Words of a task that are summed before they are handed on.
 HELD = 1 << 20
 BEGIN, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -177,45 +178,61 @@ class ClassModel:
         one, two = tokens.before * BEGIN, tokens.second * END
         return [(mix(h + np.uint64(k)) & np.uint64(self.buckets - 1)).astype(np.int64) for k, h in enumerate((one, one + two, two), 1)]
 
-    def logits(self, features: list[np.ndarray]) -> np.ndarray:
-        out = self.weights[features[0]] + self.weights[self.buckets]
+    @cached_property
+    def tops(self) -> np.ndarray:
+        """Largest weight of every bucket: their sum bounds the logits, so powers of differences to it never overflow."""
+        return self.weights.max(1)
+
+    def powers(self, features: list[np.ndarray], held: np.ndarray, more: np.ndarray) -> np.ndarray:
+        """Logits less their bound, in the first rows of ``held``."""
+        n = len(features[0])
+        out, next_ = held[:n], more[:n]
+        np.take(self.weights, features[0], axis=0, out=out, mode="clip")
         for f in features[1:]:
-            out += self.weights[f]
+            np.take(self.weights, f, axis=0, out=next_, mode="clip")
+            out += next_
+        out += self.weights[self.buckets]
+        out -= (self.tops[self.buckets] + sum(self.tops[f] for f in features))[:, None]
         return out
 
+    def _space(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        k = self.weights.shape[1]
+        return np.empty((TOKENS, k), self.weights.dtype), np.empty((TOKENS, k), self.weights.dtype), np.ones(k, self.weights.dtype)
+
     def log_probability(self, tokens: Tokens) -> np.ndarray:
         """Natural logarithm of the probability of every token's class."""
         features, classes, out = self.features(tokens), self.classes(tokens.word, tokens.tail), np.empty(len(tokens.word))
+        held, more, ones = self._space()
         for a in range(0, len(out), TOKENS):
             part = slice(a, a + TOKENS)
-            x = self.logits([f[part] for f in features])
-            x -= x.max(1, keepdims=True)
+            x = self.powers([f[part] for f in features], held, more)
             own = x[np.arange(len(x)), classes[part]].astype(np.float64)
-            out[part] = own - np.log(np.exp(x).sum(1, dtype=np.float64))
+            np.exp(x, out=x)
+            out[part] = own - np.log((x @ ones).astype(np.float64))
         return out
 
     def add_gradient(self, tokens: Tokens, total: np.ndarray) -> None:
         """Add to ``total``, shaped as the weights, what tokens have of each class less what is expected."""
         features, classes = self.features(tokens), self.classes(tokens.word, tokens.tail)
+        held, more, ones = self._space()
+        flat, k = total.reshape(-1), total.shape[1]
+        columns = np.arange(k)
         for a in range(0, len(tokens.word), TOKENS):
             now = [f[a : a + TOKENS] for f in features]
-            x = self.logits(now)
-            x -= x.max(1, keepdims=True)
+            x = self.powers(now, held, more)
             np.exp(x, out=x)
-            x /= -x.sum(1, keepdims=True)
+            x /= -(x @ ones)[:, None]
             x[np.arange(len(x)), classes[a : a + TOKENS]] += 1
             total[self.buckets] += x.sum(0)
             for f in now:
-                order = np.argsort(f)
-                f = f[order]
-                first = np.flatnonzero(np.diff(f, prepend=-1))
-                total[f[first]] += np.add.reduceat(x[order], first)
+                np.add.at(flat, ((f * k)[:, None] + columns).ravel(), x.ravel())
 
     def add_counts(self, tokens: Tokens, total: np.ndarray) -> None:
         """Add to ``total`` how often each class stands with each bucket."""
         classes, flat, k = self.classes(tokens.word, tokens.tail), total.reshape(-1), total.shape[1]
+        ones = np.ones(len(classes), total.dtype)
         for f in self.features(tokens):
-            np.add.at(flat, f * k + classes, 1)
+            np.add.at(flat, f * k + classes, ones)
         total[self.buckets] += np.bincount(classes, minlength=k).astype(total.dtype)
 
 
