@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,11 @@ def attach(df: DataFrame, **codebooks: DataFrame) -> DataFrame:
     return df
 
 
+def as_array(codebook: DataFrame) -> np.ndarray:
+    """The vectors in code order, as many as a broadcast row may hold."""
+    return np.array(as_row(codebook).first().codebook)
+
+
 def gradient(assigned: DataFrame, codebook: DataFrame, dim: int) -> DataFrame:
     """(code, dim, e, grad) of the codebook loss: 2 / (N D) (n e - sum of tokens), from one grouping of
     (z, code) rows by code and dimension."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,32 @@ from pyspark.sql import functions as F
 
 from waveloom.functions.columns import layer_norm, total
 
-_erf = np.frompyfunc(math.erf, 1, 1)
+#: The error function is tabulated by steps of 1 / ERF_STEPS up to ERF_END, beyond which it is 1 in doubles, with its
+#: first derivatives.
+ERF_STEPS, ERF_END, ERF_TERMS = 32, 6, 9
+
+
+@lru_cache(1)
+def _erf_table() -> np.ndarray:
+    """(places, terms): Taylor coefficients of erf at each step; a derivative follows from the two before it."""
+    x = np.arange(ERF_STEPS * ERF_END + 1) / ERF_STEPS
+    terms = [np.array([math.erf(v) for v in x]), 2 / math.sqrt(math.pi) * np.exp(-x * x)]
+    terms.append(-2 * x * terms[1])
+    while len(terms) < ERF_TERMS:
+        n = len(terms) - 1
+        terms.append(-2 * x * terms[n] - 2 * (n - 1) * terms[n - 1])
+    return np.stack([t / math.factorial(i) for i, t in enumerate(terms)], 1)
+
+
+def erf(x: np.ndarray) -> np.ndarray:
+    """The error function, to some units of the last place, by Taylor's series from the nearest step."""
+    known = np.nan_to_num(np.abs(x), nan=0.0, posinf=ERF_END)
+    table, size = _erf_table(), np.minimum(known, ERF_END)
+    at = np.rint(size * ERF_STEPS).astype(np.int64)
+    off, out = size - at / ERF_STEPS, table[at, ERF_TERMS - 1]
+    for i in range(ERF_TERMS - 2, -1, -1):
+        out = out * off + table[at, i]
+    return np.where(np.isnan(x), x, np.copysign(out, x))
 
 
 def same_padding(length: int, width: int, stride: int) -> tuple[int, int]:
@@ -43,8 +69,13 @@ def channel_norm(x: np.ndarray, gamma: np.ndarray, beta: np.ndarray, epsilon: fl
     return centred / np.sqrt((centred**2).mean(-1, keepdims=True) + epsilon) * gamma + beta
 
 
+def normal_share(x: np.ndarray) -> np.ndarray:
+    """Share of the normal distribution below x."""
+    return 0.5 * (1 + erf(x / math.sqrt(2)))
+
+
 def gelu(x: np.ndarray) -> np.ndarray:
-    return 0.5 * x * (1 + _erf(x / math.sqrt(2)).astype(np.float64))
+    return x * normal_share(x)
 
 
 def upsample(x: np.ndarray) -> np.ndarray:
@@ -113,13 +144,17 @@ def decode(z: np.ndarray, w: Weights) -> np.ndarray:
     return conv(channel_norm(z, w["out.n.g"], w["out.n.s"]), w["out"], w["out.b"])[:, :, 0]
 
 
-def _in_parts(run, x: np.ndarray, w: Weights, numbers: int = 1 << 16) -> np.ndarray:
-    """``run`` on some frames at a time: convolutions hold their windows."""
-    n = max(1, numbers // max(1, math.prod(x.shape[1:])))
+#: Numbers of frames that are computed together: convolutions hold their windows.
+NUMBERS = 1 << 16
+
+
+def _in_parts(run, x: np.ndarray, w: Weights) -> np.ndarray:
+    """``run`` on some frames at a time."""
+    n = max(1, NUMBERS // max(1, math.prod(x.shape[1:])))
     return np.concatenate([run(x[i : i + n], w) for i in range(0, len(x), n)])
 
 
-def _stacked(column: pa.Array, depth: int = 1) -> np.ndarray:
+def stacked(column: pa.Array, depth: int = 1) -> np.ndarray:
     """A column of lists (of lists, by depth) as one array over its values; lists of one level are of one length."""
     shape = [len(column)]
     for _ in range(depth):
@@ -131,7 +166,7 @@ def _stacked(column: pa.Array, depth: int = 1) -> np.ndarray:
     return np.asarray(column.cast(pa.float64()).to_numpy(zero_copy_only=False)).reshape(shape)
 
 
-def _nested(x: np.ndarray) -> pa.Array:
+def nested(x: np.ndarray) -> pa.Array:
     """The reverse."""
     out = pa.array(np.ascontiguousarray(x, np.float64).ravel())
     for n in x.shape[:0:-1]:
@@ -139,7 +174,7 @@ def _nested(x: np.ndarray) -> pa.Array:
     return out
 
 
-def _fields(df: DataFrame, names: list[str]) -> str:
+def fields(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in names)
 
 
@@ -150,10 +185,10 @@ def latents(frames: DataFrame, weights: Weights, keys: list[str], samples: str =
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                z = _in_parts(encode, _stacked(batch.column("_samples")), shared.value)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), _nested(z)], [*keys, "latent"])
+                z = _in_parts(encode, stacked(batch.column("_samples")), shared.value)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), nested(z)], [*keys, "latent"])
 
-    return frames.select(*keys, F.col(samples).alias("_samples")).mapInArrow(run, _fields(frames, keys) + ", latent array<array<double>>")
+    return frames.select(*keys, F.col(samples).alias("_samples")).mapInArrow(run, fields(frames, keys) + ", latent array<array<double>>")
 
 
 def reconstructions(held: DataFrame, weights: Weights, keys: list[str], latent: str = "latent") -> DataFrame:
@@ -163,10 +198,10 @@ def reconstructions(held: DataFrame, weights: Weights, keys: list[str], latent:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x = _in_parts(decode, _stacked(batch.column("_latent"), 2), shared.value)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), _nested(x)], [*keys, "samples"])
+                x = _in_parts(decode, stacked(batch.column("_latent"), 2), shared.value)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), nested(x)], [*keys, "samples"])
 
-    return held.select(*keys, F.col(latent).alias("_latent")).mapInArrow(run, _fields(held, keys) + ", samples array<double>")
+    return held.select(*keys, F.col(latent).alias("_latent")).mapInArrow(run, fields(held, keys) + ", samples array<double>")
 
 
 def encode_frames(frames: DataFrame, weights: Weights, keys: list[str], samples: str = "samples") -> DataFrame:

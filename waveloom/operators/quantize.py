@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waveloom.functions.columns import checked, dot, hash_uniform, minus, nearest, plus, softmax, squared_distance, total
+from waveloom.functions.columns import EPSILON, checked, dot, hash_uniform, minus, nearest, plus, softmax, squared_distance, total
 from waveloom.operators import stats
 from waveloom.operators.codebook import attach
 
@@ -142,6 +143,34 @@ def level_rows(encoded: DataFrame) -> DataFrame:
     return encoded.select(*keep, zipped).select(*keep, (F.col("at") + 1).alias("level"), F.col("held.codes").alias("code"), F.col("held.dists").alias("dist"))
 
 
+def level_sums(tokens: DataFrame, codebooks: list[DataFrame], dim: int) -> DataFrame:
+    """(level, code, dim, n, s): of each level's codewords the number and the sum of the residuals that fall to them, and
+    as one dimension more (dim is the vectors' length) the sum of their squared errors. All levels in one grouping that
+    is summed map-side: as many rows as the codebooks have numbers. A level's residuals are held fixed, so no level's
+    loss moves the codewords before it."""
+    names = {f"_cb{i}": c for i, c in enumerate(codebooks, 1)}
+    df = attach(tokens.select(checked(F.col("z"), dim).alias("_rest1")), **names)
+    for i, name in enumerate(names, 1):
+        df = df.withColumn(f"_near{i}", nearest(F.col(f"_rest{i}"), F.col(name)))
+        df = df.withColumn(f"_rest{i + 1}", minus(F.col(f"_rest{i}"), F.col(f"_near{i}.vec")))
+    row = lambda i: F.struct(F.lit(i).alias("level"), F.col(f"_near{i}.code").alias("code"), F.concat(F.col(f"_rest{i}"), F.array(F.col(f"_near{i}.dist"))).alias("values"))
+    rows = df.select(F.explode(F.array(*[row(i) for i in range(1, len(codebooks) + 1)])).alias("r")).select("r.level", "r.code", F.posexplode("r.values").alias("dim", "v"))
+    return rows.groupBy("level", "code", "dim").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
+
+
+def residual_gradients(tokens: DataFrame, codebooks: list[DataFrame], dim: int) -> DataFrame:
+    """(level, code, dim, e, grad) of the codebook losses of all levels: 2 / (N D) (n e - sum of residuals)."""
+    sums = level_sums(tokens, codebooks, dim)
+    cells = None
+    for level, book in enumerate(codebooks, 1):
+        own = book.select(F.lit(level).alias("level"), "code", F.posexplode("vec").alias("dim", "e"))
+        cells = own if cells is None else cells.unionByName(own)
+    # a level's tokens are counted at the extra dimension, which every codeword in use has once
+    n_all = sums.where(f"dim = {dim} and level = 1").agg(F.sum("n").alias("n_all"))
+    grad = F.lit(2.0) / (F.col("n_all") * dim) * (F.coalesce("n", F.lit(0)) * F.col("e") - F.coalesce("s", F.lit(0.0)))
+    return cells.join(sums, ["level", "code", "dim"], "left").join(F.broadcast(n_all)).select("level", "code", "dim", "e", grad.alias("grad"))
+
+
 # ------------------------------------------------------------------ Gumbel softmax
 
 
@@ -188,3 +217,33 @@ def expected_embedding(p: Column, embedding: Column, dim: int) -> Column:
 def hard_embedding(p: Column, embedding: Column) -> Column:
     """The likeliest code's own codeword."""
     return F.element_at(embedding, hard_index(p) + 1)
+
+
+def gumbel_sums(soft: DataFrame, config: GSConfig, temperature: float, embedding: str = "_emb") -> DataFrame:
+    """(code, place, s) of the gradients of a bottleneck that rebuilds its own latents: rows (z, p) with the embedding
+    attached, summed map-side in one grouping, as many rows as the parameters are. The loss is the mean squared error of
+    the expected codeword plus the rate term. places of a code: the embedding's numbers, the projection's, the bias.
+    Code -1 has the sums of squared errors and of p ln p, and the tokens. Sums are over tokens: divide by their number.
+
+    Hard selection takes gradients through the one-hot code, which has none, so then only the rate term reaches the
+    logits; soft selection hands them through the Jacobian of the softmax, p (g - sum of p g)."""
+    d, e = config.embedding_dim, F.col(embedding)
+    held = soft.withColumn("_y", expected_embedding(F.col("p"), e, d))
+    held = held.withColumn("_gy", F.zip_with("_y", "z", lambda y, z: (y - z) * (2.0 / d)))
+    log_p = F.transform("p", lambda v: F.ln(v + EPSILON))
+    rate = F.zip_with("p", log_p, lambda v, l: (l + v / (v + EPSILON)) * F.lit(config.kl_weight / math.log(2)))  # noqa: E741
+    of_p = rate if config.hard else F.zip_with(rate, F.transform(e, lambda w: dot(F.col("_gy"), w)), lambda a, b: a + b)
+    held = held.withColumn("_gp", of_p).withColumn("_inner", dot(F.col("p"), F.col("_gp")))
+    held = held.withColumn("_gl", F.zip_with("p", "_gp", lambda v, g: v * (g - F.col("_inner")) / F.lit(temperature)))
+    row = lambda v, k: F.struct(k.alias("code"), F.concat(F.transform("_gy", lambda g: g * v), F.transform("z", lambda z: z * F.get("_gl", k)), F.array(F.get("_gl", k))).alias("values"))
+    own = F.struct(F.lit(-1).alias("code"), F.array(squared_distance(F.col("_y"), F.col("z")), dot(F.col("p"), log_p), F.lit(1.0)).alias("values"))
+    rows = held.select(F.explode(F.concat(F.transform("p", row), F.array(own))).alias("r")).select("r.code", F.posexplode("r.values").alias("place", "v"))
+    return rows.groupBy("code", "place").agg(F.sum("v").alias("s"))
+
+
+def gumbel_gradients(soft: DataFrame, config: GSConfig, temperature: float, embedding: str = "_emb") -> DataFrame:
+    """(name, code, dim, grad) of embedding, projection and bias: means of :func:`gumbel_sums` over the tokens."""
+    sums = gumbel_sums(soft, config, temperature, embedding)
+    n, d = sums.where("code = -1 and place = 2").select(F.col("s").alias("_n")), config.embedding_dim
+    name = F.when(F.col("place") < d, "embedding").when(F.col("place") < 2 * d, "projection").otherwise("bias")
+    return sums.where("code >= 0").join(F.broadcast(n)).select(name.alias("name"), "code", (F.col("place") % d).cast("int").alias("dim"), (F.col("s") / F.col("_n")).alias("grad"))

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waveloom.operators import nn, quality, quantize, stats
-from waveloom.operators.codebook import attach
+from waveloom.functions.columns import hash_uniform
+from waveloom.operators import backprop, nn, quality, quantize, stats
+from waveloom.operators.codebook import as_array, attach
 
 
 @dataclass
@@ -29,10 +32,32 @@ class RVQCodec:
         return nn.decode_frames(quantize.rvq_decode(codes.select(*keys, "pos", "codes"), self.codebooks, levels), self.weights, keys)
 
     def round_trip(self, frames: DataFrame, keys: list[str]) -> DataFrame:
-        """(keys, x, y): frames and their reconstructions. A frame stays one row all the way: no shuffle."""
-        held = nn.latents(frames.withColumnRenamed("samples", "x"), self.weights, [*keys, "x"], "x")
-        coded = quantize.rvq_arrays(held, self.codebooks, self.config.embedding_dim)
-        return nn.reconstructions(coded, self.weights, [*keys, "x"], "y").withColumnRenamed("samples", "y")
+        """(keys, x, y): frames and their reconstructions. A frame is encoded, quantized and decoded where it stands."""
+        books = {f"codebook{i}": as_array(b) for i, b in enumerate(self.codebooks, 1)}
+        return rebuilt(frames, keys, nn.Weights(self.weights.values | books), backprop.Residual(self.config))
+
+
+def rebuilt(frames: DataFrame, keys: list[str], weights: nn.Weights, bottleneck: backprop.Bottleneck, noise: Column | None = None) -> DataFrame:
+    """(keys, x, y) of frames (keys, samples) in one pass without a shuffle. noise: an array of numbers per token."""
+    shared = frames.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches):
+        w = shared.value
+
+        def through(x, more):
+            z = nn.encode(x, w)
+            return nn.decode(bottleneck.forward(z, w, {}, z.shape[0] * z.shape[1], more)[0], w)
+
+        for batch in batches:
+            if batch.num_rows:
+                x = nn.stacked(batch.column("x"))
+                more = nn.stacked(batch.column("_noise"), 2) if noise is not None else None
+                n = max(1, nn.NUMBERS // max(1, x.shape[1]))
+                y = np.concatenate([through(x[i : i + n], None if more is None else more[i : i + n]) for i in range(0, len(x), n)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), batch.column("x"), nn.nested(y)], [*keys, "x", "y"])
+
+    held = frames.select(*keys, F.col("samples").alias("x"), *([noise.alias("_noise")] if noise is not None else []))
+    return held.mapInArrow(run, nn.fields(held, [*keys, "x"]) + ", y array<double>")
 
 
 def vq_codec(config: quantize.VQConfig, weights: nn.Weights, codebook: DataFrame) -> RVQCodec:
@@ -60,9 +85,19 @@ class GumbelCodec:
         return held.withColumn("code", quantize.hard_index(F.col("p"))).withColumn("y", y).drop("_emb", "logits")
 
     def round_trip(self, frames: DataFrame, keys: list[str], noise_seed: int | None = None) -> DataFrame:
-        tokens = nn.encode_frames(frames, self.weights, keys).withColumn("tok", F.xxhash64(*keys, "pos"))
-        back = nn.decode_frames(self.bottleneck(tokens, noise_seed), self.weights, keys).withColumnRenamed("samples", "y")
-        return frames.withColumnRenamed("samples", "x").join(back, keys)
+        """(keys, x, y), a frame where it stands. With a seed noise is added, by hashes of frame, place and code."""
+        c, values = self.config, {"embedding": as_array(self.embedding)}
+        if not c.input_is_logits:
+            values["projection"] = as_array(self.projection).T
+            codes = F.sequence(F.lit(0), F.lit(c.num_embeddings - 1))
+            bias = F.transform(codes, self.bias) if self.bias and c.use_bias else F.transform(codes, lambda k: F.lit(0.0))
+            values["bias"] = np.array(frames.sparkSession.range(1).select(bias.alias("b")).first().b)
+        noise = None
+        if noise_seed is not None:
+            key = lambda pos: F.xxhash64(*keys, pos)
+            draw = lambda pos: F.transform(F.sequence(F.lit(0), F.lit(c.num_embeddings - 1)), lambda k: quantize.gumbel(hash_uniform(noise_seed, key(pos), k)))
+            noise = F.transform(F.sequence(F.lit(0), F.expr("cast(size(samples) div 16 as int)") - 1), draw)
+        return rebuilt(frames, keys, nn.Weights(self.weights.values | values), backprop.Gumbel(c), noise)
 
 
 @dataclass

@@ -1,16 +1,27 @@
-"""Fitting a codebook in epochs of shuffled batches, with Adam, a decaying rate, annealing, early stopping and a history."""
+"""Fitting codebooks, the Gumbel bottleneck and whole autoencoders in epochs of shuffled batches.
+
+A step is one Spark job over the files of its batch; what it sums is as large as the model. Parameters and Adam's
+moments live on the driver, as small as one broadcast, and go out with the next step. Every epoch's batches are written
+once (:mod:`waveloom.sources.batches`). With a checkpoint folder a fit that was ended goes on behind its last whole epoch.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waveloom.operators import codebook as cb
-from waveloom.operators import quantize, signals
+from waveloom.functions.columns import anneal, cosine_decay
+from waveloom.operators import backprop, gradients, nn, quantize, signals
+from waveloom.operators.codebook import as_array, attach
+from waveloom.sources import checkpoints
+from waveloom.sources.batches import write_batches
+
+Arrays = dict[str, np.ndarray]
 
 
 @dataclass(frozen=True)
@@ -21,68 +32,262 @@ class FitConfig:
     patience: int | None = None
     beta: float = 0.25
     seed: int = 42
-    #: (start, end, epochs, mode) of a temperature that is logged and handed to on_epoch.
+    #: (start, end, epochs, mode) of the temperature; it is logged, and the Gumbel bottleneck uses it.
     annealing: tuple[float, float, int, str] | None = None
+    #: Whether the rate falls to 0 over all steps, by a cosine; else it stays.
+    decay: bool = False
+    #: Files, and so tasks, of a batch; as many as cores if not given.
+    tasks: int | None = None
 
     def __post_init__(self):
         if self.epochs < 1 or self.batch_size < 1 or self.rate <= 0:
             raise ValueError("epochs, batch_size and rate are above 0")
 
-    def temperature(self, epoch: int) -> float | None:
+    def temperatures(self, spark: SparkSession) -> list[float | None]:
+        """Of every epoch: a row each."""
         if self.annealing is None:
-            return None
-        start, end, epochs, mode = self.annealing
-        t = min(epoch, epochs) / max(1, epochs)
-        return start * (end / start) ** t if mode == "exp" else end + 0.5 * (start - end) * (1 + math.cos(math.pi * t))
+            return [None] * self.epochs
+        rows = spark.range(self.epochs).select("id", anneal(F.col("id"), *self.annealing).alias("t")).orderBy("id").collect()
+        return [r.t for r in rows]
+
+    def rates(self, spark: SparkSession, epoch: int, steps: int) -> list[float]:
+        """Of every step of an epoch."""
+        if not self.decay:
+            return [self.rate] * steps
+        rows = spark.range(epoch * steps, (epoch + 1) * steps).select("id", cosine_decay(F.col("id"), self.rate, self.epochs * steps).alias("r")).orderBy("id").collect()
+        return [r.r for r in rows]
 
 
 @dataclass
 class Fitted:
-    """The best epoch's codebook, and (epoch, loss, val_loss, temperature) of every epoch that ran."""
-
-    codebook: DataFrame
-    best_epoch: int
-    history: list[tuple[int, float, float, float | None]] = field(default_factory=list)
-
-
-def fit(tokens: DataFrame, codebook: DataFrame, dim: int, config: FitConfig, validation: DataFrame | None = None, on_epoch: Callable[[int, dict], None] | None = None) -> Fitted:
-    """Batches are runs of ``batch_size`` tokens in the epoch's shuffled order; a remainder is dropped. A step groups its
-    batch by code and moves the codebook, which is as small as one broadcast row and kept as rows between steps. Without
-    validation tokens the training loss counts."""
-    spark = tokens.sparkSession
-    total = tokens.count() // config.batch_size
-    if total < 1:
-        raise ValueError("fewer tokens than a batch")
-    cells = cb.gradient(quantize.assign(tokens.limit(1), codebook, dim).select("z", "code"), codebook, dim).select("code", "dim", "e", F.lit(0.0).alias("m"), F.lit(0.0).alias("v"))
-    schema, state = cells.schema, [tuple(r) for r in cells.collect()]
-    best, step, out = math.inf, 0, Fitted(codebook, -1)
-
-    def book() -> DataFrame:
-        vectors: dict[int, dict[int, float]] = {}
-        for code, d, e, *_ in state:
-            vectors.setdefault(code, {})[d] = e
-        return spark.createDataFrame([(c, [v[d] for d in range(dim)]) for c, v in sorted(vectors.items())], "code int, vec array<double>")
-
-    for epoch in range(config.epochs):
-        placed = signals.shuffle_order(tokens, "tok", seed=config.seed, epoch=epoch).withColumn("batch_id", F.expr(f"place div {config.batch_size}")).persist()
-        losses = []
-        for batch in range(total):
-            now = book()
-            assigned = quantize.assign(placed.where(F.col("batch_id") == batch), now, dim).select("z", "code", "dist")
-            losses.append(quantize.losses(assigned, dim, config.beta).first().total)
-            rate = 0.5 * config.rate * (1 + math.cos(math.pi * min(step, config.epochs * total) / (config.epochs * total)))
-            step += 1
-            moved = cb.adam_step(spark.createDataFrame(state, schema), cb.gradient(assigned.select("z", "code"), now, dim), step, rate)
-            state = [tuple(r) for r in moved.collect()]  # as many rows as the codebook has numbers
-        placed.unpersist()
+    """The best epoch's parameters, and (epoch, loss, val_loss, temperature, perplexity, usage) of every epoch that ran;
+    perplexity and usage are means over batches and levels, as the loss is a mean over batches."""
+
+    parameters: Arrays
+    best_epoch: int = -1
+    history: list[tuple] = field(default_factory=list)
+    spark: SparkSession | None = None
+
+    def table(self, name: str) -> DataFrame:
+        """A parameter's rows as (code, vec)."""
+        rows = [(i, [float(x) for x in np.atleast_1d(v)]) for i, v in enumerate(self.parameters[name])]
+        return self.spark.createDataFrame(rows, "code int, vec array<double>")
+
+    @property
+    def codebooks(self) -> list[DataFrame]:
+        return [self.table(n) for n in sorted(self.parameters) if n.startswith("codebook")]
+
+    @property
+    def codebook(self) -> DataFrame:
+        return self.codebooks[0]
+
+    def history_frame(self) -> DataFrame:
+        return self.spark.createDataFrame(self.history, "epoch int, loss double, val_loss double, temperature double, perplexity double, usage double")
+
+
+@dataclass
+class Step:
+    """What a batch has given: the loss, gradients, and code counts by level."""
+
+    loss: float
+    gradients: Arrays
+    counts: list[np.ndarray]
+
+    def statistics(self) -> tuple[float, float]:
+        """(perplexity, usage), means over levels."""
+        shares = [c / max(1, c.sum()) for c in self.counts]
+        perplexity = [math.exp(-float((p * np.log(p + 1e-10)).sum())) for p in shares]
+        return sum(perplexity) / len(shares), sum(float((p > 0).mean()) for p in shares) / len(shares)
+
+
+def adam(parameters: Arrays, moments: tuple[Arrays, Arrays], change: Arrays, step: int, rate: float, b1: float = 0.9, b2: float = 0.999, epsilon: float = 1e-7) -> None:
+    """One update in place. Parameters without a gradient stay."""
+    first, second = moments
+    scale = rate * math.sqrt(1 - b2**step) / (1 - b1**step)
+    for name, g in change.items():
+        first[name] = b1 * first[name] + (1 - b1) * g
+        second[name] = b2 * second[name] + (1 - b2) * g * g
+        parameters[name] = parameters[name] - scale * first[name] / (np.sqrt(second[name]) + epsilon)
+
+
+def run_epochs(
+    data: DataFrame, keys: list[str], parameters: Arrays, config: FitConfig, step: Callable[[DataFrame, Arrays, int, float | None], Step], evaluate: Callable[[Arrays, float | None], float] | None = None,
+    prepare: Callable[[DataFrame, int], DataFrame] | None = None, on_epoch: Callable[[int, dict], None] | None = None, checkpoint: str | None = None,
+) -> Fitted:
+    """The loop that all fits share. step(batch, parameters, epoch, temperature) gives a batch's losses and gradients,
+    evaluate(parameters, temperature) the validation loss; without it the training loss counts. prepare(rows, epoch) is
+    applied to the rows of an epoch before they are written (cropping, augmenting). checkpoint: a folder; a fit that
+    finds whole epochs in it goes on behind the last of them with the parameters, moments and history it had."""
+    spark, rows = data.sparkSession, data.count()
+    if rows < config.batch_size:
+        raise ValueError("fewer rows than a batch")
+    parameters = {k: np.array(v, np.float64) for k, v in parameters.items()}
+    moments = tuple({k: np.zeros_like(v) for k, v in parameters.items()} for _ in range(2))
+    out, best, steps, begin = Fitted(dict(parameters), spark=spark), math.inf, 0, 0
+    done = checkpoints.epochs(spark, checkpoint) if checkpoint else []
+    if done:
+        held, state = checkpoints.restore(spark, checkpoint, done[-1])
+        parameters, moments = _part(held, "value:"), (_part(held, "first:"), _part(held, "second:"))
+        out.history, out.best_epoch, begin, steps = [tuple(h) for h in state["history"]], state["best_epoch"], done[-1] + 1, state["steps"]
+        best = min(h[2] for h in out.history)
+        out.parameters = _part(checkpoints.restore(spark, checkpoint, out.best_epoch)[0], "value:")
+    temperatures = config.temperatures(spark)
+    for epoch in range(begin, config.epochs):
+        if config.patience is not None and out.best_epoch >= 0 and epoch - 1 - out.best_epoch >= config.patience:
+            break
+        now = temperatures[epoch]
+        ordered = signals.shuffle_order(data, *keys, seed=config.seed, epoch=epoch)
+        batches = write_batches(prepare(ordered, epoch) if prepare else ordered, rows, config.batch_size, config.tasks)
+        losses, statistics = [], []
+        for batch, rate in enumerate(config.rates(spark, epoch, batches.total)):
+            found = step(batches.read(spark, batch), parameters, epoch, now)
+            losses.append(found.loss)
+            statistics.append(found.statistics())
+            steps += 1
+            adam(parameters, moments, found.gradients, steps, rate)
+        batches.delete(spark)
         loss = sum(losses) / len(losses)
-        value = loss if validation is None else quantize.losses(quantize.assign(validation, book(), dim), dim, config.beta).first().total
-        row = {"epoch": epoch, "loss": loss, "val_loss": value, "temperature": config.temperature(epoch)}
+        value = evaluate(parameters, now) if evaluate else loss
+        row = {"epoch": epoch, "loss": loss, "val_loss": value, "temperature": now, "perplexity": sum(p for p, _ in statistics) / len(losses), "usage": sum(u for _, u in statistics) / len(losses)}
         out.history.append(tuple(row.values()))
+        if value < best:
+            best, out.best_epoch, out.parameters = value, epoch, {k: v.copy() for k, v in parameters.items()}
+        if checkpoint:
+            arrays = {f"{kind}:{k}": v for kind, held in zip(("value", "first", "second"), (parameters, *moments), strict=True) for k, v in held.items()}
+            checkpoints.commit(spark, checkpoint, epoch, arrays, {"history": out.history, "best_epoch": out.best_epoch, "steps": steps, "config": asdict(config)})
+            checkpoints.keep(spark, checkpoint, {epoch, out.best_epoch})
         if on_epoch:
             on_epoch(epoch, row)
-        if value < best:
-            best, out.best_epoch, out.codebook = value, epoch, book()
-        elif config.patience is not None and epoch - out.best_epoch >= config.patience:
-            break
     return out
+
+
+def _part(arrays: Arrays, prefix: str) -> Arrays:
+    return {k[len(prefix) :]: v for k, v in arrays.items() if k.startswith(prefix)}
+
+
+def _rows(spark: SparkSession, table: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(i, [float(x) for x in np.atleast_1d(v)]) for i, v in enumerate(table)], "code int, vec array<double>")
+
+
+# ------------------------------------------------------------------ codebooks of all levels
+
+
+def _level_step(tokens: DataFrame, parameters: Arrays, names: list[str], dim: int, beta: float) -> Step:
+    """One grouping gives all levels' gradients, losses and code counts."""
+    books = [parameters[n] for n in names]
+    sums = quantize.level_sums(tokens, [_rows(tokens.sparkSession, b) for b in books], dim).toArrow()
+    level, code, place, n, s = (sums.column(c).to_numpy() for c in ("level", "code", "dim", "n", "s"))
+    change, counts, loss, n_all = {}, [], 0.0, int(n[(level == 1) & (place == dim)].sum())
+    for i, (name, book) in enumerate(zip(names, books, strict=True), 1):
+        own, total, held = level == i, np.zeros((len(book), dim + 1)), np.zeros(len(book))
+        total[code[own], place[own]] = s[own]
+        last = own & (place == dim)
+        held[code[last]] = n[last]
+        change[name] = 2 / (n_all * dim) * (held[:, None] * book - total[:, :dim])
+        loss += (1 + beta) * total[:, dim].sum() / (n_all * dim)
+        counts.append(held)
+    return Step(float(loss), change, counts)
+
+
+def fit(tokens: DataFrame, codebooks: DataFrame | list[DataFrame], dim: int, config: FitConfig, validation: DataFrame | None = None, on_epoch: Callable[[int, dict], None] | None = None, checkpoint: str | None = None) -> Fitted:
+    """Codebooks of all residual levels, jointly, on tokens (tok, z)."""
+    books = codebooks if isinstance(codebooks, list) else [codebooks]
+    parameters = {f"codebook{i}": as_array(b) for i, b in enumerate(books, 1)}
+    names = list(parameters)
+    step = lambda batch, p, epoch, temperature: _level_step(batch, p, names, dim, config.beta)
+    evaluate = None if validation is None else lambda p, temperature: _level_step(validation, p, names, dim, config.beta).loss
+    return run_epochs(tokens.select("tok", "z"), ["tok"], parameters, config, step, evaluate, on_epoch=on_epoch, checkpoint=checkpoint)
+
+
+# ------------------------------------------------------------------ the Gumbel bottleneck alone
+
+
+def gumbel_soft(tokens: DataFrame, parameters: dict[str, DataFrame], config: quantize.GSConfig, temperature: float, noise_seed: int | None = None) -> DataFrame:
+    """tokens (tok, z) with p, and the embedding attached."""
+    named = {"_emb": parameters["embedding"]} | ({"_bias": parameters["bias"]} if config.use_bias and not config.input_is_logits else {})
+    held = attach(tokens, **named)
+    bias: Callable[[Column], Column] | None = (lambda k: F.get(F.get("_bias", k), 0)) if "_bias" in named else None
+    scored = held.withColumn("logits", F.col("z")) if config.input_is_logits else quantize.logits(held, parameters["projection"], bias)
+    return quantize.posteriors(scored, temperature, noise_seed)
+
+
+def _gumbel_step(tokens: DataFrame, parameters: Arrays, config: quantize.GSConfig, temperature: float, noise_seed: int | None) -> Step:
+    spark, k, d = tokens.sparkSession, config.num_embeddings, config.embedding_dim
+    soft = gumbel_soft(tokens, {n: _rows(spark, a) for n, a in parameters.items()}, config, temperature, noise_seed)
+    of_codes = soft.groupBy(quantize.hard_index(F.col("p")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    sums = quantize.gumbel_sums(soft, config, temperature).unionByName(of_codes.select("code", F.lit(-1).alias("place"), F.col("n").cast("double").alias("s"))).toArrow()
+    code, place, s = (sums.column(c).to_numpy() for c in ("code", "place", "s"))
+    total, counts = np.zeros((k, 2 * d + 1)), np.zeros(k)
+    own = (code >= 0) & (place >= 0)
+    total[code[own], place[own]] = s[own]
+    counts[code[place < 0]] = s[place < 0]
+    errors, log_p, n = (float(s[(code == -1) & (place == i)].sum()) for i in range(3))
+    loss = errors / (n * d) + config.kl_weight * (math.log(k) + log_p / n) / math.log(2)
+    change = {"embedding": total[:, :d] / n, "projection": total[:, d : 2 * d] / n, "bias": total[:, 2 * d :] / n}
+    return Step(float(loss), {name: g for name, g in change.items() if name in parameters}, [counts])
+
+
+def fit_gumbel(tokens: DataFrame, parameters: dict[str, DataFrame], config: quantize.GSConfig, fitting: FitConfig, validation: DataFrame | None = None, on_epoch: Callable[[int, dict], None] | None = None, checkpoint: str | None = None) -> Fitted:
+    """Projection, bias and embedding of the bottleneck, so that expected codewords rebuild tokens (tok, z). Tables
+    (code, vec) by name; latents and codewords are of one length. Batches are noisy, by hashes of epoch and token;
+    validation is not. The temperature follows the annealing if there is one."""
+    if config.input_is_logits:
+        raise ValueError("without a projection there is nothing to fit but in an autoencoder")
+    held = {n: as_array(t) for n, t in parameters.items()}
+    tau = lambda t: config.temperature if t is None else t
+    step = lambda batch, p, epoch, t: _gumbel_step(batch, p, config, tau(t), fitting.seed + epoch)
+    evaluate = None if validation is None else lambda p, t: _gumbel_step(validation, p, config, tau(t), None).loss
+    return run_epochs(tokens.select("tok", "z"), ["tok"], held, fitting, step, evaluate, on_epoch=on_epoch, checkpoint=checkpoint)
+
+
+# ------------------------------------------------------------------ encoder, bottleneck and decoder
+
+
+def _frame_noise(config: quantize.GSConfig, seed: int, names: list[int], tokens: int) -> np.ndarray:
+    """Gumbel noise by frame: the same wherever a frame is computed."""
+    draws = np.stack([np.random.Generator(np.random.Philox(key=[seed, n & (1 << 64) - 1])).random((tokens, config.num_embeddings)) for n in names])
+    return -np.log(-np.log(draws + 1e-9) + 1e-9)
+
+
+def _autoencoder_step(frames: DataFrame, keys: list[str], parameters: Arrays, bottleneck: backprop.Bottleneck, size: int, temperature: float | None, noise_seed: int | None, learn: bool = True) -> Step:
+    """Losses, gradients and code counts of a batch of ``size`` frames: every task computes its own frames' and hands on
+    sums."""
+    noisy = isinstance(bottleneck, backprop.Gumbel) and noise_seed is not None
+    sizes = bottleneck.config.num_embeddings if isinstance(bottleneck, backprop.Residual) else (bottleneck.config.num_embeddings,)
+    shared = frames.sparkSession.sparkContext.broadcast(parameters)
+
+    def run(batches):
+        w = nn.Weights(shared.value)
+        for batch in batches:
+            x, names = nn.stacked(batch.column("samples")), batch.column("_frame").to_pylist()
+            for a in range(0, len(x), part := max(1, nn.NUMBERS // max(1, x.shape[1]))):
+                now = x[a : a + part]
+                noise = _frame_noise(bottleneck.config, noise_seed, names[a : a + part], x.shape[1] // 16) if noisy else None
+                recon, layer, codes, change = backprop.batch_part(now, w, bottleneck, size, noise, temperature, learn)
+                counts = {f"counts{i}": np.bincount(codes[..., i].ravel(), minlength=k).astype(float) for i, k in enumerate(sizes)}
+                yield change | counts | {"loss": np.array([recon + layer])} if learn else counts | {"loss": np.array([recon + layer])}
+
+    shapes = {f"counts{i}": (k,) for i, k in enumerate(sizes)} | {"loss": (1,)} | ({n: a.shape for n, a in parameters.items()} if learn else {})
+    total = gradients.total(frames.select("samples", F.xxhash64(*keys).alias("_frame")), run, shapes)
+    shared.destroy()
+    return Step(float(total["loss"][0]), {n: total[n] for n in parameters} if learn else {}, [total[f"counts{i}"] for i in range(len(sizes))])
+
+
+def fit_autoencoder(
+    frames: DataFrame, keys: list[str], weights: nn.Weights, bottleneck: backprop.Bottleneck, tables: dict[str, DataFrame], config: FitConfig, validation: DataFrame | None = None,
+    prepare: Callable[[DataFrame, int], DataFrame] | None = None, on_epoch: Callable[[int, dict], None] | None = None, checkpoint: str | None = None,
+) -> Fitted:
+    """Encoder, bottleneck and decoder on frames (keys, samples) of one length, a multiple of 16: reconstruction loss plus
+    the bottleneck's own, by Adam. tables: the bottleneck's parameters as (code, vec), a codebook per level as codebook1,
+    codebook2, ..., or projection, bias and embedding. ``Fitted.parameters`` holds the encoder's and the decoder's weights
+    under their names besides."""
+    parameters = dict(weights.values)
+    for name in bottleneck.names():
+        a = as_array(tables[name])
+        parameters[name] = a.T if name == "projection" else a[:, 0] if name == "bias" else a
+    step = lambda batch, p, epoch, t: _autoencoder_step(batch, keys, p, bottleneck, config.batch_size, t, config.seed + epoch)
+    evaluate = None
+    if validation is not None:
+        n = validation.count()
+        evaluate = lambda p, t: _autoencoder_step(validation, keys, p, bottleneck, n, t, None, False).loss
+    return run_epochs(frames.select(*keys, "samples"), keys, parameters, config, step, evaluate, prepare, on_epoch, checkpoint)
