@@ -17,6 +17,27 @@ def hash_uniform(*parts) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
+def hash_normal(*parts) -> Column:
+    """A standard normal number from two hashes of the parts, by Box and Muller's transform."""
+    return F.sqrt(-2 * F.ln(1 - hash_uniform(*parts, "radius"))) * F.cos(F.lit(2 * math.pi) * hash_uniform(*parts, "angle"))
+
+
+#: Terms of the series of the error function, and where it is 1 in doubles.
+ERF_TERMS, ERF_END = 120, 6.0
+
+
+def erf(x: Column) -> Column:
+    """The error function: exp(-x^2) times the sum of x^(2n+1) / gamma(n + 3/2), whose terms have one sign, so nothing
+    cancels."""
+    terms = F.array(*[F.lit(math.exp(-math.lgamma(n + 1.5))) for n in range(ERF_TERMS, -1, -1)])
+    series = F.aggregate(terms, F.lit(0.0), lambda a, c: a * (x * x) + c)
+    return F.when(F.abs(x) >= ERF_END, F.signum(x)).otherwise(F.exp(-x * x) * x * series)
+
+
+def gelu(x: Column) -> Column:
+    return x * 0.5 * (1 + erf(x / math.sqrt(2)))
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 

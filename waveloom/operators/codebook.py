@@ -14,12 +14,15 @@ from waveloom.functions.columns import hash_uniform, squared_distance
 MOST_NUMBERS = 4_000_000
 
 
-def uniform_init(spark: SparkSession, codes: int, dim: int, seed: int = 42, level: int = 1, bound: float | None = None) -> DataFrame:
-    """(code, vec): uniform in +-bound (+-1 / codes), from hashes."""
-    bound = 1.0 / codes if bound is None else bound
+def uniform_rows(codes: DataFrame, dim: int, bound: float, seed: int = 42, level: int = 1) -> DataFrame:
+    """``codes`` (code) with vec: uniform in +-bound, from hashes of seed, level, code and place."""
     value = lambda d: (hash_uniform(seed, level, F.col("code"), d) * 2 - 1) * bound
-    rows = spark.range(codes).select(F.col("id").cast("int").alias("code"))
-    return rows.withColumn("vec", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), value))
+    return codes.withColumn("vec", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), value))
+
+
+def uniform_init(spark: SparkSession, codes: int, dim: int, seed: int = 42, level: int = 1, bound: float | None = None) -> DataFrame:
+    """(code, vec) of ``codes`` codes: uniform in +-bound (+-1 / codes)."""
+    return uniform_rows(spark.range(codes).select(F.col("id").cast("int").alias("code")), dim, 1.0 / codes if bound is None else bound, seed, level)
 
 
 def from_tokens(tokens: DataFrame, first: int, codes: int, scale: float = 1.0) -> DataFrame:
@@ -64,13 +67,13 @@ def sgd_step(assigned: DataFrame, codebook: DataFrame, dim: int, rate: float) ->
     return moved.groupBy("code").agg(F.transform(F.sort_array(F.collect_list("cell")), lambda c: c["e"]).alias("vec"))
 
 
-def adam_step(state: DataFrame, gradients: DataFrame, step: int, rate: float = 1e-3, b1: float = 0.9, b2: float = 0.999, epsilon: float = 1e-7) -> DataFrame:
-    """One Adam update of (code, dim, e, m, v) by (code, dim, grad)."""
-    joined = state.join(gradients.select("code", "dim", "grad"), ["code", "dim"])
+def adam_step(state: DataFrame, gradients: DataFrame, step: int, rate: float = 1e-3, b1: float = 0.9, b2: float = 0.999, epsilon: float = 1e-7, keys: tuple[str, ...] = ("code", "dim")) -> DataFrame:
+    """One Adam update of (keys, e, m, v) by (keys, grad)."""
+    joined = state.join(gradients.select(*keys, "grad"), list(keys))
     m = F.col("m") * b1 + F.col("grad") * (1 - b1)
     v = F.col("v") * b2 + F.col("grad") * F.col("grad") * (1 - b2)
     alpha = rate * math.sqrt(1 - b2**step) / (1 - b1**step)
-    return joined.select("code", "dim", (F.col("e") - alpha * m / (F.sqrt(v) + epsilon)).alias("e"), m.alias("m"), v.alias("v"))
+    return joined.select(*keys, (F.col("e") - alpha * m / (F.sqrt(v) + epsilon)).alias("e"), m.alias("m"), v.alias("v"))
 
 
 def kmeans_init(tokens: DataFrame, codes: int, seed: int = 42) -> DataFrame:

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waveloom.functions import columns
 from waveloom.functions.columns import layer_norm, total
 
 #: The error function is tabulated by steps of 1 / ERF_STEPS up to ERF_END, beyond which it is 1 in doubles, with its
@@ -215,14 +216,7 @@ def decode_frames(tokens: DataFrame, weights: Weights, keys: list[str]) -> DataF
     return reconstructions(held, weights, keys)
 
 
-def gelu_column(x: Column) -> Column:
-    """GELU of a double column, in Arrow batches: Spark has no erf."""
-    from pyspark.sql.functions import pandas_udf
-
-    return pandas_udf(lambda s: s.__class__(gelu(s.to_numpy(np.float64))), "double")(x)
-
-
-# ------------------------------------------------------------------ the same as columns, for single channels
+# ------------------------------------------------------------------ the same as columns
 
 
 def conv_column(x: Column, taps: list[float], stride: int, length: int) -> Column:
@@ -245,3 +239,44 @@ def separable_column(x: Column, taps: list[float], point: list[float], length: i
     """Depthwise taps, then a pointwise weight per output channel: an array per sample."""
     deep = conv_column(x, taps, 1, length)
     return F.transform(deep, lambda v: F.array(*[v * F.lit(p) for p in point]))
+
+
+def conv_channels(x: Column, kernel: np.ndarray, bias: np.ndarray | None, stride: int, length: int) -> Column:
+    """Convolution of an array of samples, each an array of channels: every output is a window's numbers times a row of the
+    kernel. kernel: (width, channels in, channels out)."""
+    width, before, after = kernel.shape
+    left, right = same_padding(length, width, stride)
+    zeros = lambda n: F.array_repeat(F.array_repeat(F.lit(0.0), before), n)
+    padded = F.concat(zeros(left), x, zeros(right)) if left or right else x
+    rows = F.array(*[F.struct(F.array(*[F.lit(float(v)) for v in kernel[:, :, o].ravel()]).alias("k"), F.lit(float(bias[o]) if bias is not None else 0.0).alias("b")) for o in range(after)])
+    starts = F.sequence(F.lit(1), F.lit(1 + (-(-length // stride) - 1) * stride), F.lit(stride))
+    one = lambda held, k: F.transform(k, lambda r: total(F.zip_with(held, r["k"], lambda a, b: a * b)) + r["b"])
+    # what stands in a lambda is computed for each of its calls: input and kernel are bound first
+    bound = F.array(F.struct(padded.alias("x"), rows.alias("k")))
+    return F.transform(bound, lambda h: F.transform(starts, lambda at: one(F.flatten(F.slice(h["x"], at, width)), h["k"])))[0]
+
+
+def depth_channels(x: Column, depth: np.ndarray, length: int) -> Column:
+    """Every channel's convolution with its own taps. depth: (width, channels)."""
+    width, channels = depth.shape
+    left, right = same_padding(length, width, 1)
+    zeros = lambda n: F.array_repeat(F.array_repeat(F.lit(0.0), channels), n)
+    taps = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in depth])
+    bound = F.array(F.struct(F.concat(zeros(left), x, zeros(right)).alias("x"), taps.alias("k")))
+    add = lambda a, p: F.zip_with(a, F.zip_with(p["v"], p["k"], lambda v, t: v * t), lambda v, t: v + t)
+    one = lambda h, at: F.aggregate(F.zip_with(F.slice(h["x"], at, width), h["k"], lambda v, k: F.struct(v.alias("v"), k.alias("k"))), F.array_repeat(F.lit(0.0), channels), add)
+    return F.transform(bound, lambda h: F.transform(F.sequence(F.lit(1), F.lit(length)), lambda at: one(h, at)))[0]
+
+
+def down_block_column(x: Column, w: Weights, name: str, length: int, stride: int = 2) -> Column:
+    """:func:`down_block` of an array of samples of channels."""
+    gain, shift = (F.array(*[F.lit(float(v)) for v in w[f"{name}.n.{k}"]]) for k in "gs")
+    scaled = lambda v: F.zip_with(F.zip_with(layer_norm(v, 1e-5), gain, lambda a, g: a * g), shift, lambda a, s: a + s)
+    return F.transform(conv_channels(x, w[name], w[name + ".b"], stride, length), lambda v: F.transform(scaled(v), columns.gelu))
+
+
+def up_block_column(x: Column, w: Weights, name: str, length: int) -> Column:
+    """:func:`up_block` of an array of ``length`` samples of channels: twice as many."""
+    wide = F.transform(conv_channels(upsample_column(x), w[name], w[name + ".b"], 1, 2 * length), lambda v: F.transform(v, columns.gelu))
+    deep = depth_channels(wide, w[name + ".d"], 2 * length)
+    return conv_channels(deep, w[name + ".p"][None], w[name + ".p.b"], 1, 2 * length)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,14 +45,11 @@ def prd_normalised() -> Column:
     return 100 * F.sqrt(F.sum(squared_distance(F.col("x"), F.col("y"))) / F.sum(dot(F.col("x"), F.col("x"))))
 
 
-def total_loss(recon: DataFrame, extra: list[Callable[[], Column]] = (), layer_losses: list[DataFrame] = ()) -> DataFrame:
-    """One row: reconstruction loss, extra losses and layer losses (one-row tables with total), and their sum."""
-    df = recon.agg(mse().alias("recon"), sum((f() for f in extra), F.lit(0.0)).alias("extra"))
-    layer = F.lit(0.0)
-    for i, loss in enumerate(layer_losses):
-        df = df.join(F.broadcast(loss.select(F.col("total").alias(f"_layer{i}"))))
-        layer = layer + F.col(f"_layer{i}")
-    return df.select("recon", "extra", layer.alias("layer"), (F.col("recon") + F.col("extra") + layer).alias("loss"))
+def total_loss(recon: DataFrame, extra: Sequence[Callable[[], Column]] = (), layers: Sequence[Column] = ()) -> DataFrame:
+    """One row: reconstruction loss, extra losses and layer losses, and their sum, in one aggregation of (x, y, ...).
+    layers: aggregates over the same rows."""
+    df = recon.agg(mse().alias("recon"), sum((f() for f in extra), F.lit(0.0)).alias("extra"), sum(layers, F.lit(0.0)).alias("layer"))
+    return df.withColumn("loss", F.col("recon") + F.col("extra") + F.col("layer"))
 
 
 def contrastive_loss(pairs: DataFrame, temperature: float = 0.1) -> DataFrame:

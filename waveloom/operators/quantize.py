@@ -79,6 +79,11 @@ def dequantize(codes: DataFrame, codebook: DataFrame) -> DataFrame:
     return joined.withColumn("q", F.element_at("codebook", F.col("code") + 1)).drop("codebook")
 
 
+def layer_loss(dist: Column, dim: int, beta: float) -> Column:
+    """Aggregate: commitment and codebook loss of rows with a squared distance."""
+    return F.sum(dist) / (F.count(F.lit(1)) * dim) * (1 + beta)
+
+
 def losses(assigned: DataFrame, dim: int, beta: float) -> DataFrame:
     """One row: commitment and codebook loss, means over all numbers of all tokens."""
     mse = F.sum("dist") / (F.count(F.lit(1)) * dim)

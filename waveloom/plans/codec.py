@@ -39,7 +39,7 @@ class RVQCodec:
 
 def rebuilt(frames: DataFrame, keys: list[str], weights: nn.Weights, bottleneck: backprop.Bottleneck, noise: Column | None = None) -> DataFrame:
     """(keys, x, y) of frames (keys, samples) in one pass without a shuffle. noise: an array of numbers per token."""
-    shared = frames.sparkSession.sparkContext.broadcast(weights)
+    shared, noisy = frames.sparkSession.sparkContext.broadcast(weights), noise is not None
 
     def run(batches):
         w = shared.value
@@ -51,12 +51,12 @@ def rebuilt(frames: DataFrame, keys: list[str], weights: nn.Weights, bottleneck:
         for batch in batches:
             if batch.num_rows:
                 x = nn.stacked(batch.column("x"))
-                more = nn.stacked(batch.column("_noise"), 2) if noise is not None else None
+                more = nn.stacked(batch.column("_noise"), 2) if noisy else None
                 n = max(1, nn.NUMBERS // max(1, x.shape[1]))
                 y = np.concatenate([through(x[i : i + n], None if more is None else more[i : i + n]) for i in range(0, len(x), n)])
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), batch.column("x"), nn.nested(y)], [*keys, "x", "y"])
 
-    held = frames.select(*keys, F.col("samples").alias("x"), *([noise.alias("_noise")] if noise is not None else []))
+    held = frames.select(*keys, F.col("samples").alias("x"), *([noise.alias("_noise")] if noisy else []))
     return held.mapInArrow(run, nn.fields(held, [*keys, "x"]) + ", y array<double>")
 
 
@@ -94,8 +94,7 @@ class GumbelCodec:
             values["bias"] = np.array(frames.sparkSession.range(1).select(bias.alias("b")).first().b)
         noise = None
         if noise_seed is not None:
-            key = lambda pos: F.xxhash64(*keys, pos)
-            draw = lambda pos: F.transform(F.sequence(F.lit(0), F.lit(c.num_embeddings - 1)), lambda k: quantize.gumbel(hash_uniform(noise_seed, key(pos), k)))
+            draw = lambda pos: F.transform(F.sequence(F.lit(0), F.lit(c.num_embeddings - 1)), lambda k: quantize.gumbel(hash_uniform(noise_seed, *map(F.col, keys), pos, k)))
             noise = F.transform(F.sequence(F.lit(0), F.expr("cast(size(samples) div 16 as int)") - 1), draw)
         return rebuilt(frames, keys, nn.Weights(self.weights.values | values), backprop.Gumbel(c), noise)
 
@@ -108,8 +107,9 @@ class Training:
     extra_metrics: dict[str, Callable[[], Column]] = field(default_factory=dict)
     metrics: dict[str, Callable[[], Column]] = field(default_factory=lambda: {"mse": quality.mse, "cosine": quality.cosine})
 
-    def loss(self, recon: DataFrame, *layer_losses: DataFrame) -> DataFrame:
-        return quality.total_loss(recon, self.extra_losses, list(layer_losses))
+    def loss(self, recon: DataFrame, *layer_losses: Column) -> DataFrame:
+        """recon: (x, y) and what the layer losses, aggregates over the same rows, are made of."""
+        return quality.total_loss(recon, self.extra_losses, layer_losses)
 
     def evaluate(self, recon: DataFrame) -> DataFrame:
         """(metric, value) rows."""

@@ -8,9 +8,11 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waveloom.functions import columns
 from waveloom.functions.columns import dot, entropy, hash_uniform, squared_distance
+from waveloom.operators import backprop, nn, quality, quantize, schedule, signals, stats
 from waveloom.operators import codebook as cb
-from waveloom.operators import nn, quality, quantize, schedule, signals, stats
+from waveloom.plans import training
 from waveloom.plans.codec import GumbelCodec, RVQCodec, Training, level_metrics
 from waveloom.sources.tables import load
 
@@ -86,8 +88,8 @@ def signal_union(spark, d):
 
 
 def frame_batch_drop_remainder(spark, d):
-    placed = signals.shuffle_order(full_frames(spark, d).select("user_id", "frame"), "user_id", "frame", seed=SEED, epoch=0)
-    return signals.batches(placed, 32).select("user_id", "frame", "place", "batch_id")
+    placed = signals.shuffle_order(full_frames(spark, d).select("user_id", "frame"), "user_id", "frame", seed=SEED, epoch=0, total="rows")
+    return signals.batches(placed, 32, total="rows").select("user_id", "frame", "place", "batch_id")
 
 
 def frame_layernorm(spark, d):
@@ -128,11 +130,45 @@ def frame_cutout(spark, d):
     return cells(f.withColumn("x", signals.cut_out(F.col("samples"), 4, F.col("user_id"), F.col("frame"), seed=SEED)), "x", "user_id", "frame")
 
 
+def _augmented(spark, d, augment):
+    f = full_frames(spark, d)
+    return cells(f.withColumn("x", augment(F.col("samples"), F.col("user_id"), F.col("frame"))), "x", "user_id", "frame")
+
+
+#: Samples a second of the short test frames, so that a frame is longer than a control point's distance.
+SLOW = 10.0
+
+
+def frame_amplitude_warp(spark, d):
+    return _augmented(spark, d, lambda x, *key: signals.warp_amplitude(x, (0.9, 1.1), (0.5, 1.5), SLOW, *key, seed=SEED))
+
+
+def frame_wander(spark, d):
+    return _augmented(spark, d, lambda x, *key: signals.add_wander(x, (0.0, 1.0), (0.5, 1.5), SLOW, *key, seed=SEED))
+
+
+def frame_powerline(spark, d):
+    return _augmented(spark, d, lambda x, *key: signals.add_random_sine(x, (0.0, 0.05), (45.0, 50.0), 500.0, *key, seed=SEED))
+
+
+def frame_gaussian_noise(spark, d):
+    return _augmented(spark, d, lambda x, *key: signals.add_gaussian_noise(x, (0.1, 0.5), *key, seed=SEED))
+
+
+def frame_background(spark, d):
+    """Noises are the frames of another cut of the same series, in a shuffled order."""
+    noises = signals.frames(load(spark, d, "events"), "user_id", ["ts", "event_id"], "value", 24, F.to_date("ts"))
+    noises = signals.shuffle_order(noises, "user_id", "frame", seed=SEED, epoch=3)
+    return cells(signals.add_background(full_frames(spark, d), noises, (0.05, 0.2), 2, "user_id", "frame", seed=SEED), "samples", "user_id", "frame")
+
+
 # ------------------------------------------------------------------ one level
 
 
 def codebook_uniform_init(spark, d):
-    return cells(cb.uniform_init(spark, K, DIM, SEED), "vec", "code")
+    """A codeword for every vector of the table."""
+    codes = load(spark, d, "embeddings").select(F.col("vec_id").alias("code"))
+    return cells(cb.uniform_rows(codes, DIM, 1.0 / K, SEED), "vec", "code")
 
 
 def vq_distance(spark, d):
@@ -221,7 +257,9 @@ def gs_bias(k):
 
 
 def gs_weights(spark, d):
-    p, e = gs_tables(spark)
+    """Projection and embedding with a code for every vector of the table."""
+    codes = load(spark, d, "embeddings").select(F.col("vec_id").alias("code"))
+    p, e = cb.uniform_rows(codes, DIM, (1.0 / DIM) ** 0.5, SEED, 11), cb.uniform_rows(codes, DIM, 1.0 / GK, SEED, 12)
     both = p.select(F.lit("projection").alias("name"), "code", "vec").unionByName(e.select(F.lit("embedding").alias("name"), "code", "vec"))
     return cells(both, "vec", "name", "code")
 
@@ -308,9 +346,8 @@ def recon_weighted_mse(spark, d):
 
 def total_loss(spark, d):
     """Reconstruction, extra and layer losses of one model: those of the levels that made the reconstruction."""
-    df = encoded(spark, d)
-    layers = [quantize.losses(df.select(F.element_at("dists", level).alias("dist")), DIM, 0.25) for level in (1, 2)]
-    out = Training([quality.derivative_loss]).loss(recon(spark, d), *layers)
+    layers = [quantize.layer_loss(F.element_at("dists", level), DIM, 0.25) for level in (1, 2)]
+    out = Training([quality.derivative_loss]).loss(encoded(spark, d).withColumnRenamed("z", "x"), *layers)
     return out.select(*[r6(c).alias(c) for c in ("recon", "extra", "layer", "loss")])
 
 
@@ -335,12 +372,14 @@ def contrastive_loss(spark, d):
 
 
 def temp_anneal(mode, spark, d):
-    return schedule.temperatures(spark.range(0, 61).withColumnRenamed("id", "epoch"), 1.0, 0.1, 50, mode).select("epoch", r6("temperature").alias("temperature"))
+    """The temperature of every epoch of the histories."""
+    return schedule.temperatures(history(spark, d).select("run", "epoch"), 1.0, 0.1, 50, mode).select("run", "epoch", r6("temperature").alias("temperature"))
 
 
 def lr_cosine_decay(spark, d):
-    steps = spark.range(0, 63001, 500).withColumnRenamed("id", "step")
-    return schedule.learning_rates(steps, 1e-3, 62500).select("step", F.round("rate", 9).alias("rate"))
+    """The rate at which every token would be learned, a step each."""
+    steps = tokens(spark, d).select(F.col("tok").alias("step"))
+    return schedule.learning_rates(steps, 1e-3, 1500).select("step", F.round("rate", 9).alias("rate"))
 
 
 def history(spark, d):
@@ -382,6 +421,55 @@ def codebook_adam_step(spark, d):
     return cb.adam_step(state, g, 1).select("code", "dim", r6("e").alias("e"), F.round("m", 9).alias("m"))
 
 
+def rvq_joint_grad(spark, d):
+    t = tokens(spark, d)
+    return quantize.residual_gradients(t, books(t, (K, 8)), DIM).select("level", "code", "dim", F.round("grad", 9).alias("grad"))
+
+
+def rvq_joint_adam_step(spark, d):
+    t = tokens(spark, d)
+    g = quantize.residual_gradients(t, books(t, (K, 8)), DIM)
+    state = g.select("level", "code", "dim", "e", F.lit(0.0).alias("m"), F.lit(0.0).alias("v"))
+    return cb.adam_step(state, g, 1, keys=("level", "code", "dim")).select("level", "code", "dim", r6("e").alias("e"), F.round("m", 9).alias("m"))
+
+
+def _history(fitted):
+    h = fitted.history_frame()
+    return h.select("epoch", *[r6(c).alias(c) for c in h.columns[1:]])
+
+
+def rvq_fit_history(spark, d):
+    """All levels' codebooks, fitted jointly on the table in batches."""
+    t = tokens(spark, d)
+    return _history(training.fit(t, books(t, (K, 8)), DIM, training.FitConfig(3, 1024, 0.01), t))
+
+
+def gs_joint_grad(spark, d):
+    config = quantize.GSConfig(GK, DIM, TAU, hard=False, kl_weight=0.25)
+    g = quantize.gumbel_gradients(cb.attach(soft(spark, d), _emb=gs_tables(spark)[1]), config, TAU)
+    return g.select("name", "code", "dim", F.round("grad", 9).alias("grad"))
+
+
+def gs_fit_history(spark, d):
+    """The bottleneck's projection, bias and embedding, fitted in batches with noise while the temperature falls."""
+    projection, embedding = gs_tables(spark)
+    bias = spark.range(GK).select(F.col("id").cast("int").alias("code"), F.array(gs_bias(F.col("id"))).alias("vec"))
+    config = quantize.GSConfig(GK, DIM, hard=False, kl_weight=0.01)
+    fitting = training.FitConfig(3, 1024, 0.01, annealing=(1.0, 0.5, 3, "cosine"))
+    t = tokens(spark, d)
+    return _history(training.fit_gumbel(t, {"projection": projection, "bias": bias, "embedding": embedding}, config, fitting, t))
+
+
+def autoencoder_fit_history(spark, d):
+    """Encoder, two residual levels and decoder on the normalised frames of the events, wandering in training."""
+    keys, sizes = ["user_id", "frame"], (K, 8)
+    books_ = {f"codebook{i}": cb.uniform_init(spark, k, DIM, SEED, i, 1.0) for i, k in enumerate(sizes, 1)}
+    wander = lambda df, epoch: df.withColumn("samples", signals.add_wander(F.col("samples"), (0.0, 0.2), (0.5, 1.5), SLOW, F.lit(epoch), *map(F.col, keys), seed=SEED))
+    frames = norm_frames(spark, d)
+    fitted = training.fit_autoencoder(frames, keys, _weights(), backprop.Residual(quantize.RVQConfig(2, sizes, DIM)), books_, training.FitConfig(2, 48, 0.005), frames, wander)
+    return _history(fitted)
+
+
 def codebook_neighbours(spark, d):
     return cb.nearest_codes(books(tokens(spark, d))[0]).withColumn("dist", r6("dist"))
 
@@ -407,7 +495,21 @@ def separable_conv(spark, d):
 
 
 def gelu(spark, d):
-    return load(spark, d, "events").select("event_id", r6(nn.gelu_column(F.col("value") / 100 - 1)).alias("y"))
+    return load(spark, d, "events").select("event_id", r6(columns.gelu(F.col("value") / 100 - 1)).alias("y"))
+
+
+def _by_channel(df, array, *keys):
+    return df.select(*keys, F.posexplode(array).alias("pos", "c")).select(*keys, "pos", F.posexplode("c").alias("dim", "v")).withColumn("v", r6("v"))
+
+
+def encoder_block(spark, d):
+    x = F.transform("samples", lambda v: F.array(v))
+    return _by_channel(norm_frames(spark, d).withColumn("x", nn.down_block_column(x, _weights(), "down1", FRAME)), "x", "user_id", "frame")
+
+
+def decoder_block(spark, d):
+    x = F.array(*[F.slice("embedding", 1 + DIM * i, DIM).cast("array<double>") for i in range(4)])
+    return _by_channel(load(spark, d, "embeddings").withColumn("x", nn.up_block_column(x, _weights(), "up4", 4)), "x", "vec_id")
 
 
 def _weights():
@@ -470,14 +572,14 @@ QUERIES = {
     f.__name__: f
     for f in (
         signal_split, signal_shuffle_order, signal_frames, signal_union, frame_batch_drop_remainder, frame_layernorm, frame_crop, frame_pairs, frame_time_axis,
-        frame_noise, frame_sine, frame_amplitude, frame_cutout,
+        frame_noise, frame_sine, frame_amplitude, frame_cutout, frame_amplitude_warp, frame_wander, frame_powerline, frame_gaussian_noise, frame_background,
         codebook_uniform_init, vq_distance, vq_assign, vq_dequantize, vq_loss, vq_histogram, vq_stats_batch_mean, vq_stats_global,
         rvq_encode, rvq_mixed_k, rvq_decode, rvq_level_loss, rvq_level_stats, rvq_summary_stats,
         gs_weights, gs_logits, gs_logits_passthrough, gs_softmax, gs_gumbel_noise, gs_gumbel_softmax, gs_index, gs_expected_embedding, gs_hard_embedding, gs_token_entropy, gs_kl_bits, gs_kl_loss, gs_stats,
         recon_weighted_mse, total_loss, train_metrics, rate_report, contrastive_loss,
         lr_cosine_decay, early_stopping, checkpoint_epochs, best_checkpoint,
-        codebook_grad, codebook_sgd_step, codebook_adam_step, codebook_neighbours,
-        conv1d_same_stride2, channel_layernorm, upsample_nearest, separable_conv, gelu, encoder_16x, decoder_16x, codec_roundtrip, codec_full_size, gs_codec_roundtrip, gs_codec_logits,
+        codebook_grad, codebook_sgd_step, codebook_adam_step, codebook_neighbours, rvq_joint_grad, rvq_joint_adam_step, rvq_fit_history, gs_joint_grad, gs_fit_history, autoencoder_fit_history,
+        conv1d_same_stride2, channel_layernorm, upsample_nearest, separable_conv, gelu, encoder_block, decoder_block, encoder_16x, decoder_16x, codec_roundtrip, codec_full_size, gs_codec_roundtrip, gs_codec_logits,
     )
 }
 QUERIES |= {
