@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waveloom.functions.columns import anneal, checked, entropy, softmax
+from waveloom.functions.columns import erf as erf_column
 from waveloom.operators import codebook as cb
 from waveloom.operators import nn, quality, quantize, schedule, signals, stats
 from waveloom.plans.codec import GumbelCodec, RVQCodec, Training, fit_codebook, vq_codec
@@ -257,3 +258,64 @@ def test_sources(spark, tmp_path):
     assert len(rows) == 1 and rows[0].patient_id.startswith("part-") and rows[0].samples == [1.0, 2.0]
     tables.write_history(spark.createDataFrame([(0, 1.5, 2.5)], "epoch int, loss double, val_loss double"), str(tmp_path / "h"))
     assert tuple(tables.read_history(spark, str(tmp_path / "h")).first()) == (0, 1.5, 2.5)
+
+
+def test_drawn_augmenters(spark):
+    n = 400
+    df = spark.createDataFrame([(i, [2 + float(np.sin(x / 9 + i)) for x in range(n)]) for i in range(30)], "k int, s array<double>")
+    held = lambda c: np.array([r.x for r in df.select("k", c.alias("x")).orderBy("k").collect()])
+    x = held(F.col("s"))
+    noise = held(signals.add_gaussian_noise(F.col("s"), (0.5, 2.0), F.col("k"))) - x
+    spread = noise.std(1)
+    assert abs(noise.mean()) < 0.05 and spread.min() > 0.4 and spread.max() < 2.2 and np.ptp(spread) > 0.5
+    unit = (noise / spread[:, None]).ravel()
+    assert abs((unit**3).mean()) < 0.1 and abs((unit**4).mean() - 3) < 0.2
+    factors = held(signals.warp_amplitude(F.col("s"), (0.9, 1.1), (0.5, 1.5), 100.0, F.col("k"))) / x
+    assert factors.min() > 0.89 and factors.max() < 1.11 and np.abs(np.diff(factors[:, 100:200])).max() < 0.005 and np.ptp(factors) > 0.1
+    bends = (np.abs(np.diff(factors, 2)) > 1e-9).sum(1)  # straight between some control points
+    assert bends.max() <= 12 and bends.min() >= 1
+    wander = held(signals.add_wander(F.col("s"), (0.0, 1.0), (0.5, 1.5), 100.0, F.col("k"))) - x
+    assert np.abs(wander).max() <= 1 and np.ptp(np.abs(wander).max(1)) > 0.3
+    hum = held(signals.add_random_sine(F.col("s"), (0.0, 0.05), (45.0, 50.0), 500.0, F.col("k"))) - x
+    peaks = np.abs(np.fft.rfft(hum))[:, 1:].argmax(1) + 1
+    assert np.abs(hum).max() <= 0.05 and set(peaks * 500 / n) <= {x * 1.25 for x in range(35, 42)}
+
+
+def test_background_noise(spark):
+    df = spark.createDataFrame([(i, [float(i)] * 10) for i in range(50)], "k int, samples array<double>")
+    noises = spark.createDataFrame([(0, [100.0] * 7), (1, [200.0, 300.0] * 20), (2, [])], "place long, samples array<double>")
+    rows = {r.k: np.array(r.samples) - r.k for r in signals.add_background(df, noises, (0.1, 0.2), 1, "k").collect()}
+    assert len(rows) == 50 and all(len(v) == 10 for v in rows.values())
+    kinds = {0: 0, 1: 0, 2: 0}
+    for v in rows.values():
+        levels = sorted(set(np.round(v, 9)))
+        if not v.any():
+            kinds[2] += 1
+        elif len(levels) == 1:
+            kinds[0] += 1
+            assert 10 <= levels[0] <= 20
+        else:
+            kinds[1] += 1
+            assert abs(levels[1] / levels[0] - 1.5) < 1e-6 and (np.diff(v) != 0).all()
+    assert all(kinds.values())
+    assert sorted(signals.add_background(df, noises.where("false"), (0.1, 0.2), 2, "k").select("k", "samples").collect()) == sorted(df.collect())
+
+
+def test_column_blocks_against_kernels(spark):
+    rng, w = np.random.default_rng(8), nn.Weights.draw(2, 4)
+    w = nn.Weights({k: v + rng.normal(size=v.shape) * 0.2 for k, v in w.values.items()})
+    for name, column, kernel, channels in (("down1", nn.down_block_column, nn.down_block, 1), ("down2", nn.down_block_column, nn.down_block, 2), ("up4", nn.up_block_column, nn.up_block, 4)):
+        x = rng.normal(size=(3, 9, channels))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, x array<array<double>>")
+        got = np.array([r.y for r in df.select("i", column(F.col("x"), w, name, 9).alias("y")).orderBy("i").collect()])
+        assert np.allclose(got, kernel(x, w, name), atol=1e-12)
+    values = [-8.0, -6.0, -3.3, -1e-9, 0.0, 0.4, 2.9, 5.99, 7.0]
+    got = [r.y for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(erf_column(F.col("v")).alias("y")).collect()]
+    assert np.allclose(got, [math.erf(v) for v in values], rtol=1e-13, atol=1e-18)
+
+
+def test_totals_of_a_shuffled_order(spark):
+    df = spark.range(103).withColumnRenamed("id", "k")
+    full = signals.batches(signals.shuffle_order(df, "k", total="n"), 10, total="n")
+    assert full.columns == ["k", "place", "batch_id"] and full.count() == 100
+    assert signals.batches(signals.shuffle_order(df.where("false"), "k", total="n"), 10, total="n").count() == 0
