@@ -115,7 +115,7 @@ def test_classes_must_keep_order_and_nest(spark):
     assert judge([(1, 10), (2, 20), (2, 21), (2, 20), (2, 21), (1, 11)], {1: 2, 2: 2})[0] == set()
     assert judge([(1, 10), (1, 11), (1, 11), (1, 10)], {1: 2})[1][1, 10] == -1
     # two strings that change places on some pages are no template
-    pages = [(str(i), "h", "<div>one</div><div>two</div><p>x</p>" if i % 2 else "<div>two</div><div>one</div><p>x</p>") for i in range(8)]
+    pages = [(str(i), "h", f"<div>one</div><div>two</div><p>x</p><i>{i}</i>" if i % 2 else f"<div>two</div><div>one</div><p>x</p><i>{i}</i>") for i in range(8)]
     found = deduce_templates(spark.createDataFrame(pages, "page string, host string, html string")).collect()
     strings = {t[1] for t in tokens(pages[0][2]) if t[0] == 2}
     held = {x for r in found for x in np.frombuffer(r.strings, ">i8").tolist()}
@@ -133,3 +133,46 @@ def test_wrappers_named_after_a_layout_keep_their_article(name):
 @pytest.mark.parametrize("page", ["<div class='comment-list'><article>c</article></div>", "<div class='related-posts'><article>c</article></div>", "<div class='post-sidebar'><p>s</p></div>", "<aside class='no-sidebar'><main>s</main></aside>", "<div hidden><main>s</main></div>", "<div class='cookie-notice-wrapper'>ok?</div>"])
 def test_other_matter_stays_out(page):
     assert text_of(page + "<p>a</p>") == "a"
+
+
+def by_id(df):
+    return {r.page_id: r.text for r in main_text(df).collect()}
+
+
+SCHEMA = "page_id long, url string, html string"
+
+
+def test_paragraphs_beside_the_body_stay(spark):
+    """A lead and an end around the element that holds most of the article."""
+    lines = [f"Menu {k}" for k in range(3)]
+    menu = "".join(f"<div class='m'>{m}</div>" for m in lines)
+    body = lambda i: "".join(f"<p>paragraph {j} of page {i}, long enough to be most of the text by far</p>" for j in range(4 + i % 3))
+    article = lambda i, name: f"<{name} class='w'><p class='lead'>lead {i}</p><div class='body'>{body(i)}</div><p class='end'>end {i}</p></{name}>"
+    want = lambda i: "\n\n".join([f"lead {i}", *(f"paragraph {j} of page {i}, long enough to be most of the text by far" for j in range(4 + i % 3)), f"end {i}"])
+    for name in ("article", "section"):
+        pages = [(i, "http://h.example/a", f"<body>{menu}{article(i, name)}<div class='f'>Imprint</div></body>") for i in range(12)]
+        got = by_id(spark.createDataFrame(pages, SCHEMA))
+        assert got == {i: want(i) for i in range(12)}
+    # with changing strings around the article only its name tells how far it goes
+    pages = [(i, "http://h.example/a", f"<body>{menu}<div class='c'>visitor {i * 7}</div>{article(i, 'article')}</body>") for i in range(12)]
+    assert by_id(spark.createDataFrame(pages, SCHEMA)) == {i: want(i) for i in range(12)}
+
+
+def test_copies_of_an_article_are_no_template(spark):
+    page = lambda n, i, extra="": f"<body><div class='m'>Menu</div><article id='post-{n}'><h1>Title {i}</h1><p>one {i}</p><blockquote>said {i}</blockquote>{extra}</article><div>Imprint</div></body>"
+    rows = [(n, f"http://h.example/{n}", page(n, n)) for n in range(19)] + [(n, f"http://h.example/{n}", page(n, 99, "<pre>only here</pre>")) for n in range(19, 24)]
+    # the same article with another menu: near copies
+    near = [(n, f"http://h.example/{n}", page(n, 77, "<h4>rare</h4>").replace("Menu", f"Menu {n}")) for n in range(30, 36)]
+    want = {n: f"Title {n}\n\none {n}\n\nsaid {n}" for n in range(19)} | {n: "Title 99\n\none 99\n\nsaid 99\n\nonly here" for n in range(19, 24)}
+    assert by_id(spark.createDataFrame(rows, SCHEMA).repartition(3)) == want
+    assert by_id(spark.createDataFrame(rows + near, SCHEMA).repartition(3)) == want | {n: "Title 77\n\none 77\n\nsaid 77\n\nrare" for n in range(30, 36)}
+    # a host of one page under many addresses has no template
+    same = [(n, f"http://h.example/{n}", page(1, 1)) for n in range(9)]
+    assert set(by_id(spark.createDataFrame(same, SCHEMA)).values()) == {"Title 1\n\none 1\n\nsaid 1"}
+
+
+def test_no_block_is_lost_against_containers(spark):
+    """Nothing that the page's own article holds is dropped on the test tables."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    for r in pages.join(main_text(pages).select("page_id", "text"), "page_id").collect():
+        assert not Counter(text_of(r.html or "").split("\n\n")) - Counter(r.text.split("\n\n"))

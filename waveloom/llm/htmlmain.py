@@ -4,11 +4,15 @@ Pages of a host are sequences of tokens: tags under the path of tags that they s
 between tags. Tokens with the same occurrence vector (how often on which pages of the host) form a class.
 A class is valid if its tokens stand in one order on its pages and its occurrences do not cross those of
 the class around it; valid classes nest into the host's template. What stands between template tokens is
-a slot. The main text is the slots of the innermost template element, of those that stand once on a page, that holds
-two thirds of what fills slots outside links and nine in ten of the headings that change from page to page; template
-strings in it are dropped. Element names and words of class names do not choose it: in it they tell what is
-something else (menu, form, script, comments, ...), and they decide alone only on pages without
-such an element, as those of hosts with few pages.
+a slot. The main text is the slots of the innermost template element, of those that stand once on a page, that holds two
+thirds of what fills slots outside links and nine in ten of the headings that change from page to page. From it the text
+widens to the elements around it, but not the body, as long as every block that this adds is mostly slots outside links
+and other matter: leads and ends of articles are, menus are not. An article around it counts
+whole. Template strings in it are dropped, unless they are the larger
+part of its text: then they are what the page is about. Otherwise element names and words of class names do not choose
+it: in it they tell what is something else (menu, form, script, comments, ...), and they decide alone only on pages
+without such an element, as those of hosts with few pages. Pages with the same tokens count as one page: copies of an
+article under several addresses are no template. Ids, and numbers in class names, are no part of a path.
 
 Pages are read twice. The first reading writes a narrow table of token hashes, from which classes are judged. Occurrence
 vectors are never built as rows: a token's vector is the sum of hashes of (page, count), summed map-side per (host,
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waveloom.llm.common import discard, materialize, spread
+from waveloom.llm.common import discard, materialize, spread, worker
 
 # Fixed values of HTML: elements by their role.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -57,7 +61,9 @@ WRAP_WORDS = frozenset("wrap wrapper container outer inner".split())
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus discussion responses".split())
 TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<bogus>[!?][^>]*>?)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|\Z)|(?P<junk>/[^a-zA-Z>][^>]*>?|/>))", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop|aria-label|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-SPACE = re.compile(r"\s+")
+#: A flag of the page's own elements.
+WHOLE_PAGE = 8
+SPACE, NUMBER = re.compile(r"\s+"), re.compile(r"\d+")
 
 
 class Node:
@@ -88,7 +94,7 @@ def _named(words: list[str]) -> tuple[bool, bool, int]:
 
 def tokens(page: str):
     """Tokens of a page in order: (kind, token hash, block number, text, in an article, in other matter, the token
-    that began that, flags). kind: 0 tag start, 1 tag end, 2 string; flags: 1 in a link, 2 in a heading. Block numbers
+    that began that, flags). kind: 0 tag start, 1 tag end, 2 string; flags: 1 in a link, 2 in a heading, 8 of the page's own elements. Block numbers
     grow at every block's start and end."""
     stack = [Node("", 0, False, False)]
     block, at, size, out = 0, 0, len(page), []
@@ -136,7 +142,7 @@ def tokens(page: str):
                     break
                 if stack[i].name in BLOCKS:
                     break
-        words, hidden = [], False
+        words, shape, hidden = [], [], False
         if m["attrs"]:
             for a in ATTRIBUTE.finditer(m["attrs"]):
                 key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
@@ -145,7 +151,10 @@ def tokens(page: str):
                 elif key == "style":
                     hidden = hidden or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
                 else:
-                    words += html.unescape(value).lower().split()
+                    found = html.unescape(value).lower().split()
+                    words += found
+                    if key != "id":
+                        shape += [NUMBER.sub("#", w) for w in found]
         top = stack[-1]
         other, article, ends = _named(words)
         article = article or name in ("article", "main")
@@ -158,9 +167,9 @@ def tokens(page: str):
         above = top.other and not (name in ("main", "article") and top.ends >= (1 if name == "main" else 2))
         ends = min(ends if other else 2, top.ends if above else 2)
         flags = top.flags | (name == "a") | 2 * (name in HEADINGS)
-        node = Node(name, hashed(top.path, name + " " + " ".join(words)), above or other, top.article or (article and not (above or other)), ends, len(out) if other else top.mark if above else -1, flags)
+        node = Node(name, hashed(top.path, name + " " + " ".join(shape)), above or other, top.article or (article and not (above or other)), ends, len(out) if other else top.mark if above else -1, flags)
         block += name in BLOCKS
-        out.append((0, node.path, block, " " if name == "br" else "", node.article, node.other, node.mark, flags))
+        out.append((0, node.path, block, " " if name == "br" else "", node.article, node.other, node.mark, flags | WHOLE_PAGE * (name in ("html", "body"))))
         if name in VOID or m["attrs"].rstrip().endswith("/") and name not in BLOCKS:
             continue
         if name in RAW:  # its content is not markup
@@ -181,20 +190,57 @@ def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def widened(parsed, first: int, strings) -> int:
+    """The start of the outermost element that the text of the element begun at token ``first`` widens to."""
+    around: list[int] = []
+    for i, t in enumerate(parsed[:first]):
+        if t[0] == 0:
+            around.append(i)
+        elif t[0] == 1:
+            at = next((k for k in range(len(around) - 1, -1, -1) if hashed(parsed[around[k]][1], "/") == t[1]), None)
+            if at is not None:
+                del around[at:]
+    # void elements before the first have no end: what ends after it is around it
+    around = [i for i in around if end_of(parsed, i) > end_of(parsed, first)]
+    own = next((i for i in around if parsed[i][4] and not parsed[i][5]), None)
+    if own is not None:
+        return own
+    a, b = first, end_of(parsed, first)
+    for i in reversed(around):
+        end = end_of(parsed, i)
+        blocks: dict[int, int] = {}
+        for t in parsed[i:a] + parsed[b:end]:
+            if t[0] == 2 and (n := len(t[3].strip())):
+                blocks[t[2]] = blocks.get(t[2], 0) + (-n if t[5] or t[7] & 1 or signed(t[1]) in strings else n)
+        if parsed[i][7] & WHOLE_PAGE or any(n <= 0 for n in blocks.values()):
+            break
+        a, b = i, end
+    return a
+
+
+def end_of(parsed, first: int) -> int:
+    """The token that ends the element begun at ``first``. In an element none has its path, so the first such end is its own."""
+    stop = hashed(parsed[first][1], "/")
+    return next((i for i in range(first + 1, len(parsed)) if parsed[i][1] == stop and parsed[i][0] == 1), first)
+
+
 def blocks_text(parsed, containers=frozenset(), strings=frozenset()) -> str:
     """Main text of parsed tokens: that of the innermost of the template's ``containers`` that stands once on
-    the page; else that of articles if they hold any; else all but other matter. Template ``strings`` are dropped."""
+    the page, widened to what belongs to it; else that of articles if they hold any; else all but other matter. Template
+    ``strings`` are dropped."""
+    plain = lambda t: not (t[0] == 2 and signed(t[1]) in strings)
     found = Counter(t[1] for t in parsed if t[0] == 0 and signed(t[1]) in containers)
     first = max((i for i, t in enumerate(parsed) if t[0] == 0 and found.get(t[1]) == 1), default=None)
-    keep = lambda t: not (t[0] == 2 and signed(t[1]) in strings)
     if first is not None:
-        stop = hashed(parsed[first][1], "/")
-        last = next((i for i in range(first + 1, len(parsed)) if parsed[i][1] == stop and parsed[i][0] == 1), len(parsed))
-        chosen = [t for t in parsed[first:last] if t[3] and t[6] <= first and keep(t)]
+        first = widened(parsed, first, strings)
+        chosen = [t for t in parsed[first : end_of(parsed, first)] if t[3] and t[6] <= first]
+        left = [t for t in chosen if plain(t)]
+        size = lambda tokens: sum(len(t[3].strip()) for t in tokens if t[0] == 2)
+        chosen = left if 2 * size(left) >= size(chosen) else chosen
     elif any(kind == 2 and article and not other and text.strip() for kind, _, _, text, article, other, _, _ in parsed):
         chosen = [t for t in parsed if t[3] and t[4] and not t[5]]
     else:
-        chosen = [t for t in parsed if t[3] and not t[5] and keep(t)]
+        chosen = [t for t in parsed if t[3] and not t[5] and plain(t)]
     held: dict[int, list[str]] = {}
     for t in chosen:
         held.setdefault(t[2], []).append(t[3])
@@ -210,48 +256,86 @@ UNSTEADY = 5
 MOST_BROADCAST = 32 << 20
 
 
+def _token_sums(sums: dict, host, name: int, counts: Counter, weight: int = 1) -> None:
+    """Add a page's tokens: per (host, token, kind) pages, the sum of hashes of (page, count), and occurrences."""
+    for (token, kind), n in counts.items():
+        h = xxhash.xxh64_intdigest(f"{name}:{n}") >> 24
+        seen = sums.setdefault((host, token, kind), [0, 0, 0])
+        seen[0] += weight
+        seen[1] += weight * h
+        seen[2] += weight * n
+
+
+_SUM_NAMES = ["host", "token", "kind", "pages", "vector", "occurrences"]
+_SUM_TYPES = [pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 3]
+_SUM_FIELDS = "host string, token long, kind int, pages long, vector long, occurrences long"
+
+
+def _sum_columns(sums: dict) -> list[list]:
+    keys, values = list(sums), list(sums.values())
+    return [*([k[i] for k in keys] for i in range(3)), *([v[i] for v in values] for i in range(3))]
+
+
 def scan_pages(rows: DataFrame) -> DataFrame:
-    """Rows of two kinds from one reading of ``rows`` (page, host, html): a page's tokens (host, hashes, kinds, chars:
-    packed arrays) and, per task, (host, token, kind, pages, vector, occurrences): the sum of hashes of (page, count)."""
-    names = ["host", "hashes", "kinds", "chars", "token", "kind", "pages", "vector", "occurrences"]
-    types = [pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), *[pa.int64()] * 3]
+    """Rows of two kinds from one reading of ``rows`` (host, html): a page's tokens (host, name, hashes, kinds, chars:
+    packed arrays) and, per task, sums of tokens. A page's name is a hash of all its tokens: copies have one name."""
+    names = ["name", "hashes", "kinds", "chars", *_SUM_NAMES]
+    types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), *_SUM_TYPES]
 
     def out(columns):
         n = len(next(iter(columns.values())))
         return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, types, strict=True)], names)
 
-    def flush(sums):
-        keys, values = list(sums), list(sums.values())
-        return out({"host": [k[0] for k in keys], "token": [k[1] for k in keys], "kind": [k[2] for k in keys]} | {c: [v[i] for v in values] for i, c in enumerate(("pages", "vector", "occurrences"))})
-
+    @worker
     def scan(batches):
         sums: dict = {}
         for batch in batches:
-            packed: dict = {c: [] for c in ("host", "hashes", "kinds", "chars")}
-            for page, host, text in zip(*(batch.column(c).to_pylist() for c in ("page", "host", "html")), strict=True):
+            packed: dict = {c: [] for c in ("host", "name", "hashes", "kinds", "chars")}
+            for host, text in zip(*(batch.column(c).to_pylist() for c in ("host", "html")), strict=True):
                 held = [(signed(t[1]), t[0], t[7] | 4 * t[5], len(t[3]) if t[0] == 2 else 0) for t in tokens(text or "") if t[1]]
                 columns = list(zip(*held, strict=True)) or [()] * 4
+                hashes = np.array(columns[0], np.int64).tobytes()
+                name = signed(xxhash.xxh64_intdigest(hashes))
                 packed["host"].append(host)
-                packed["hashes"].append(np.array(columns[0], np.int64).tobytes())
+                packed["name"].append(name)
+                packed["hashes"].append(hashes)
                 packed["kinds"].append((np.array(columns[1], np.uint8) | np.array(columns[2], np.uint8) << 2).tobytes())
                 packed["chars"].append(np.array(columns[3], np.uint32).tobytes())
-                for (token, kind), n in Counter(t[:2] for t in held).items():
-                    h = xxhash.xxh64_intdigest(f"{page}:{n}") >> 24
-                    seen = sums.get((host, token, kind))
-                    if seen is None:
-                        sums[host, token, kind] = [1, h, n]
-                    else:
-                        seen[0] += 1
-                        seen[1] += h
-                        seen[2] += n
+                _token_sums(sums, host, name, Counter(t[:2] for t in held))
             yield out(packed)
             if len(sums) > 200_000:
-                yield flush(sums)
+                yield out(dict(zip(_SUM_NAMES, _sum_columns(sums), strict=True)))
+                sums = {}
+        if sums:
+            yield out(dict(zip(_SUM_NAMES, _sum_columns(sums), strict=True)))
+
+    return rows.mapInArrow(scan, "name long, hashes binary, kinds binary, chars binary, " + _SUM_FIELDS)
+
+
+def copies_of(pages: DataFrame) -> DataFrame:
+    """(host, name, n) of pages (host, name) that stand several times, counted map-side."""
+    return pages.groupBy("host", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def surplus(pages: DataFrame, copies: DataFrame) -> DataFrame:
+    """Sums of tokens, negative, of all copies of pages but one each: of a page's rows any will do, as their tokens are
+    equal, so each task takes its first."""
+
+    @worker
+    def scan(batches):
+        sums: dict = {}
+        for batch in batches:
+            for host, name, hashes, kinds, n in zip(*(batch.column(c).to_pylist() for c in ("host", "name", "hashes", "kinds", "n")), strict=True):
+                counts = Counter(zip(np.frombuffer(hashes, np.int64).tolist(), (np.frombuffer(kinds, np.uint8) & 3).tolist(), strict=True))
+                _token_sums(sums, host, name, counts, 1 - n)
+            if len(sums) > 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(_sum_columns(sums), _SUM_TYPES, strict=True)], _SUM_NAMES)
                 sums = {}
         if sums:
-            yield flush(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(_sum_columns(sums), _SUM_TYPES, strict=True)], _SUM_NAMES)
 
-    return rows.mapInArrow(scan, "host string, hashes binary, kinds binary, chars binary, token long, kind int, pages long, vector long, occurrences long")
+    repeated = pages.join(copies, ["host", "name"]).groupBy("host", "name").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"), F.first("kinds").alias("kinds"))
+    return repeated.select("host", "name", "hashes", "kinds", "n").mapInArrow(scan, _SUM_FIELDS)
 
 
 def equivalence_classes(sums: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -325,6 +409,7 @@ def judged_tokens(rows: DataFrame) -> DataFrame:
     tags what fills slots in them and on their pages. rows: (host, hashes, kinds, chars, template)."""
     sums = ["pages", "crossing", "chars", "heads", "all_chars", "all_heads"]
 
+    @worker
     def scan(batches):
         known: dict = {}
         held: dict = {}
@@ -340,7 +425,7 @@ def judged_tokens(rows: DataFrame) -> DataFrame:
                 crossing, turns = judge(events, template.sizes)
                 inside, whole = slots(page, template)
                 for (name, (token, kind)), turn in turns.items():
-                    seen = held.setdefault((host, name, token, kind, turn), [0] * 6)
+                    seen = held.setdefault((host, name, token, kind, turn), [0] * len(sums))
                     seen[0] += 1
                     seen[1] += name in crossing
                     if kind == 0 and token in inside:
@@ -354,7 +439,7 @@ def judged_tokens(rows: DataFrame) -> DataFrame:
 
     def out(held):
         keys, values = list(held), list(held.values())
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[i] for k in keys], pa.int64()) for i in range(1, 5)), *(pa.array([v[i] for v in values], pa.int64()) for i in range(6))], ["host", "class", "token", "kind", "turn", *sums])
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[i] for k in keys], pa.int64()) for i in range(1, 5)), *(pa.array([v[i] for v in values], pa.int64()) for i in range(len(sums)))], ["host", "class", "token", "kind", "turn", *sums])
 
     partial = rows.mapInArrow(scan, "host string, class long, token long, kind long, turn long, " + ", ".join(f"{c} long" for c in sums))
     return partial.groupBy("host", "class", "token", "kind", "turn").agg(*[F.sum(c).alias(c) for c in sums])
@@ -362,16 +447,18 @@ def judged_tokens(rows: DataFrame) -> DataFrame:
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
     """(host, containers, strings): of each host's template the elements that may hold the main text and the strings,
-    packed, of pages (page, host, html)."""
-    hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages")).where(f"host_pages >= {LEAST_PAGES}")
+    packed, of pages (host, html)."""
     scanned = materialize(scan_pages(pages), "page-tokens")
-    found = materialize(equivalence_classes(scanned.where("token is not null"), hosts), "page-classes")
-    narrow = scanned.where("hashes is not null").select("host", "hashes", "kinds", "chars")
-    judged = materialize(judged_tokens(beside(narrow, found, "template")), "page-judged")
+    narrow = scanned.where("hashes is not null").select("host", "name", "hashes", "kinds", "chars")
+    copies = materialize(copies_of(narrow), "page-copies")
+    own = narrow.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages")).unionByName(copies.groupBy("host").agg((F.count(F.lit(1)) - F.sum("n")).alias("host_pages")))
+    hosts = own.groupBy("host").agg(F.sum("host_pages").alias("host_pages")).where(f"host_pages >= {LEAST_PAGES}")
+    sums = scanned.where("token is not null").select(_SUM_NAMES).unionByName(surplus(narrow, copies))
+    found = materialize(equivalence_classes(sums, hosts), "page-classes")
+    judged = materialize(judged_tokens(beside(narrow.drop("name"), found, "template")), "page-judged")
     discard(scanned)
-    steady = judged.groupBy("host", "class", "token", "kind").agg(
-        F.max(F.when(F.col("turn") >= 0, F.col("pages")).otherwise(0)).alias("most"), *[F.sum(c).alias(c) for c in ("pages", "crossing", "chars", "heads", "all_chars", "all_heads")]
-    )
+    names = ("pages", "crossing", "chars", "heads", "all_chars", "all_heads")
+    steady = judged.groupBy("host", "class", "token", "kind").agg(F.max(F.when(F.col("turn") >= 0, F.col("pages")).otherwise(0)).alias("most"), *[F.sum(c).alias(c) for c in names])
     odd = steady.where(f"most * 100 < pages * {100 - UNSTEADY} or crossing * 100 > pages * {UNSTEADY}").select("host", "class").distinct()
     valid = steady.join(odd, ["host", "class"], "left_anti")
     holds = (F.col("kind") == 0) & (F.col("all_chars") > 0) & (F.col("chars") * 3 >= F.col("all_chars") * 2) & (F.col("heads") * 10 >= F.col("all_heads") * 9)
@@ -396,9 +483,10 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", 1), F.lit("")))
     rows = spread(df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html")))
-    templates = deduce_templates(rows.select(F.col("id").cast("string").alias("page"), "host", "html"))
+    templates = deduce_templates(rows.select("host", "html"))
     id_field, url_field = df.schema[id_col], df.schema[url_col]
 
+    @worker
     def extract(batches):
         known: dict = {}
         for batch in batches:
