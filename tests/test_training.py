@@ -286,3 +286,31 @@ def test_autoencoder_fit(spark, kind):
                 adam(p, moments, change, steps, config.rate)
             want.append(np.mean(now))
         assert np.allclose(losses, want)
+
+
+def test_running_metrics_are_the_batch_s(spark, tmp_path):
+    """Three micro-batches, one of them run twice, against the metrics of all rows; and new epochs begin anew."""
+    from waveloom.operators import stats
+    from waveloom.streaming import metrics as running
+
+    rng = np.random.default_rng(3)
+    schema = "epoch long, batch_id long, x array<double>, y array<double>, codes array<int>"
+    rows = [(i // 30, i % 30 // 10, rng.normal(size=4).tolist(), rng.normal(size=4).tolist() if i else [0.0] * 4, rng.integers(0, [5, 3]).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, schema)
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    extra = {"first": (F.col("x")[0], F.lit(1.0))}
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    running.accumulate(stream, str(tmp_path / "state"), str(tmp_path / "checkpoint"), extra).awaitTermination(90)
+    tables = sorted(p.name for p in (tmp_path / "state").iterdir() if p.name.startswith("micro="))
+    assert tables == ["micro=0", "micro=1", "micro=2"]
+    got = {(r.epoch, r.metric, r.level): r.value for r in running.metrics(running.state(spark, str(tmp_path / "state")), [5, 3]).collect()}
+    whole = {(r.epoch, r.metric, r.level): r.value for r in running.metrics(running.partial_sums(df, extra), [5, 3]).collect()}
+    assert got.keys() == whole.keys() and all(math.isclose(got[k], whole[k]) for k in got) and len(got) == 2 * (3 + 2 * 3)
+    for epoch in (0, 1):
+        own = rows[30 * epoch : 30 * epoch + 30]
+        assert math.isclose(got[epoch, "mse", None], np.mean([(np.array(r[2]) - np.array(r[3])) ** 2 for r in own]))
+        for level, size in ((1, 5), (2, 3)):
+            codes = df.where(f"epoch = {epoch}").select("batch_id", F.element_at("codes", level).alias("code"))
+            want = stats.batch_mean(codes, size).first()
+            assert all(math.isclose(got[epoch, n, level], want[n]) for n in ("entropy_bits", "perplexity", "usage"))

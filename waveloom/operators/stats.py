@@ -19,7 +19,11 @@ def histogram(codes: DataFrame, *by: str) -> DataFrame:
 
 def code_stats(codes: DataFrame, sizes: int | Column, *by: str) -> DataFrame:
     """(by, entropy_bits, perplexity, usage) per group. sizes: the number of codes there are."""
-    counts = histogram(codes, *by)
+    return histogram_stats(histogram(codes, *by), sizes, *by)
+
+
+def histogram_stats(counts: DataFrame, sizes: int | Column, *by: str) -> DataFrame:
+    """The same of histograms (by, code, n)."""
     totals = counts.groupBy(*by).agg(F.sum("n").alias("n_all")) if by else counts.agg(F.sum("n").alias("n_all"))
     joined = counts.join(totals, list(by)) if by else counts.join(F.broadcast(totals))
     p = F.col("n") / F.col("n_all")

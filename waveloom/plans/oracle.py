@@ -223,6 +223,11 @@ ORACLE_SQL = {
     "recon_weighted_mse": recon(f"sum((tok % 5 + 1)::DOUBLE * {sq('x', 'y')} / {DIM}) / sum((tok % 5 + 1)::DOUBLE)"),
     "total_loss": f"{encoded()}, t AS (SELECT {MSE} AS recon, {D_LOSS} AS extra, (sum(d1) + sum(d2)) / (count(*) * {DIM}) * 1.25::DOUBLE AS layer FROM enc) SELECT round(recon, 6) AS recon, round(extra, 6) AS extra, round(layer, 6) AS layer, round(recon + extra + layer, 6) AS loss FROM t",
     "train_metrics": f"{encoded()}, t AS (SELECT {MSE} AS mse, {COSINE} AS cosine, 100 * sqrt({MSE}) AS prd FROM enc) SELECT 'mse' AS metric, round(mse, 6) AS value FROM t UNION ALL SELECT 'cosine', round(cosine, 6) FROM t UNION ALL SELECT 'prd', round(prd, 6) FROM t",
+    "stream_metrics": f"""{encoded(8)}, ep AS (SELECT enc.*, label::BIGINT AS epoch, enc.tok // {BATCH} AS batch_id FROM enc JOIN embeddings ON vec_id = enc.tok // 4),
+        ml AS (SELECT level, code, epoch, batch_id FROM lev JOIN ep USING (tok)), {code_stats('ml', 'epoch, level, batch_id', SIZE)},
+        mn AS (SELECT epoch, level, avg(entropy_bits) AS eb, avg(perplexity) AS pp, avg(usage) AS us FROM per GROUP BY epoch, level)
+        SELECT epoch, 'mse' AS metric, 0 AS level, round({MSE}, 6) AS value FROM ep GROUP BY epoch UNION ALL SELECT epoch, 'cosine', 0, round({COSINE}, 6) FROM ep GROUP BY epoch
+        UNION ALL SELECT epoch, 'entropy_bits', level, round(eb, 6) + 0 FROM mn UNION ALL SELECT epoch, 'perplexity', level, round(pp, 6) FROM mn UNION ALL SELECT epoch, 'usage', level, round(us, 6) FROM mn""",
     "rate_report": f"{encoded()}, {code_stats('lev', 'level', str(K))} SELECT level, round(entropy_bits, 6) AS entropy_bits, 32::DOUBLE AS bits_per_frame, 250::DOUBLE AS bits_per_second, 32::DOUBLE AS ratio FROM per",
     "contrastive_loss": f"""WITH {TOK}, q AS (SELECT tok, z, list_transform(range(1, {DIM + 1}), lambda i: z[i] + 0.01::DOUBLE * (i - 1)) AS w FROM tok),
         v AS (SELECT tok // 32 AS b, tok, 0 AS side, z AS v FROM q UNION ALL SELECT tok // 32, tok, 1, w FROM q),

@@ -14,7 +14,9 @@ from waveloom.operators import backprop, nn, quality, quantize, schedule, signal
 from waveloom.operators import codebook as cb
 from waveloom.plans import training
 from waveloom.plans.codec import GumbelCodec, RVQCodec, Training, level_metrics
+from waveloom.sources import shared
 from waveloom.sources.tables import load
+from waveloom.streaming import metrics as running
 
 DIM, K, BATCH, FRAME, SEED = 16, 16, 256, 16, 42
 TAPS = [0.05, -0.1, 0.2, 0.5, 0.25, -0.15, 0.1]
@@ -355,6 +357,18 @@ def train_metrics(spark, d):
     return Training(extra_metrics={"prd": quality.prd_percent}).evaluate(recon(spark, d)).select("metric", r6("value").alias("value"))
 
 
+def stream_metrics(spark, d):
+    """Reconstructions as a stream, an epoch per label: running metrics as they stand when all has been read."""
+    source = spark.readStream.schema(load(spark, d, "embeddings").schema).parquet(f"{d}/embeddings.parquet")
+    part = F.posexplode(F.array(*[F.slice("embedding", 1 + DIM * i, DIM) for i in range(4)])).alias("pos", "part")
+    t = source.select("label", "vec_id", part).select(F.col("label").alias("epoch"), (F.col("vec_id") * 4 + F.col("pos")).alias("tok"), F.col("part").cast("array<double>").alias("z"))
+    rows = quantize.rvq_encode(t, books(tokens(spark, d), (K, 8)), DIM).select("epoch", F.expr(f"tok div {BATCH}").alias("batch_id"), F.col("z").alias("x"), "y", "codes")
+    path = shared.fresh_path(spark, "metrics")
+    running.accumulate(rows, f"{path}/state", f"{path}/checkpoint").awaitTermination()
+    found = running.metrics(running.state(spark, f"{path}/state"), [K, 8])
+    return found.select("epoch", "metric", F.coalesce("level", F.lit(0)).alias("level"), r6("value").alias("value"))
+
+
 def rate_report(spark, d):
     fixed = quality.rate_report(2, K, 4, 64, 500.0)
     rows = stats.code_stats(quantize.level_rows(encoded(spark, d)), K, "level")
@@ -576,7 +590,7 @@ QUERIES = {
         codebook_uniform_init, vq_distance, vq_assign, vq_dequantize, vq_loss, vq_histogram, vq_stats_batch_mean, vq_stats_global,
         rvq_encode, rvq_mixed_k, rvq_decode, rvq_level_loss, rvq_level_stats, rvq_summary_stats,
         gs_weights, gs_logits, gs_logits_passthrough, gs_softmax, gs_gumbel_noise, gs_gumbel_softmax, gs_index, gs_expected_embedding, gs_hard_embedding, gs_token_entropy, gs_kl_bits, gs_kl_loss, gs_stats,
-        recon_weighted_mse, total_loss, train_metrics, rate_report, contrastive_loss,
+        recon_weighted_mse, total_loss, train_metrics, stream_metrics, rate_report, contrastive_loss,
         lr_cosine_decay, early_stopping, checkpoint_epochs, best_checkpoint,
         codebook_grad, codebook_sgd_step, codebook_adam_step, codebook_neighbours, rvq_joint_grad, rvq_joint_adam_step, rvq_fit_history, gs_joint_grad, gs_fit_history, autoencoder_fit_history,
         conv1d_same_stride2, channel_layernorm, upsample_nearest, separable_conv, gelu, encoder_block, decoder_block, encoder_16x, decoder_16x, codec_roundtrip, codec_full_size, gs_codec_roundtrip, gs_codec_logits,
