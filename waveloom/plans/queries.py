@@ -359,7 +359,8 @@ def train_metrics(spark, d):
 
 def stream_metrics(spark, d):
     """Reconstructions as a stream, an epoch per label: running metrics as they stand when all has been read."""
-    source = spark.readStream.schema(load(spark, d, "embeddings").schema).parquet(f"{d}/embeddings.parquet")
+    # a pattern, as a stream's own path has to be a folder and the table may be one file
+    source = spark.readStream.schema(load(spark, d, "embeddings").schema).parquet(f"{d}/embeddings.parque[t]")
     part = F.posexplode(F.array(*[F.slice("embedding", 1 + DIM * i, DIM) for i in range(4)])).alias("pos", "part")
     t = source.select("label", "vec_id", part).select(F.col("label").alias("epoch"), (F.col("vec_id") * 4 + F.col("pos")).alias("tok"), F.col("part").cast("array<double>").alias("z"))
     rows = quantize.rvq_encode(t, books(tokens(spark, d), (K, 8)), DIM).select("epoch", F.expr(f"tok div {BATCH}").alias("batch_id"), F.col("z").alias("x"), "y", "codes")
