@@ -21,26 +21,6 @@ def signals(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataF
     return df.select(person.alias("patient_id"), "lead", F.col("samples").cast("array<float>").alias("samples"))
 
 
-def signals_hdf5(spark: SparkSession, path: str, dataset: str = "data") -> DataFrame:
-    """The same of HDF5 files that hold a matrix of leads x samples. Needs h5py on the executors."""
-    import pyarrow as pa
-
-    def read(batches):
-        import io
-
-        import h5py
-
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                with h5py.File(io.BytesIO(content)) as f:
-                    matrix = f[dataset][:]
-                person = name.rpartition("/")[2].rpartition(".")[0]
-                yield pa.RecordBatch.from_pydict({"patient_id": [person] * len(matrix), "lead": pa.array(range(len(matrix)), pa.int32()), "samples": pa.array([row.astype("float32").tolist() for row in matrix], pa.list_(pa.float32()))})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.h5").load(path).select("path", "content")
-    return files.mapInArrow(read, "patient_id string, lead int, samples array<float>")
-
-
 def write_history(history: DataFrame, path: str) -> None:
     """A row per epoch, as CSV with a header."""
     history.write.mode("append").option("header", True).csv(path)
