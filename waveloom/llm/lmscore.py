@@ -238,7 +238,9 @@ class ClassModel:
 
 def summed(texts: DataFrame, model: ClassModel, gradient: bool) -> np.ndarray:
     """Gradient, or counts, of all ``texts``: every task sums its own, and rows of buckets are summed over tasks. As many
-    numbers as the weights come to the driver, whatever the corpus."""
+    numbers as the weights come to the driver, whatever the corpus. A task's sum is of the size of the weights, so
+    input splits are taken together, without a shuffle, to two tasks a core."""
+    texts = texts.coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism)
     shared = texts.sparkSession.sparkContext.broadcast(model)
     kind = np.float32
 
@@ -340,10 +342,9 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Langua
 
 def scan_scores(rows: DataFrame, model: LanguageModel) -> DataFrame:
     """A row per text: tokens, and of its frequent ones known tokens, log10 of counts for the base score, log10 of the
-    probability within the class; of all the classes' probability; and its other words with their number and class."""
+    probability within the class; of all the classes' probability; and its other words, with their number and class in one."""
     own = (model.classes, *model.frequent, model.tail_tokens)
     shared = rows.sparkSession.sparkContext.broadcast(own)
-    lists = [("words", pa.int64()), ("times", pa.int32()), ("tails", pa.int32())]
 
     @worker
     def run(batches):
@@ -379,14 +380,13 @@ def scan_scores(rows: DataFrame, model: LanguageModel) -> DataFrame:
             first = np.flatnonzero(np.concatenate([np.ones(min(1, len(row)), bool), (row[1:] != row[:-1]) | (word[1:] != word[:-1])]))
             times = np.diff(np.append(first, len(row)))
             offsets = pa.array(np.searchsorted(row[first], np.arange(len(texts) + 1)).astype(np.int32))
-            values = (word[first].view(np.int64), times.astype(np.int32), tail[first].astype(np.int32))
-            arrays = [pa.ListArray.from_arrays(offsets, pa.array(v, t)) for v, (_, t) in zip(values, lists, strict=True)]
+            arrays = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (word[first].view(np.int64), times * TAILS + tail[first])]
             keys = key + np.arange(len(texts))
             key += len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("id"), batch.column("fold"), *map(pa.array, (n[0], n[1], base, within + predicted / math.log(10))), *arrays], ["row", "id", "fold", "n_tokens", "n_known", "base", "score", *(c for c, _ in lists)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("id"), batch.column("fold"), *map(pa.array, (n[0], n[1], base, within + predicted / math.log(10))), *arrays], ["row", "id", "fold", "n_tokens", "n_known", "base", "score", "words", "packed"])
 
     id_type = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row long, id {id_type}, fold int, n_tokens long, n_known long, base double, score double, words array<long>, times array<int>, tails array<int>")
+    return rows.mapInArrow(run, f"row long, id {id_type}, fold int, n_tokens long, n_known long, base double, score double, words array<long>, packed array<long>")
 
 
 def score(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -399,16 +399,15 @@ def score(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col:
     """
     rows = spread(_training_rows(df, id_col, text_col))
     scanned = materialize(scan_scores(rows, model), "lm-scores")
-    rare = scanned.select("row", F.explode(F.arrays_zip("words", "times", "tails")).alias("w")).select("row", F.col("w.words").alias("word"), "w.times", "w.tails")
+    rare = scanned.select("row", F.explode(F.arrays_zip("words", "packed")).alias("w")).select("row", F.col("w.words").alias("word"), "w.packed")
     joined = rare.join(model.vocabulary.where(F.col("n") * FREQUENT_SHARE < model.tokens).select("word", "n"), "word", "left")
-    times, seen = F.col("times"), F.col("n").isNotNull()
-    of_tail = lambda values: F.array(*[F.lit(float(v)) for v in values])[F.col("tails")]
+    times, tail, seen = F.expr(f"packed div {TAILS}"), F.expr(f"cast(packed % {TAILS} as int)"), F.col("n").isNotNull()
+    of_tail = lambda values: F.array(*[F.lit(float(v)) for v in values])[tail]
     within = F.when(seen, F.log10(F.col("n") - DISCOUNT) - of_tail(np.log10(np.maximum(model.tail_tokens, 1)))).otherwise(of_tail(model.unknown()))
-    parts = joined.select(
-        "row", F.lit(None).cast(scanned.schema["id"].dataType).alias("id"), F.lit(None).cast("int").alias("fold"), F.lit(0).cast("long").alias("n_tokens"),
-        F.when(seen, times).otherwise(0).cast("long").alias("n_known"), (times * F.log10(F.coalesce("n", F.lit(0)) + BASE)).alias("base"), (times * within).alias("score"),
-    )
-    whole = scanned.select(parts.columns).unionByName(parts).groupBy("row").agg(F.max("id").alias("id"), F.max("fold").alias("fold"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+    parts = joined.select("row", F.when(seen, times).otherwise(0).alias("n_known"), (times * F.log10(F.coalesce("n", F.lit(0)) + BASE)).alias("base"), (times * within).alias("score"))
+    sums = parts.groupBy("row").agg(*[F.sum(c).alias(f"more_{c}") for c in ("n_known", "base", "score")])
+    plus = lambda c: (F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(c)
+    whole = scanned.select("row", "id", "fold", "n_tokens", "n_known", "base", "score").join(sums, "row", "left").select("id", "fold", "n_tokens", *map(plus, ("n_known", "base", "score")))
     return whole.select(
         F.col("id").alias(id_col), (F.col("fold") == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * math.log10(model.tokens + BASE * (model.words + 1))).alias("base_score"), "score",
