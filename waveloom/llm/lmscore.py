@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -113,6 +114,17 @@ def token_slices(texts: list[bytes]) -> Iterator[Tokens]:
             at = stop
 
 
+def keep_freed_memory() -> None:
+    """Let this process reuse the memory of one slice's arrays for the next's: fresh pages cost more than what is
+    computed on them. The end of the task gives it back."""
+    import ctypes
+
+    with suppress(AttributeError, OSError):  # another C library
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-1, 128 << 20)  # free memory at the end of the heap that is kept
+        libc.mallopt(-3, 32 << 20)  # smaller arrays come from the heap
+
+
 def _bytes(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column, "").cast(pa.binary()).to_pylist()
 
@@ -128,6 +140,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
     @worker
     def run(batches):
+        keep_freed_memory()
         held, n = [], 0
 
         def merged():
@@ -196,8 +209,9 @@ class ClassModel:
         return out
 
     def _space(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        k = self.weights.shape[1]
-        return np.empty((TOKENS, k), self.weights.dtype), np.empty((TOKENS, k), self.weights.dtype), np.ones(k, self.weights.dtype)
+        # by the type, not the dtype: that of unpickled weights is another object, for which numpy has no fast sums
+        k, kind = self.weights.shape[1], self.weights.dtype.type
+        return np.empty((TOKENS, k), kind), np.empty((TOKENS, k), kind), np.ones(k, kind)
 
     def log_probability(self, tokens: Tokens) -> np.ndarray:
         """Natural logarithm of the probability of every token's class."""
@@ -246,6 +260,7 @@ def summed(texts: DataFrame, model: ClassModel, gradient: bool) -> np.ndarray:
 
     @worker
     def run(batches):
+        keep_freed_memory()
         own = shared.value
         total = np.zeros(own.weights.shape, kind)
         add = own.add_gradient if gradient else own.add_counts
@@ -348,6 +363,7 @@ def scan_scores(rows: DataFrame, model: LanguageModel) -> DataFrame:
 
     @worker
     def run(batches):
+        keep_freed_memory()
         classes, frequent, counts, tail_tokens = shared.value
         base_of = np.log10(counts + BASE)
         within_of = np.log10(counts - DISCOUNT)
