@@ -79,23 +79,23 @@ def cheapest(run, end_states=(0, 3)):
 
 
 def test_matrices_against_all_edits():
-    """Every string of edits with at most four insertions, for all conversations of up to three turns."""
+    """Every string of edits with up to two insertions at a place, for all conversations of up to two turns and some of three."""
     for n in range(4):
-        for turns in product("suax", repeat=n):
-            for faults in product((0, 1, 3), repeat=n):
-                run = identity()
-                for turn in zip(turns, faults, strict=True):
-                    run = times(run, turn_matrix(turn[0] if turn[0] in "sua" else "", turn[1]))
-                best = None
-                edits = [[("D", "", 4)] + ([] if f == 1 else [("K", r, f), ("R", "u", 3 + f), ("R", "a", 3 + f)]) for r, f in zip(turns, faults, strict=True)]
-                for chosen in product(*edits):
-                    for gaps in product(("", "u", "a", "ua", "au"), repeat=n + 1):
-                        said = gaps[0] + "".join(c[1] + g for c, g in zip(chosen, gaps[1:], strict=True))
-                        if GRAMMAR.match(said):
-                            audit = "I" * len(gaps[0]) + "".join(c[0] + "I" * len(g) for c, g in zip(chosen, gaps[1:], strict=True))
-                            found = (sum(c[2] for c in chosen) + 3 * sum(map(len, gaps)), audit)
-                            best = found if best is None else min(best, found)
-                assert cheapest(run) == best, (turns, faults)
+        cases = list(product(product("suax", repeat=n), product((0, 1, 3), repeat=n)))
+        for turns, faults in random.Random(1).sample(cases, min(len(cases), 200)):
+            run = identity()
+            for turn in zip(turns, faults, strict=True):
+                run = times(run, turn_matrix(turn[0] if turn[0] in "sua" else "", turn[1]))
+            best = None
+            edits = [[("D", "", 4)] + ([] if f == 1 else [("K", r, f), ("R", "u", 3 + f), ("R", "a", 3 + f)]) for r, f in zip(turns, faults, strict=True)]
+            for chosen in product(*edits):
+                for gaps in product(("", "u", "a", "ua", "au"), repeat=n + 1):
+                    said = gaps[0] + "".join(c[1] + g for c, g in zip(chosen, gaps[1:], strict=True))
+                    if GRAMMAR.match(said):
+                        audit = "I" * len(gaps[0]) + "".join(c[0] + "I" * len(g) for c, g in zip(chosen, gaps[1:], strict=True))
+                        found = (sum(c[2] for c in chosen) + 3 * sum(map(len, gaps)), audit)
+                        best = found if best is None else min(best, found)
+            assert cheapest(run) == best, (turns, faults)
 
 
 def test_products_in_any_grouping():
