@@ -8,6 +8,7 @@ from waveloom.functions.columns import anneal, checked, entropy, softmax
 from waveloom.functions.columns import erf as erf_column
 from waveloom.operators import codebook as cb
 from waveloom.operators import nn, quality, quantize, schedule, signals, stats
+from waveloom.operators.ranking import hash_rank
 from waveloom.plans.codec import GumbelCodec, RVQCodec, Training, fit_codebook, vq_codec
 from waveloom.plans.training import FitConfig, fit
 from waveloom.sources import tables
@@ -94,6 +95,8 @@ def test_split_shuffle_batches(spark):
     assert split == {"train": 82, "val": 10, "test": 11}
     one, two = ({r.k: r.place for r in signals.shuffle_order(df.repartition(n), "k", epoch=1).collect()} for n in (1, 7))
     assert one == two and sorted(one.values()) == list(range(103))
+    key = F.concat_ws(":", F.lit("42"), F.lit("1"), F.col("k").cast("string"))
+    assert one == {r.k: r["rank"] for r in hash_rank(df, key, "k", digits=1).collect()}
     assert one != {r.k: r.place for r in signals.shuffle_order(df, "k", epoch=2).collect()}
     full = signals.batches(signals.shuffle_order(df, "k"), 10)
     assert full.count() == 100 and full.select("batch_id").distinct().count() == 10
