@@ -314,3 +314,23 @@ def test_running_metrics_are_the_batch_s(spark, tmp_path):
             codes = df.where(f"epoch = {epoch}").select("batch_id", F.element_at("codes", level).alias("code"))
             want = stats.batch_mean(codes, size).first()
             assert all(math.isclose(got[epoch, n, level], want[n]) for n in ("entropy_bits", "perplexity", "usage"))
+
+
+def test_jobs_of_a_fit_do_not_grow_with_its_batches(spark):
+    """Steps are taken within a stage: sixteen times the batches are as many jobs."""
+    t, jobs = tokens(spark, 128, 3), []
+    books = [cb.from_tokens(t, 0, 4), cb.from_tokens(t, 4, 4, 0.5)]
+    for size in (64, 4):
+        spark.sparkContext.setJobGroup(f"fit-{size}", "")
+        fit(t, books, 3, FitConfig(2, size, 0.05), t)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit-{size}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs[0] == jobs[1]
+
+
+def test_shares_that_are_empty(spark):
+    """More tasks than a batch has rows in some of them: each takes part in every step."""
+    t = tokens(spark, 21, 3)
+    books = [cb.from_tokens(t, 0, 4), cb.from_tokens(t, 4, 3, 0.5)]
+    few, many = (fit(t, books, 3, FitConfig(2, 2, 0.05, tasks=n), t) for n in (1, 4))
+    assert np.allclose(np.array(few.history, float)[:, :3], np.array(many.history, float)[:, :3])

@@ -191,6 +191,11 @@ def gumbel(u: Column) -> Column:
     return -F.ln(F.greatest(-F.ln(u + 1e-9) + 1e-9, F.lit(1e-300)))
 
 
+def gumbel_noise(key: Column, codes: int, seed: int) -> Column:
+    """What :func:`posteriors` adds to a token's logits under a seed."""
+    return F.transform(F.sequence(F.lit(0), F.lit(codes - 1)), lambda k: gumbel(hash_uniform(seed, key, k)))
+
+
 def posteriors(scored: DataFrame, temperature: float = 1.0, noise_seed: int | None = None, key: str = "tok") -> DataFrame:
     """scored (tok, logits) with p. With a seed as in training: (logits + noise) / temperature; without:
     logits over the temperature, at least 1e-6."""

@@ -1,17 +1,20 @@
 """Fitting codebooks, the Gumbel bottleneck and whole autoencoders in epochs of shuffled batches.
 
-A step is one Spark job over the files of its batch; what it sums is as large as the model. Parameters and Adam's
-moments live on the driver, as small as one broadcast, and go out with the next step. Every epoch's batches are written
-once (:mod:`waveloom.sources.batches`). With a checkpoint folder a fit that was ended goes on behind its last whole epoch.
+An epoch is one barrier stage: its tasks hold their shares of every batch (:mod:`waveloom.sources.batches`) and step
+through them side by side. What they sum is as large as the model, and so are parameters and Adam's moments, which come
+back to the driver with the epoch's end. With a checkpoint folder a fit that was ended goes on behind its last whole epoch.
 """
 
 from __future__ import annotations
 
 import math
+import secrets
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +22,11 @@ from waveloom.functions.columns import anneal, cosine_decay
 from waveloom.operators import backprop, gradients, nn, quantize, signals
 from waveloom.operators.codebook import as_array, attach
 from waveloom.sources import checkpoints
-from waveloom.sources.batches import write_batches
+from waveloom.sources.batches import deal_batches
 
 Arrays = dict[str, np.ndarray]
+#: Prefixes of parameters and moments where they are held together.
+KINDS = ("value:", "first:", "second:")
 
 
 @dataclass(frozen=True)
@@ -36,7 +41,7 @@ class FitConfig:
     annealing: tuple[float, float, int, str] | None = None
     #: Whether the rate falls to 0 over all steps, by a cosine; else it stays.
     decay: bool = False
-    #: Files, and so tasks, of a batch; as many as cores if not given.
+    #: Tasks of a batch, at most as many as cores, which it is if not given.
     tasks: int | None = None
 
     def __post_init__(self):
@@ -85,19 +90,16 @@ class Fitted:
         return self.spark.createDataFrame(self.history, "epoch int, loss double, val_loss double, temperature double, perplexity double, usage double")
 
 
-@dataclass
-class Step:
-    """What a batch has given: the loss, gradients, and code counts by level."""
+#: What a task's share of a batch gives: kernel(rows, parameters, size, temperature, learn) has the loss, code counts by
+#: level as counts0, counts1, ..., and gradients, all divided by the batch's ``size``, so that shares add up to the batch.
+Kernel = Callable[[pa.RecordBatch, Arrays, int, float | None, bool], Arrays]
 
-    loss: float
-    gradients: Arrays
-    counts: list[np.ndarray]
 
-    def statistics(self) -> tuple[float, float]:
-        """(perplexity, usage), means over levels."""
-        shares = [c / max(1, c.sum()) for c in self.counts]
-        perplexity = [math.exp(-float((p * np.log(p + 1e-10)).sum())) for p in shares]
-        return sum(perplexity) / len(shares), sum(float((p > 0).mean()) for p in shares) / len(shares)
+def statistics(counts: list[np.ndarray]) -> tuple[float, float]:
+    """(perplexity, usage) of code counts, means over levels."""
+    shares = [c / max(1, c.sum()) for c in counts]
+    perplexity = [math.exp(-float((p * np.log(p + 1e-10)).sum())) for p in shares]
+    return sum(perplexity) / len(shares), sum(float((p > 0).mean()) for p in shares) / len(shares)
 
 
 def adam(parameters: Arrays, moments: tuple[Arrays, Arrays], change: Arrays, step: int, rate: float, b1: float = 0.9, b2: float = 0.999, epsilon: float = 1e-7) -> None:
@@ -110,13 +112,66 @@ def adam(parameters: Arrays, moments: tuple[Arrays, Arrays], change: Arrays, ste
         parameters[name] = parameters[name] - scale * first[name] / (np.sqrt(second[name]) + epsilon)
 
 
+def _epoch(dealt: DataFrame, kernel: Kernel, sizes: list[int], parameters: Arrays, moments: tuple[Arrays, Arrays], config: FitConfig, rates: list[float], steps: int, temperature: float | None) -> tuple[Arrays, tuple[Arrays, Arrays], np.ndarray]:
+    """All steps of an epoch in one stage: its tasks hold their shares of every batch and run side by side. Each computes
+    on its share, the shares' sums are added up between the tasks, and each makes the same update. Gives the
+    parameters, moments and the sums over batches of loss, perplexity and usage."""
+    shapes = {"loss": (1,)} | {f"counts{i}": (k,) for i, k in enumerate(sizes)} | {n: a.shape for n, a in parameters.items()}
+    ends = np.cumsum([0, *(math.prod(s) for s in shapes.values())])
+    place = {n: slice(a, b) for n, a, b in zip(shapes, ends, ends[1:], strict=False)}
+    shared, secret = dealt.sparkSession.sparkContext.broadcast((parameters, moments, rates)), secrets.token_bytes(32)
+
+    def run(batches):
+        now, (first, second), paces = shared.value
+        now, held = dict(now), (dict(first), dict(second))
+        context, at, sums, found = BarrierTaskContext.get(), 0, np.zeros(ends[-1]), np.zeros(3)
+        meeting = gradients.Meeting(context, secret)
+
+        def end():
+            whole = meeting.total(sums)
+            total = {n: whole[place[n]].reshape(shape) for n, shape in shapes.items()}
+            found[:] += (total["loss"][0], *statistics([total[f"counts{i}"] for i in range(len(sizes))]))
+            adam(now, held, {n: total[n] for n in now}, steps + at + 1, paces[at])
+            sums[:] = 0
+
+        for batch in batches:
+            ids = batch.column("batch_id").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1), len(ids)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                while b > a and at < ids[a]:
+                    end()
+                    at += 1
+                for name, value in kernel(batch.slice(a, b - a), now, config.batch_size, temperature, True).items() if b > a else ():
+                    sums[place[name]] += value.ravel()
+        while at < len(paces):
+            end()
+            at += 1
+        meeting.close()
+        if context.partitionId() == 0:
+            yield gradients.pieces({kind + n: v for kind, arrays in zip(KINDS, (now, *held), strict=True) for n, v in arrays.items()} | {"found": found})
+
+    rows = dealt.mapInArrow(run, gradients.FIELDS, barrier=True).collect()  # as large as the model
+    shared.destroy()
+    out = gradients.joined(rows, {kind + n: a.shape for kind in KINDS for n, a in parameters.items()} | {"found": (3,)})
+    return _part(out, KINDS[0]), (_part(out, KINDS[1]), _part(out, KINDS[2])), out["found"]
+
+
+def _loss(rows: DataFrame, kernel: Kernel, parameters: Arrays, size: int, temperature: float | None) -> float:
+    """Of a table of ``size`` rows, without an update."""
+    shared = rows.sparkSession.sparkContext.broadcast(parameters)
+    run = lambda batches: ({"loss": kernel(b, shared.value, size, temperature, False)["loss"]} for b in batches)
+    found = gradients.total(rows, run, {"loss": (1,)})
+    shared.destroy()
+    return float(found["loss"][0])
+
+
 def run_epochs(
-    data: DataFrame, keys: list[str], parameters: Arrays, config: FitConfig, step: Callable[[DataFrame, Arrays, int, float | None], Step], evaluate: Callable[[Arrays, float | None], float] | None = None,
-    prepare: Callable[[DataFrame, int], DataFrame] | None = None, on_epoch: Callable[[int, dict], None] | None = None, checkpoint: str | None = None,
+    data: DataFrame, keys: list[str], parameters: Arrays, config: FitConfig, kernel: Kernel, sizes: list[int], validation: DataFrame | None = None,
+    prepare: Callable[[DataFrame, int], DataFrame] | None = None, ready: Callable[[DataFrame, int | None], DataFrame] | None = None, on_epoch: Callable[[int, dict], None] | None = None, checkpoint: str | None = None,
 ) -> Fitted:
-    """The loop that all fits share. step(batch, parameters, epoch, temperature) gives a batch's losses and gradients,
-    evaluate(parameters, temperature) the validation loss; without it the training loss counts. prepare(rows, epoch) is
-    applied to the rows of an epoch before they are written (cropping, augmenting). checkpoint: a folder; a fit that
+    """The loop that all fits share. kernel: see above; sizes: codes by level. Without validation rows the training loss
+    counts. prepare(rows, epoch) is applied to the rows of an epoch before they are dealt (cropping, augmenting), and
+    ready(rows, epoch), or of validation rows ready(rows, None), where the kernel gets them. checkpoint: a folder; a fit that
     finds whole epochs in it goes on behind the last of them with the parameters, moments and history it had."""
     spark, rows = data.sparkSession, data.count()
     if rows < config.batch_size:
@@ -131,29 +186,26 @@ def run_epochs(
         out.history, out.best_epoch, begin, steps = [tuple(h) for h in state["history"]], state["best_epoch"], done[-1] + 1, state["steps"]
         best = min(h[2] for h in out.history)
         out.parameters = _part(checkpoints.restore(spark, checkpoint, out.best_epoch)[0], "value:")
-    temperatures = config.temperatures(spark)
+    temperatures, held_out = config.temperatures(spark), validation.count() if validation is not None else 0
+    ready = ready or (lambda df, epoch: df)
+    tasks = max(1, min(config.tasks or spark.sparkContext.defaultParallelism, spark.sparkContext.defaultParallelism, config.batch_size))
     for epoch in range(begin, config.epochs):
         if config.patience is not None and out.best_epoch >= 0 and epoch - 1 - out.best_epoch >= config.patience:
             break
         now = temperatures[epoch]
         ordered = signals.shuffle_order(data, *keys, seed=config.seed, epoch=epoch)
-        batches = write_batches(prepare(ordered, epoch) if prepare else ordered, rows, config.batch_size, config.tasks)
-        losses, statistics = [], []
-        for batch, rate in enumerate(config.rates(spark, epoch, batches.total)):
-            found = step(batches.read(spark, batch), parameters, epoch, now)
-            losses.append(found.loss)
-            statistics.append(found.statistics())
-            steps += 1
-            adam(parameters, moments, found.gradients, steps, rate)
-        batches.delete(spark)
-        loss = sum(losses) / len(losses)
-        value = evaluate(parameters, now) if evaluate else loss
-        row = {"epoch": epoch, "loss": loss, "val_loss": value, "temperature": now, "perplexity": sum(p for p, _ in statistics) / len(losses), "usage": sum(u for _, u in statistics) / len(losses)}
+        dealt = deal_batches(prepare(ordered, epoch) if prepare else ordered, rows, config.batch_size, tasks)
+        total = rows // config.batch_size
+        parameters, moments, found = _epoch(ready(dealt, epoch), kernel, sizes, parameters, moments, config, config.rates(spark, epoch, total), steps, now)
+        steps += total
+        loss, perplexity, usage = (float(x) / total for x in found)
+        value = _loss(ready(validation, None), kernel, parameters, held_out, now) if validation is not None else loss
+        row = {"epoch": epoch, "loss": loss, "val_loss": value, "temperature": now, "perplexity": perplexity, "usage": usage}
         out.history.append(tuple(row.values()))
         if value < best:
             best, out.best_epoch, out.parameters = value, epoch, {k: v.copy() for k, v in parameters.items()}
         if checkpoint:
-            arrays = {f"{kind}:{k}": v for kind, held in zip(("value", "first", "second"), (parameters, *moments), strict=True) for k, v in held.items()}
+            arrays = {kind + k: v for kind, held in zip(KINDS, (parameters, *moments), strict=True) for k, v in held.items()}
             checkpoints.commit(spark, checkpoint, epoch, arrays, {"history": out.history, "best_epoch": out.best_epoch, "steps": steps, "config": asdict(config)})
             checkpoints.keep(spark, checkpoint, {epoch, out.best_epoch})
         if on_epoch:
@@ -165,28 +217,16 @@ def _part(arrays: Arrays, prefix: str) -> Arrays:
     return {k[len(prefix) :]: v for k, v in arrays.items() if k.startswith(prefix)}
 
 
-def _rows(spark: SparkSession, table: np.ndarray) -> DataFrame:
-    return spark.createDataFrame([(i, [float(x) for x in np.atleast_1d(v)]) for i, v in enumerate(table)], "code int, vec array<double>")
+# ------------------------------------------------------------------ codebooks of all levels
 
 
-# ------------------------------------------------------------------ codebooks of all levels
+def _flat(column: pa.Array) -> np.ndarray:
+    """Vectors of one length, as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _level_step(tokens: DataFrame, parameters: Arrays, names: list[str], dim: int, beta: float) -> Step:
-    """One grouping gives all levels' gradients, losses and code counts."""
-    books = [parameters[n] for n in names]
-    sums = quantize.level_sums(tokens, [_rows(tokens.sparkSession, b) for b in books], dim).toArrow()
-    level, code, place, n, s = (sums.column(c).to_numpy() for c in ("level", "code", "dim", "n", "s"))
-    change, counts, loss, n_all = {}, [], 0.0, int(n[(level == 1) & (place == dim)].sum())
-    for i, (name, book) in enumerate(zip(names, books, strict=True), 1):
-        own, total, held = level == i, np.zeros((len(book), dim + 1)), np.zeros(len(book))
-        total[code[own], place[own]] = s[own]
-        last = own & (place == dim)
-        held[code[last]] = n[last]
-        change[name] = 2 / (n_all * dim) * (held[:, None] * book - total[:, :dim])
-        loss += (1 + beta) * total[:, dim].sum() / (n_all * dim)
-        counts.append(held)
-    return Step(float(loss), change, counts)
+def _counts(codes: np.ndarray, sizes: list[int]) -> Arrays:
+    return {f"counts{i}": np.bincount(codes[..., i].ravel(), minlength=k).astype(float) for i, k in enumerate(sizes)}
 
 
 def fit(tokens: DataFrame, codebooks: DataFrame | list[DataFrame], dim: int, config: FitConfig, validation: DataFrame | None = None, on_epoch: Callable[[int, dict], None] | None = None, checkpoint: str | None = None) -> Fitted:
@@ -194,9 +234,15 @@ def fit(tokens: DataFrame, codebooks: DataFrame | list[DataFrame], dim: int, con
     books = codebooks if isinstance(codebooks, list) else [codebooks]
     parameters = {f"codebook{i}": as_array(b) for i, b in enumerate(books, 1)}
     names = list(parameters)
-    step = lambda batch, p, epoch, temperature: _level_step(batch, p, names, dim, config.beta)
-    evaluate = None if validation is None else lambda p, temperature: _level_step(validation, p, names, dim, config.beta).loss
-    return run_epochs(tokens.select("tok", "z"), ["tok"], parameters, config, step, evaluate, on_epoch=on_epoch, checkpoint=checkpoint)
+    sizes = [len(parameters[n]) for n in names]
+    bottleneck = backprop.Residual(quantize.RVQConfig(len(names), tuple(sizes), dim, config.beta))
+
+    def kernel(rows, p, size, temperature, learn):
+        _, loss, codes, _ = bottleneck.forward(_flat(rows.column("z")), nn.Weights(p), change := {}, size)
+        return change | _counts(codes, sizes) | {"loss": np.array([loss])}
+
+    ready = lambda df, epoch: df.withColumn("z", quantize.checked(F.col("z"), dim))
+    return run_epochs(tokens.select("tok", "z"), ["tok"], parameters, config, kernel, sizes, validation, ready=ready, on_epoch=on_epoch, checkpoint=checkpoint)
 
 
 # ------------------------------------------------------------------ the Gumbel bottleneck alone
@@ -211,22 +257,6 @@ def gumbel_soft(tokens: DataFrame, parameters: dict[str, DataFrame], config: qua
     return quantize.posteriors(scored, temperature, noise_seed)
 
 
-def _gumbel_step(tokens: DataFrame, parameters: Arrays, config: quantize.GSConfig, temperature: float, noise_seed: int | None) -> Step:
-    spark, k, d = tokens.sparkSession, config.num_embeddings, config.embedding_dim
-    soft = gumbel_soft(tokens, {n: _rows(spark, a) for n, a in parameters.items()}, config, temperature, noise_seed)
-    of_codes = soft.groupBy(quantize.hard_index(F.col("p")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    sums = quantize.gumbel_sums(soft, config, temperature).unionByName(of_codes.select("code", F.lit(-1).alias("place"), F.col("n").cast("double").alias("s"))).toArrow()
-    code, place, s = (sums.column(c).to_numpy() for c in ("code", "place", "s"))
-    total, counts = np.zeros((k, 2 * d + 1)), np.zeros(k)
-    own = (code >= 0) & (place >= 0)
-    total[code[own], place[own]] = s[own]
-    counts[code[place < 0]] = s[place < 0]
-    errors, log_p, n = (float(s[(code == -1) & (place == i)].sum()) for i in range(3))
-    loss = errors / (n * d) + config.kl_weight * (math.log(k) + log_p / n) / math.log(2)
-    change = {"embedding": total[:, :d] / n, "projection": total[:, d : 2 * d] / n, "bias": total[:, 2 * d :] / n}
-    return Step(float(loss), {name: g for name, g in change.items() if name in parameters}, [counts])
-
-
 def fit_gumbel(tokens: DataFrame, parameters: dict[str, DataFrame], config: quantize.GSConfig, fitting: FitConfig, validation: DataFrame | None = None, on_epoch: Callable[[int, dict], None] | None = None, checkpoint: str | None = None) -> Fitted:
     """Projection, bias and embedding of the bottleneck, so that expected codewords rebuild tokens (tok, z). Tables
     (code, vec) by name; latents and codewords are of one length. Batches are noisy, by hashes of epoch and token;
@@ -234,10 +264,25 @@ def fit_gumbel(tokens: DataFrame, parameters: dict[str, DataFrame], config: quan
     if config.input_is_logits:
         raise ValueError("without a projection there is nothing to fit but in an autoencoder")
     held = {n: as_array(t) for n, t in parameters.items()}
-    tau = lambda t: config.temperature if t is None else t
-    step = lambda batch, p, epoch, t: _gumbel_step(batch, p, config, tau(t), fitting.seed + epoch)
-    evaluate = None if validation is None else lambda p, t: _gumbel_step(validation, p, config, tau(t), None).loss
-    return run_epochs(tokens.select("tok", "z"), ["tok"], held, fitting, step, evaluate, on_epoch=on_epoch, checkpoint=checkpoint)
+    if min([config.temperature] if fitting.annealing is None else fitting.annealing[:2]) <= 0:
+        raise ValueError("the temperature is above 0")
+    bottleneck, k, dim = backprop.Gumbel(config), config.num_embeddings, config.embedding_dim
+
+    def kernel(rows, p, size, temperature, learn):
+        z, turned = _flat(rows.column("z")), {"projection": p["projection"].T, "embedding": p["embedding"]} | ({"bias": p["bias"][:, 0]} if "bias" in p else {})
+        noise = _flat(rows.column("noise")) if "noise" in rows.schema.names else None
+        y, rate, codes, back = bottleneck.forward(z, nn.Weights(turned), change := {}, size, noise, temperature)
+        out = _counts(codes, [k]) | {"loss": np.array([((y - z) ** 2).sum() / (size * dim) + rate])}
+        if learn:
+            back(2 * (y - z) / (size * dim))
+            out |= {n: (g.T if n == "projection" else g).reshape(p[n].shape) for n, g in change.items()}
+        return out
+
+    def ready(df, epoch):
+        rows = df.withColumn("z", quantize.checked(F.col("z"), dim))
+        return rows if epoch is None else rows.withColumn("noise", quantize.gumbel_noise(F.col("tok"), k, fitting.seed + epoch))
+
+    return run_epochs(tokens.select("tok", "z"), ["tok"], held, fitting, kernel, [k], validation, ready=ready, on_epoch=on_epoch, checkpoint=checkpoint)
 
 
 # ------------------------------------------------------------------ encoder, bottleneck and decoder
@@ -249,30 +294,6 @@ def _frame_noise(config: quantize.GSConfig, seed: int, names: list[int], tokens:
     return -np.log(-np.log(draws + 1e-9) + 1e-9)
 
 
-def _autoencoder_step(frames: DataFrame, keys: list[str], parameters: Arrays, bottleneck: backprop.Bottleneck, size: int, temperature: float | None, noise_seed: int | None, learn: bool = True) -> Step:
-    """Losses, gradients and code counts of a batch of ``size`` frames: every task computes its own frames' and hands on
-    sums."""
-    noisy = isinstance(bottleneck, backprop.Gumbel) and noise_seed is not None
-    sizes = bottleneck.config.num_embeddings if isinstance(bottleneck, backprop.Residual) else (bottleneck.config.num_embeddings,)
-    shared = frames.sparkSession.sparkContext.broadcast(parameters)
-
-    def run(batches):
-        w = nn.Weights(shared.value)
-        for batch in batches:
-            x, names = nn.stacked(batch.column("samples")), batch.column("_frame").to_pylist()
-            for a in range(0, len(x), part := max(1, nn.NUMBERS // max(1, x.shape[1]))):
-                now = x[a : a + part]
-                noise = _frame_noise(bottleneck.config, noise_seed, names[a : a + part], x.shape[1] // 16) if noisy else None
-                recon, layer, codes, change = backprop.batch_part(now, w, bottleneck, size, noise, temperature, learn)
-                counts = {f"counts{i}": np.bincount(codes[..., i].ravel(), minlength=k).astype(float) for i, k in enumerate(sizes)}
-                yield change | counts | {"loss": np.array([recon + layer])} if learn else counts | {"loss": np.array([recon + layer])}
-
-    shapes = {f"counts{i}": (k,) for i, k in enumerate(sizes)} | {"loss": (1,)} | ({n: a.shape for n, a in parameters.items()} if learn else {})
-    total = gradients.total(frames.select("samples", F.xxhash64(*keys).alias("_frame")), run, shapes)
-    shared.destroy()
-    return Step(float(total["loss"][0]), {n: total[n] for n in parameters} if learn else {}, [total[f"counts{i}"] for i in range(len(sizes))])
-
-
 def fit_autoencoder(
     frames: DataFrame, keys: list[str], weights: nn.Weights, bottleneck: backprop.Bottleneck, tables: dict[str, DataFrame], config: FitConfig, validation: DataFrame | None = None,
     prepare: Callable[[DataFrame, int], DataFrame] | None = None, on_epoch: Callable[[int, dict], None] | None = None, checkpoint: str | None = None,
@@ -285,9 +306,18 @@ def fit_autoencoder(
     for name in bottleneck.names():
         a = as_array(tables[name])
         parameters[name] = a.T if name == "projection" else a[:, 0] if name == "bias" else a
-    step = lambda batch, p, epoch, t: _autoencoder_step(batch, keys, p, bottleneck, config.batch_size, t, config.seed + epoch)
-    evaluate = None
-    if validation is not None:
-        n = validation.count()
-        evaluate = lambda p, t: _autoencoder_step(validation, keys, p, bottleneck, n, t, None, False).loss
-    return run_epochs(frames.select(*keys, "samples"), keys, parameters, config, step, evaluate, prepare, on_epoch, checkpoint)
+    c, noisy = bottleneck.config, isinstance(bottleneck, backprop.Gumbel)
+    sizes = [c.num_embeddings] if noisy else list(c.num_embeddings)
+
+    def kernel(rows, p, size, temperature, learn):
+        x, w, out = nn.stacked(rows.column("samples")), nn.Weights(p), {}
+        names, seeds = (rows.column(n).to_pylist() for n in ("_frame", "_seed"))
+        for a in range(0, len(x), part := max(1, nn.NUMBERS // max(1, x.shape[1]))):
+            noise = _frame_noise(c, seeds[0], names[a : a + part], x.shape[1] // 16) if noisy and seeds[0] is not None else None
+            recon, layer, codes, change = backprop.batch_part(x[a : a + part], w, bottleneck, size, noise, temperature, learn)
+            for n, value in ((change if learn else {}) | _counts(codes, sizes) | {"loss": np.array([recon + layer])}).items():
+                backprop.add(out, n, value)
+        return out
+
+    ready = lambda df, epoch: df.select("samples", F.xxhash64(*keys).alias("_frame"), F.lit(None if epoch is None else config.seed + epoch).cast("long").alias("_seed"), *([] if epoch is None else ["batch_id"]))
+    return run_epochs(frames.select(*keys, "samples"), keys, parameters, config, kernel, sizes, validation, prepare, ready, on_epoch, checkpoint)

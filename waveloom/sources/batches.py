@@ -1,4 +1,5 @@
-"""Batches of an epoch, written once so that every step reads its own files only."""
+"""Batches of an epoch: dealt to tasks that step through all of them together, or written once so that a step reads its
+own files only."""
 
 from __future__ import annotations
 
@@ -46,3 +47,10 @@ def write_batches(placed: DataFrame, rows: int, size: int, tasks: int | None = N
     path = shared.fresh_path(spark, "batches")
     dealt.write.partitionBy("folder").parquet(path)
     return Batches(path, T.StructType([f for f in dealt.schema.fields if f.name != "folder"]), size, total, run)
+
+
+def deal_batches(placed: DataFrame, rows: int, size: int, tasks: int, place: str = "place") -> DataFrame:
+    """``placed`` (rows with their place from 0 in the epoch's order) with batch_id, in ``tasks`` partitions: each has its
+    share of every full batch, batch after batch; the remainder is dropped."""
+    numbered = placed.where(F.col(place) < rows // size * size).withColumn("batch_id", F.expr(f"{place} div {size}"))
+    return numbered.repartitionById(tasks, F.expr(f"cast({place} % {tasks} as int)")).sortWithinPartitions("batch_id", place)
